@@ -6,23 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import decontaminate, linededup, mixing, pii, simhash, tokens, toxicity
 
+#: The vocabulary of the token counts; a parameter of the operator.
+VOCABULARY = "byte_bpe_50k.json"
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(_docs(spark, sf_dir))
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_docs(spark, sf_dir))
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_units(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_simhash, op8_mixing)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op3_tokens, op6_decontaminate, op7_simhash, op8_mixing, op9_linededup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
