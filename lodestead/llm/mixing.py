@@ -74,17 +74,21 @@ def apportion(parties: DataFrame, votes: str, seats: Column, by: list[str], orde
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, block: int = 64, seed: int = SEED) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, block: int = 64, seed: int = SEED,
+        carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of each row.
 
+    With ``carry``, those columns of ``docs`` come in place of ``doc_id``.
+
     ``size`` is the number of words (null text: 0). A quota is ``block`` words
     times its blocks, held to ``cap`` times the shard's size, so no document is
     taken more than ``cap`` times. Null sources are one source, ordered last;
     null ids form streams like any other; repeated rows are separate documents;
     an empty table gives no rows; with no words at all every target is zero.
     """
+    carried = [F.struct(*carry).alias("_carried")] if carry else []
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        *carried, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = source_targets(sources, weights, cap)
@@ -108,4 +112,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0))
     rest = F.col("words") - rounds * F.col("shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return rows.withColumn("taken", taken.cast("long")).select("doc_id", "size", "source_size", "target", "taken")
+    first = [F.col("_carried")[c].alias(c) for c in carry] if carry else ["doc_id"]
+    return rows.withColumn("taken", taken.cast("long")).select(*first, "size", "source_size", "target", "taken")
