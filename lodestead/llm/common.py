@@ -1,13 +1,14 @@
-"""What several corpus operators share: word rules, checkpoints, components."""
+"""What several corpus operators share: word rules and components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import ensure_checkpoint_dir, settle
+
+__all__ = ["ASCII_LOWER", "WORD", "components", "ensure_checkpoint_dir", "settle", "words_of"]
+
 #: A word is a run of anything but the ASCII blanks 0x20 and 0x09-0x0D;
 #: ``bytes.split()`` without arguments cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,25 +22,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(ASCII_LOWER).split() if text else []
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where unset."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
