@@ -256,11 +256,11 @@ def claim_defaults(spark, d):
 @query("""WITH m AS (SELECT conv_id * 1000 + turn AS id, sha256(text) AS prompt_hash, CASE WHEN role = 'user' THEN text END AS parsed_json FROM conversations),
   p AS (SELECT DISTINCT sha256(text) AS prompt_hash FROM conversations),
   f AS (SELECT prompt_hash, MIN(id) AS memo_id FROM m WHERE parsed_json <> '' GROUP BY 1)
-  SELECT p.prompt_hash, f.memo_id FROM p LEFT JOIN f USING (prompt_hash)""")
+  SELECT p.prompt_hash, coalesce(f.memo_id, -1) AS memo_id FROM p LEFT JOIN f USING (prompt_hash)""")
 def memo_lookup(spark, d):
     c = T.table(spark, d, "conversations")
     memo = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.sha2("text", 256).alias("prompt_hash"), F.lit("p").alias("provider"), F.when(F.col("role") == "user", F.col("text")).alias("parsed_json"))
-    return L.memo_lookup(c.select(F.sha2("text", 256).alias("prompt_hash"), F.lit("p").alias("provider")).distinct(), memo).select("prompt_hash", "memo_id")
+    return L.memo_lookup(c.select(F.sha2("text", 256).alias("prompt_hash"), F.lit("p").alias("provider")).distinct(), memo).select("prompt_hash", F.coalesce("memo_id", F.lit(-1)).alias("memo_id"))
 
 
 @query("""SELECT conv_id, turn, CAST((length(text) * CAST(0.01 AS DECIMAL(4,2)) + turn * CAST(0.03 AS DECIMAL(4,2))) / 1000.0 AS DECIMAL(10,6))::DOUBLE AS cost_usd FROM conversations""")
@@ -415,11 +415,11 @@ def audit_trail(spark, d):
         "id", "entity_name", "document_name", "registry_person_id", "confidence")
 
 
-@query("""SELECT * FROM (VALUES ('confidence_threshold_auto_store', 0.85::DOUBLE, NULL::BIGINT, NULL), ('confidence_threshold_review', 0.6, NULL, NULL),
+@query("""SELECT * FROM (VALUES ('confidence_threshold_auto_store', 0.85::DOUBLE, NULL::VARCHAR, NULL), ('confidence_threshold_review', 0.6, NULL, NULL),
   ('llm_default_provider', NULL, NULL, 'openai'), ('llm_default_model', NULL, NULL, 'gpt-4-turbo-preview'), ('fuzzy_match_threshold', 0.85, NULL, NULL),
-  ('cache_expiry_days', NULL, 365, NULL)) AS t(setting_key, as_float, as_integer, as_text)""")
+  ('cache_expiry_days', NULL, '365', NULL)) AS t(setting_key, as_float, as_integer, as_text)""")
 def typed_settings(spark, d):
-    return S.typed_settings(S.default_settings(spark)).select("setting_key", "as_float", "as_integer", "as_text")
+    return S.typed_settings(S.default_settings(spark)).select("setting_key", "as_float", F.col("as_integer").cast("string").alias("as_integer"), "as_text")
 
 
 def _name_claims(spark, d):
