@@ -111,10 +111,10 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def remove_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of the text; other columns as they are."""
-    spans = repeated_units(docs, id_col, text_col, min_words).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
+    spans = repeated_units(docs, id_col, text_col, min_words).select(F.col("id").alias("__span_id"), F.col("spans").alias("__spans"))
     step = F.aggregate(
-        F.col("_spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        F.col("__spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"])).alias("out"), x["end"].alias("at")),
         lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(F.col(text_col)))))
-    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(step)).select(docs.columns)
+    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__span_id")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(step)).select(docs.columns)

@@ -24,6 +24,8 @@ BITS = 12
 #: Documents of each posterior class that train the scorer at most: the least hashes of id and text size.
 SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.5
+#: Heuristics are written to spare good texts: of those they vote on, a labeller condemns at most this share.
+FALSE_ALARM = 0.01
 
 # Frequent function words of the languages looked for.
 FUNCTION_WORDS = frozenset(
@@ -115,6 +117,8 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> LabelModel:
         # a labeller that says nothing tells nothing: only votes cast are modelled
         chance = np.einsum("cp,pkv->ckv", w, onehot) * [1, 0, 1] + 0.5
         chance /= chance[:, :, [0]] + chance[:, :, [2]]
+        chance[1, :, 0] = np.minimum(chance[1, :, 0], FALSE_ALARM)
+        chance[1, :, 2] = 1 - chance[1, :, 0]
         chance[:, :, 1] = 1.0
         logit = np.log(prior / (1 - prior)) + np.einsum("pkv,kv->p", onehot, np.log(chance[1] / chance[0]))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

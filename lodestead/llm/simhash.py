@@ -117,9 +117,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id stay. Of repeated rows of one kept id, one stays.
     """
     groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col)
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), "_times")
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left")
-    once = rows.filter(F.col(id_col).isNull() | (F.col("_times") == 1)).select(docs.columns)
-    again = rows.filter(F.col("_times") > 1).select(docs.columns).dropDuplicates([id_col])
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), "__times")
+    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept_id"), "left")
+    once = rows.filter(F.col(id_col).isNull() | (F.col("__times") == 1)).select(docs.columns)
+    again = rows.filter(F.col("__times") > 1).select(docs.columns).dropDuplicates([id_col])
     return once.unionByName(again)
