@@ -172,3 +172,13 @@ def materialise(claims: DataFrame, clusters: DataFrame) -> tuple[DataFrame, Data
         F.when(F.col("source_count") > 1, "verified").otherwise("unverified").alias("entity_status"))
     new = told.join(numbered.withColumnRenamed("id", "entity_id"), "seed").drop("seed").withColumn("resolution_status", F.lit("clustered"))
     return new.select(*claims.columns) if "entity_id" in claims.columns else new, entities
+
+
+def name_scores(names_a: DataFrame, names_b: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Only the confidence of each pair."""
+    return match_names(names_a, names_b, pairs, threshold).select("rank_a", "rank_b", "confidence")
+
+
+def matching_persons(target: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``name`` and ``score`` (0-1) of the candidates that match the target, best first."""
+    return potential_matches(target, candidates, threshold, threshold).select(F.col("name_b").alias("name"), F.col("confidence").alias("score"))

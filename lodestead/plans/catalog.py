@@ -441,6 +441,13 @@ def match_scores(spark, d):
     return C.score_pairs(C.candidate_pairs(f), f, f).select("name_a", "name_b", "score", "method", "confidence")
 
 
+@query()
+def potential_matches(spark, d):
+    n = _name_claims(spark, d).select(F.col("subject_name").alias("name"), F.col("id").alias("rank")).distinct()
+    target = spark.createDataFrame([("old rod", -1)], "name string, rank bigint")
+    return C.matching_persons(target, n)
+
+
 @query()
 def entity_clusters(spark, d):
     c = _name_claims(spark, d)
