@@ -50,15 +50,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id`` and the fingerprint ``fp`` (as a signed long) of each row."""
+    """``id``, a 64-bit hash ``h`` of the text and the fingerprint ``fp`` (as a signed long) of each row."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(
-        batches, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).mapInArrow(
+        batches, "id long, h long, fp long")
 
 
 def _counts(fp: Column) -> list[Column]:
@@ -91,6 +92,17 @@ def grid_links(fps: DataFrame) -> DataFrame:
                   & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id``, ``h``, ``fp``, ``root`` (a name of the component) and ``component_id`` of each row."""
+    marked = settle(fingerprints(docs, id_col, text_col, shingle))
+    nodes = settle(marked.groupBy("fp").agg(F.min("id").alias("rep")))
+    roots = components(grid_links(nodes.select("fp")))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return marked.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of each row.
 
@@ -100,26 +112,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows; repeated rows are returned as often as they come;
     a null id is kept and never is a component's name unless no other id is there.
     """
-    marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    nodes = settle(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(grid_links(nodes.select("fp")))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    return _grouped(docs, id_col, text_col, shingle).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their group: the least id.
+    """One row (all columns) of each group of ``docs``: that of least id, rows without an id last.
 
-    Rows without an id stay. Of repeated rows of one kept id, one stays.
+    A row is known by id and text, so rows of one id but unlike texts are
+    separate documents; of repeated rows that are kept, one stays.
     """
-    groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col)
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
-    kept = kept.select(F.col("doc_id").alias("__kept_id"), "__times")
-    rows = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept_id"), "left")
-    once = rows.filter(F.col(id_col).isNull() | (F.col("__times") == 1)).select(docs.columns)
-    again = rows.filter(F.col("__times") > 1).select(docs.columns).dropDuplicates([id_col])
+    groups = _grouped(docs.select(id_col, text_col), id_col, text_col, 3)
+    rows = groups.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h", "n")).alias("x"))
+    kept = first.select(F.col("x.id").alias("__kept_id"), F.col("x.h").alias("__kept_h"), F.col("x.n").alias("__times"))
+    text = F.col(text_col).cast("string")
+    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text) == F.col("__kept_h")))
+    once = found.filter(F.col("__times") == 1).select(docs.columns)
+    again = found.filter(F.col("__times") > 1).select(docs.columns).dropDuplicates([id_col, text_col])
     return once.unionByName(again)
