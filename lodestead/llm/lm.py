@@ -11,12 +11,13 @@ so the weight of a failure arc is log10(m / (c(h) + m)), and each state's
 probabilities sum to one. A text is read once from left to right: each token
 takes the arc of the carried state, or fails to the root, and becomes the state.
 
-Counting and scoring meet in two shuffles. Documents are dealt into batches of
-bounded text; a batch asks for each of its distinct n-grams once, by 64-bit
-digest, with its own training count. The digests are dealt by value to merge
-tasks, which add up the counts and answer every batch in its own order. The
-answers return to the batches, which build the part of the automaton their texts
-can reach. So a word in every document costs one entry per batch.
+Counting and scoring meet in three shuffles. Documents are dealt into batches of
+bounded text, packed. A batch asks for each of its distinct n-grams once, by
+64-bit digest, with its own training count. The digests are dealt by range to
+merge tasks, which add up the counts and answer every batch in its own order,
+with their share of the corpus totals. The answers return to the batches, which
+build the part of the automaton their texts can reach. So a word in every
+document costs one entry per batch.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ HEAPS = 0.95
 #: Characters of text in a batch, and the least number of batches.
 BATCH_CHARS = 1 << 24
 LEAST_BATCHES = 96
+#: Bytes of text packed at once.
+PACK_BYTES = 1 << 26
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 _START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -72,66 +75,120 @@ def bigrams(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return history, (both ^ (both >> np.uint64(32))) * _MIX
 
 
-def _dealt(keys: np.ndarray, shares: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shares)).astype(np.int64)
+def _bounds(keys: np.ndarray, shares: int) -> np.ndarray:
+    """Where each share of the range of digests begins among sorted ``keys``."""
+    share = ((keys >> np.uint64(40)) * np.uint64(shares)) >> np.uint64(24)
+    return np.searchsorted(share, np.arange(shares + 1, dtype=np.uint64))
 
 
-def _split(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that deals sorted keys by share, and the bounds of the shares."""
-    share = _dealt(keys, shares)
-    order = np.argsort(share, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(share, minlength=shares))])
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the first and the steps, in as few bytes a step as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def unpack_keys(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    steps = np.zeros(((len(blob) - 9) // width, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1, 1), steps.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes, those of 255 or more in full after them."""
+    small = pa.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+    return np.array([len(counts), len(small)], dtype=np.int64).tobytes() + small + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n, size = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    out = np.frombuffer(pa.decompress(blob[16:16 + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, np.int64, offset=16 + size)
+    return out
+
+
+_PACK = "batch int, docs binary"
 _ASK = "share int, batch int, kind int, keys binary, counts binary"
-_ANSWER = "batch int, share int, kind int, counts binary"
+_ANSWER = "batch int, share int, kind int, n_all long, n_distinct long, counts binary"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_DOC = pa.schema([("id", pa.int64()), ("t", pa.large_string()), ("trained", pa.bool_())])
+
+
+def _packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch as one compressed Arrow stream."""
+    batch = np.asarray(table.column("batch"))
+    docs = table.select(["id", "t", "trained"]).cast(_DOC)
+    for k in np.unique(batch):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(docs.take(pa.array(np.flatnonzero(batch == k))))
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs"])
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    parts = [pa.ipc.open_stream(b).read_all() for b in table.column("docs").to_pylist()]
+    return pa.concat_tables(parts).combine_chunks().sort_by([("id", "ascending")]).combine_chunks() if parts else _DOC.empty_table()
 
 
 def _trained(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
 
 
-def _ask(table: pa.Table, shares: int, kinds: int) -> Iterator[pa.RecordBatch]:
-    tokens, begin = digests(table.column("t").combine_chunks())
-    trained = np.repeat(np.asarray(table.column("trained")), np.diff(begin))
-    batch = table.column("batch")[0].as_py()
-    for kind in range(kinds):
-        keys = tokens if kind == 0 else bigrams(tokens, begin)[1]
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        counts = np.bincount(inverse, weights=trained, minlength=len(distinct)).astype(np.uint32)
-        order, bound = _split(distinct, shares)
-        distinct, counts = distinct[order], counts[order]
-        some = [s for s in range(shares) if bound[s + 1] > bound[s]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int32()), pa.array([kind] * len(some), pa.int32()),
-             pa.array([distinct[bound[s]:bound[s + 1]].tobytes() for s in some], pa.binary()),
-             pa.array([counts[bound[s]:bound[s + 1]].tobytes() for s in some], pa.binary())], ["share", "batch", "kind", "keys", "counts"])
-
-
-def _merged(table: pa.Table, kind: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Batches, entries of each, distinct keys, the total of each, and which key each entry is."""
-    rows = [(b, k, c) for b, k, c, x in zip(*(table.column(n).to_pylist() for n in ("batch", "keys", "counts", "kind")), strict=True) if x == kind]
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in rows] or [np.zeros(0, np.uint32)])
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-    return [b for b, _, _ in rows], [len(k) // 8 for _, k, _ in rows], distinct, total, inverse
-
-
-def _walk(table: pa.Table, answers: pa.Table, shares: int, n_all: int, n_distinct: int, heaps: float) -> pa.Table:
+def _ask(table: pa.Table, shares: int) -> pa.Table:
+    docs, batch = _unpacked(table), table.column("batch")[0].as_py()
+    tokens, begin = digests(docs.column("t").combine_chunks())
+    trained = np.repeat(np.asarray(docs.column("trained")), np.diff(begin))
+    out: dict[str, list] = {"share": [], "batch": [], "kind": [], "keys": [], "counts": []}
+    for kind in (0, 1):
+        distinct, inverse = np.unique(tokens if kind == 0 else bigrams(tokens, begin)[1], return_inverse=True)
+        counts = np.bincount(inverse, weights=trained, minlength=len(distinct)).astype(np.int64)
+        bound = _bounds(distinct, shares)
+        for s in range(shares):
+            if bound[s + 1] > bound[s]:
+                part = slice(bound[s], bound[s + 1])
+                for c, v in zip(out, (s, batch, kind, pack_keys(distinct[part]), pack_counts(counts[part])), strict=True):
+                    out[c].append(v)
+    return pa.table(out, schema=pa.schema([("share", pa.int32()), ("batch", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+
+def _answer(table: pa.Table, batches: int) -> pa.Table:
+    """Total counts for every batch that asked, and to all batches this share's part of the corpus totals."""
+    share = table.column("share")[0].as_py()
+    out: dict[str, list] = {"batch": [], "share": [], "kind": [], "n_all": [], "n_distinct": [], "counts": []}
+    for kind in (0, 1):
+        rows = [(b, unpack_keys(k), unpack_counts(c)) for b, k, c, x in zip(*(table.column(n).to_pylist() for n in ("batch", "keys", "counts", "kind")), strict=True) if x == kind]
+        if not rows:
+            continue
+        distinct, inverse = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([c for _, _, c in rows]), minlength=len(distinct)).astype(np.int64)
+        replies, at = total[inverse], 0
+        for b, k, _ in rows:
+            for c, v in zip(out, (b, share, kind, 0, 0, pack_counts(replies[at:at + len(k)])), strict=True):
+                out[c].append(v)
+            at += len(k)
+        if kind == 0:
+            for b in range(batches):
+                for c, v in zip(out, (b, share, -1, int(total.sum()), int((total > 0).sum()), None), strict=True):
+                    out[c].append(v)
+    return pa.table(out, schema=pa.schema([("batch", pa.int32()), ("share", pa.int32()), ("kind", pa.int32()), ("n_all", pa.int64()), ("n_distinct", pa.int64()), ("counts", pa.binary())]))
+
+
+def _walk(packed: pa.Table, answers: pa.Table, shares: int, heaps: float) -> pa.Table:
     """Build what the batch can reach of the automaton and read its texts."""
+    table = _unpacked(packed)
+    if not len(table):
+        return _SCORES.empty_table()
     tokens, begin = digests(table.column("t").combine_chunks())
-    told: dict[tuple[int, int], np.ndarray] = {}
-    for s, k, c in zip(*(answers.column(n).to_pylist() for n in ("share", "kind", "counts")), strict=True):
-        told[k, s] = np.frombuffer(c, np.uint32)
+    told = {(k, s): unpack_counts(c) for s, k, c in zip(*(answers.column(n).to_pylist() for n in ("share", "kind", "counts")), strict=True) if k >= 0}
+    n_all, n_distinct = (pc.sum(answers.column(c)).as_py() or 0 for c in ("n_all", "n_distinct"))
 
     def counted(keys: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys and, for each of ``keys``, which it is; training counts of the distinct ones."""
         distinct, inverse = np.unique(keys, return_inverse=True)
-        order, bound = _split(distinct, shares)
-        counts = np.zeros(len(distinct), dtype=np.int64)
-        counts[order] = np.concatenate([told[kind, s] for s in range(shares) if bound[s + 1] > bound[s]])
-        return counts, inverse
+        bound = _bounds(distinct, shares)
+        return np.concatenate([told[kind, s] for s in range(shares) if bound[s + 1] > bound[s]]), inverse
 
     one, word = counted(tokens, 0)
     history, both = bigrams(tokens, begin)
@@ -171,44 +228,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heaps
     batches = max(least_batches, -(-chars // batch_chars))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(batches)).cast("int"))
 
-    def ask(kinds: int):
-        return lambda table: pa.Table.from_batches(list(_ask(table, batches, kinds)))
-
-    def ask_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in it:
-            part = pa.Table.from_batches([b])
-            size = np.cumsum(np.asarray(pc.binary_length(part.column("t").combine_chunks())).astype(np.int64)) // batch_chars
-            for p in np.unique(size) if len(size) else ():
-                at = np.flatnonzero(size == p)
-                yield from _ask(part.slice(int(at[0]), len(at)).append_column("batch", pa.array([0] * len(at), pa.int32())), batches, 1)
-
-    def total(table: pa.Table) -> pa.Table:
-        t = _merged(table, 0)[3]
-        return pa.table({"n_all": [int(t.sum())], "n_distinct": [int((t > 0).sum())]})
+            held.append(b)
+            size += b.nbytes
+            if size >= PACK_BYTES:
+                yield from _packed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from _packed(pa.Table.from_batches(held))
 
-    sums = rows.select("t", "trained").mapInArrow(ask_words, _ASK).groupBy("share").applyInArrow(total, "n_all long, n_distinct long").agg(
-        F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
-    n_all, n_distinct = int(sums[0]), int(sums[1])
+    def ask(table: pa.Table) -> pa.Table:
+        return _ask(table, batches)
 
     def answer(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"batch": [], "share": [], "kind": [], "counts": []}
-        share = table.column("share")[0].as_py()
-        for kind in (0, 1):
-            owners, sizes, _, totals, inverse = _merged(table, kind)
-            replies, at = totals[inverse].astype(np.uint32), 0
-            for b, n in zip(owners, sizes, strict=True):
-                out["batch"].append(b)
-                out["share"].append(share)
-                out["kind"].append(kind)
-                out["counts"].append(replies[at:at + n].tobytes())
-                at += n
-        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "share": pa.array(out["share"], pa.int32()),
-                         "kind": pa.array(out["kind"], pa.int32()), "counts": pa.array(out["counts"], pa.binary())})
-
-    def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _walk(table, answers, batches, n_all, n_distinct, heaps)
-
-    held = dealt.repartition(batches, "batch")
-    answers = held.groupBy("batch").applyInArrow(ask(2), _ASK).groupBy("share").applyInArrow(answer, _ANSWER)
+        return _answer(table, batches)
+
+    def walk(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        return _walk(packed, answers, batches, heaps)
+
+    held = dealt.mapInArrow(pack, _PACK).repartition(batches, "batch")
+    answers = held.groupBy("batch").applyInArrow(ask, _ASK).groupBy("share").applyInArrow(answer, _ANSWER)
     return held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
