@@ -43,10 +43,11 @@ _INVISIBLE = frozenset("­​‌‍‎‏⁠⁡⁢⁣﻿")
 _STRANGE = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‏‐-–․⁠-⁣"
                       "⁰-₟Ⅰ-ⅿ−①-⓿﻿﹐-﹫！-～\U0001d400-\U0001d7ff]")
 _SPELLED = re.compile(r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b[\s.-]*\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|\d)", re.I)
-_MARKED = re.compile(r"[(\[{<]\s*(?:at|dot|a|d|@|\.)\s*[)\]}>]|[_-](?:at|dot)[_-]|\bat\b(?=\s+[A-Za-z0-9-]+(?:\.|\s+dot\b))|\bdot\b|\s@\s?\w|\w@\s", re.I)
+_HINTS = ("dot", "@", " at ", "at)", "at]", "at}", "at>", "_at_", "-at-", "(a)", "[a]", "[.]", "(.)", "{.}", "&#", "&commat;", "&period;")
+_MARKED = re.compile(r"&#(?:64|46|x40|x2e);|&commat;|&period;|[(\[{<]\s*(?:at|dot|a|d|@|\.)\s*[)\]}>]|[_-](?:at|dot)[_-]|\bat\b(?=\s+[A-Za-z0-9-]+(?:\.|\s+dot\b))|\bdot\b|\s@\s?\w|\w@\s", re.I)
 _MIXED = re.compile(r"[0-9][OolI](?=[0-9])")
-_AT = re.compile(r"\s*[(\[{<]\s*(?:at|a|@)\s*[)\]}>]\s*|[_-]at[_-]|\s+at\s+|\s*@\s*", re.I)
-_DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|d|\.)\s*[)\]}>]\s*|[_-]dot[_-]|\s+(?:dot|point)\s+", re.I)
+_AT = re.compile(r"&#(?:64|x40);|&commat;|\s*[(\[{<]\s*(?:at|a|@)\s*[)\]}>]\s*|[_-]at[_-]|\s+at\s+|\s*@\s*", re.I)
+_DOT = re.compile(r"&#(?:46|x2e);|&period;|\s+\.\s+|\s*[(\[{<]\s*(?:dot|d|\.)\s*[)\]}>]\s*|[_-]dot[_-]|\s+(?:dot|point)\s+", re.I)
 _DIGITS = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
 _PLUS = re.compile(r"\bplus\s+(?=\d)", re.I)
 
@@ -164,7 +165,7 @@ def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[i
     low = text.lower()
     if any(w in low for w in DIGIT_WORDS if w != "oh"):
         signs += [m.span() for m in _SPELLED.finditer(text)]
-    if "dot" in low or "@" in text or "at)" in low or "at]" in low or " at " in low or "at}" in low or "_at_" in low:
+    if any(x in low for x in _HINTS):
         signs += [m.span() for m in _MARKED.finditer(text)]
     signs += [m.span() for m in _MIXED.finditer(text)]
     if "plus" in low:
