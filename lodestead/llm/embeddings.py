@@ -4,9 +4,10 @@ Unit vectors of cosine c or more differ by at most sqrt(2 - 2c), so on a random
 projection they lie in each other's window with a known chance. Two counts use
 this. Tables of few projections route vectors: each projection is split at its
 middle, a vector is at home on its side, and visits the other where its window
-reaches over. In a cell many further projections are sorted; each pair collides
-as often as one lies in the other's window, and pairs whose count passes a bound
-calibrated for recall are verified by cosine in double precision.
+reaches over. In a cell those at home meet each other and the visitors. Many
+further projections are sorted there; a pair collides as often as one lies in
+the window around the other, a stretch of the order, and pairs whose count
+passes a bound calibrated for recall are verified by cosine in double precision.
 
 Vectors that are equal bit for bit are one class and one row of the search.
 Cells are cut into tiles of bounded size, each pair of tiles a task of its own,
@@ -27,10 +28,10 @@ from .common import components, settle
 
 COSINE = 0.95
 RECALL = 0.999
-#: Vectors of a cell that routing aims at, and of a tile at most.
-CELL, TILE = 1000, 1024
+#: Vectors at home in a cell that routing aims at, and on either side of a tile, about, at most.
+CELL, TILE, TILE_RIGHT = 400, 1024, 4096
 #: Projections counted in a cell, and the half width of windows in deviations of a pair at the limit.
-COUNTED, REACH, ROUTE_REACH = 16, 2.0, 1.0
+COUNTED, REACH, ROUTE_REACH = 12, 2.0, 1.0
 #: Vectors that fit the middles of the routing projections at most.
 FIT_ROWS = 20_000
 SEED = 9
@@ -126,23 +127,28 @@ def _route(classes: DataFrame, depth: int, tables: int, middles: dict[int, np.nd
     return classes.select("node", "weight", "vector").mapInArrow(batches, _ROUTED)
 
 
-def count_collisions(a: np.ndarray, b: np.ndarray, width: float) -> np.ndarray:
-    """How many projections have each row of ``b`` in the window around each row of ``a``.
+def order_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each projection sorted, and the place of each row in its order."""
+    order = np.argsort(b, axis=0, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(b))[:, None] * np.ones((1, b.shape[1]), dtype=order.dtype), axis=0)
+    return np.take_along_axis(b, order, axis=0), place.astype(np.uint32)
 
-    Each projection of ``b`` is sorted once; a window is a stretch of the order.
+
+def count_collisions(a: np.ndarray, lines: np.ndarray, place: np.ndarray, width: float) -> np.ndarray:
+    """How many projections have each sorted row in the window around each row of ``a``.
+
+    A window is a stretch of the order, so a row is in it if its place is.
     """
-    counts = np.zeros((len(a), len(b)), dtype=np.int8)
-    rows = np.arange(len(a))
+    counts = np.zeros((len(a), len(place)), dtype=np.int8)
+    ahead, inside = np.empty(counts.shape, dtype=np.uint32), np.empty(counts.shape, dtype=bool)
     for k in range(a.shape[1]):
-        order = np.argsort(b[:, k], kind="stable")
-        line = b[order, k]
-        edge = np.zeros((len(a), len(b) + 1), dtype=np.int8)
-        edge[rows, np.searchsorted(line, a[:, k] - width, "left")] += 1
-        edge[rows, np.searchsorted(line, a[:, k] + width, "right")] -= 1
-        inside = np.cumsum(edge[:, :-1], axis=1, dtype=np.int8)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        counts += inside[:, place]
+        first = np.searchsorted(lines[:, k], a[:, k] - width, "left").astype(np.uint32)
+        end = np.searchsorted(lines[:, k], a[:, k] + width, "right").astype(np.uint32)
+        # unsigned: a place before the stretch is far beyond its length
+        np.subtract(place[:, k][None, :], first[:, None], out=ahead)
+        np.less(ahead, (end - first)[:, None], out=inside)
+        counts += inside.view(np.int8)
     return counts
 
 
@@ -191,24 +197,23 @@ _FOUND = "u long, v long, links long"
 
 def _tile(table: pa.Table, depth: int, middles: dict[int, np.ndarray], tables: int, cosine: float, reach: float, least: int, width: float) -> pa.Table:
     t, dim, cell = (table.column(c)[0].as_py() for c in ("trial", "dim", "cell"))
-    left, right = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    block = np.asarray(table.column("block"))
     cols = {c: np.asarray(table.column(c)) for c in ("node", "weight", "home", "low", "high")}
-    x = unit(np.asarray(table.column("vector").combine_chunks().flatten()).reshape(-1, dim))
-    ia = np.flatnonzero(block == left)
-    ib = np.flatnonzero(block == right)
+    ia, ib = (np.flatnonzero(np.asarray(table.column(c))) for c in ("as_left", "as_right"))
     if not len(ia) or not len(ib):
         return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    x = unit(np.asarray(table.column("vector").combine_chunks().flatten()).reshape(-1, dim))
     routing = x @ projections(dim, depth * tables, 0) - middles.get(dim, np.zeros(depth * tables))
-    line = x @ projections(dim, COUNTED, 1)
+    on = x @ projections(dim, COUNTED, 1)
+    lines, place = order_of(on[ib])
+    place = np.asfortranarray(place)
     a, b = ({c: v[k] for c, v in cols.items()} for k in (ia, ib))
+    visitor = b["home"] != cell
     hits_a, hits_b = [], []
-    for at in range(0, len(ia), 256):
-        part = np.arange(at, min(at + 256, len(ia)))
-        passed = count_collisions(line[ia[part]], line[ib], width) >= least
-        passed &= (a["home"][part][:, None] == cell) | (b["home"] == cell)[None, :]
-        if left == right:
-            passed &= part[:, None] < np.arange(len(ib))[None, :]
+    for at in range(0, len(ia), 64):
+        part = np.arange(at, min(at + 64, len(ia)))
+        passed = count_collisions(on[ia[part]], lines, place, width) >= least
+        # those at home meet once, by the lesser node
+        passed &= visitor[None, :] | (a["node"][part][:, None] < b["node"][None, :])
         i, j = np.nonzero(passed)
         for k in range(0, len(i), 100_000):
             p, q = part[i[k:k + 100_000]], j[k:k + 100_000]
@@ -226,7 +231,7 @@ def _tile(table: pa.Table, depth: int, middles: dict[int, np.ndarray], tables: i
 
 
 def near_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-                cell: int = CELL, tile: int = TILE, fit_rows: int = FIT_ROWS) -> DataFrame:
+                cell: int = CELL, tile: int = TILE, tile_right: int = TILE_RIGHT, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of each row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
@@ -254,13 +259,19 @@ def near_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     for dim, vectors in by_dim.items():
         middles[dim] = np.median(unit(np.array(vectors)) @ projections(dim, depth * tables, 0), axis=0)
     routed = _route(classes, depth, tables, middles, reach)
-    crowded = routed.groupBy("trial", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile).select(
-        "trial", "dim", "cell", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
-    spread = routed.join(crowded, ["trial", "dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    tiles = spread.withColumn("to", F.explode(to)).select(
-        "trial", "dim", "cell", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "block", "node", "weight", "home", "low", "high", "vector")
+    at_home = F.col("home") == F.col("cell")
+    crowded = routed.groupBy("trial", "dim", "cell").agg(F.count(F.when(at_home, 1)).alias("n_home"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("n_home") > tile) | (F.col("n") > tile_right)).select(
+        "trial", "dim", "cell", F.greatest(F.lit(1), F.ceil(F.col("n_home") / tile)).cast("int").alias("lefts"), F.ceil(F.col("n") / tile_right).cast("int").alias("rights"))
+    spread = routed.join(crowded, ["trial", "dim", "cell"], "left").withColumn("lefts", F.coalesce("lefts", F.lit(1))).withColumn("rights", F.coalesce("rights", F.lit(1)))
+    spread = spread.withColumn("l", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lefts")).cast("int")).withColumn(
+        "r", F.pmod(F.xxhash64("node", F.lit(4)), F.col("rights")).cast("int"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: F.struct(
+        k.alias("i"), F.col("r").alias("j"), ((k == F.col("l")) & at_home).alias("as_left"), F.lit(True).alias("as_right")))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: (k != F.col("r")) & at_home), lambda k: F.struct(
+        F.col("l").alias("i"), k.alias("j"), F.lit(True).alias("as_left"), F.lit(False).alias("as_right")))
+    tiles = spread.withColumn("to", F.explode(F.concat(as_right, as_left))).select(
+        "trial", "dim", "cell", "to.*", "node", "weight", "home", "low", "high", "vector")
 
     def search(table: pa.Table) -> pa.Table:
         return _tile(table, depth, middles, tables, cosine, reach, least, width)
