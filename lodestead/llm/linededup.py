@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 MIN_WORDS = 5
 _SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _LAST = (1 << 63) - 1
@@ -84,7 +86,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     u = unit_rows(docs, id_col, text_col, min_words)
     often = u.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h1").alias("k1"))
-    again = u.join(often, F.col("h1") == F.col("k1")).drop("k1")
+    # read twice below, and far smaller than the texts it comes from
+    again = settle(u.join(often, F.col("h1") == F.col("k1")).drop("k1"))
     rank = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), F.col("start"))
     first = again.groupBy("h1", "h2").agg(F.min(rank).alias("first")).select(
         F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
