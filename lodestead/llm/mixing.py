@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, settle
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -21,6 +21,8 @@ MAX_REPEAT = 3
 SEED = 20
 #: Least documents of a shard, before their number grows with the root of the source's.
 SHARD_ROWS = 64
+#: Rows of sources or shards that are broadcast at most (some tens of bytes each).
+SMALL_ROWS = 200_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT) -> DataFrame:
@@ -73,6 +75,12 @@ def apportion(parties: DataFrame, votes: str, seats: Column, by: list[str], orde
         out, F.col("_low") + F.col("_w")).drop("_low", "_w")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` computed once, and sent to every task while it has at most ``SMALL_ROWS`` rows; beyond, joins shuffle."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, block: int = 64, seed: int = SEED,
         carry: list[str] | None = None) -> DataFrame:
@@ -95,16 +103,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
     sources = apportion(sources, "target", blocks, [], ["source"], "source_blocks")
     shards_of = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(SHARD_ROWS)), F.sqrt("n_docs"))).cast("long")
-    sources = sources.withColumn("n_shards", F.greatest(F.lit(1).cast("long"), shards_of)).select(
-        F.col("source").alias("_source"), "source_size", "target", "source_blocks", "n_shards")
+    sources = _small(sources.withColumn("n_shards", F.greatest(F.lit(1).cast("long"), shards_of)).select(
+        F.col("source").alias("_source"), "source_size", "target", "source_blocks", "n_shards"))
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     draw = F.xxhash64(F.lit(seed), "doc_id", "size")
     rows = rows.withColumn("draw", draw).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("n_shards")))
     shards = rows.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    quotas = apportion(shards, "shard_size", F.col("source_blocks"), ["source"], ["shard"], "quota").select(
+    quotas = _small(apportion(shards, "shard_size", F.col("source_blocks"), ["source"], ["shard"], "quota").select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size",
-        F.least(F.col("quota") * block, F.col("shard_size") * cap).alias("words"))
+        F.least(F.col("quota") * block, F.col("shard_size") * cap).alias("words")))
     rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     stream = Window.partitionBy("source", "shard").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(
         Window.unboundedPreceding, -1)
