@@ -16,15 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 WINDOW = 8
 SHORTEST = 5
 #: A leak covers this share of an item's template, or a run of two windows.
 COVERAGE = 0.5
 #: Window hashes of the benchmark that are sent to the executors at most (8 bytes each).
 BROADCAST_HASHES = 1 << 21
+#: Texts whose tokens are held at a time.
+_SLICE = 2000
 
 # Words that fill slots.
 NUMBER_WORDS = frozenset(
@@ -84,77 +88,106 @@ def template_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return of, np.where(kind == _LITERAL, exact, slots[kind]), exact, kind, codes, [s[0] for s in seen]
 
 
-def windows(of: np.ndarray, hashes: np.ndarray, exact: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` tokens in one text.
-
-    A window of more slots than literals says too little as a template: its
-    words are hashed as they are.
-    """
+def windows(of: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``size`` tokens in one text."""
     n = len(of) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    literal = np.zeros(n, dtype=np.int16)
-    for k in range(size):
-        literal += kind[k:k + n] == _LITERAL
-    bare = 2 * literal < size
     total = np.full(n, size, dtype=np.uint64)
     for k in range(size):
         total = (total ^ (total >> np.uint64(29))) * _MULTIPLIER + hashes[k:k + n]
-    few = np.flatnonzero(bare)
-    own = np.full(len(few), size, dtype=np.uint64)
-    for k in range(size):
-        own = (own ^ (own >> np.uint64(29))) * _MULTIPLIER + exact[few + k]
-    total[few] = own
     at = np.flatnonzero(of[:n] == of[size - 1:])
     return at, total[at]
 
 
-_ROW = "id long, pos int, size int, h long, slots array<string>"
+_ROW = "id long, pos int, size int, h long, way byte, slots array<struct<p:int,v:string>>"
+#: Ways to hash a window: by its template, or its words as they are.
+_TEMPLATE, _EXACT = 0, 1
 
 
 def window_rows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Template windows of each text: ``id``, ``pos`` (token), ``size``, ``h``, ``slots`` (kind:value).
+    """Windows of each text: ``id``, ``pos`` (token), ``size``, ``h``, ``way``, ``slots`` (token, kind:value).
 
+    A window with slots is also hashed as it is. One of more slots than literals
+    says too little as a template, and only its words are hashed.
     ``wanted``: sorted hashes; windows of other hashes are left out (None: all stay).
     """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (big.slice(i, _SLICE) for big in it for i in range(0, len(big), _SLICE)):
             of, hashes, exact, kind, codes, words = template_tokens(b.column(1))
             begin = np.searchsorted(of, np.arange(len(b)))
+            slots_to = np.zeros(len(kind) + 1, dtype=np.int32)
+            np.cumsum(kind != _LITERAL, out=slots_to[1:])
             for size in sizes:
-                at, h = windows(of, hashes, exact, kind, size)
-                if wanted is not None and len(wanted):
-                    where = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    hit = wanted[where] == h
+                for way, values in ((_TEMPLATE, hashes), (_EXACT, exact)):
+                    at, h = windows(of, values, size)
+                    n = slots_to[at + size] - slots_to[at]
+                    hit = n > 0 if way == _EXACT else 2 * n <= size
+                    if wanted is not None and len(wanted):
+                        where = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                        hit &= wanted[where] == h
+                    elif wanted is not None:
+                        hit[:] = False
                     at, h = at[hit], h[hit]
-                elif wanted is not None:
-                    at, h = at[:0], h[:0]
-                for i in range(0, len(at), 50_000):
-                    a = at[i:i + 50_000]
-                    slots = [[f"{kind[k]}:{words[codes[k]]}" for k in range(x, x + size) if kind[k]] for x in a]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(of[a])), pa.array((a - begin[of[a]]).astype(np.int32)),
-                         pa.array(np.full(len(a), size, np.int32)), pa.array(h[i:i + 50_000].view(np.int64)),
-                         pa.array(slots, pa.list_(pa.string()))], ["id", "pos", "size", "h", "slots"])
+                    for i in range(0, len(at), 50_000):
+                        a = at[i:i + 50_000]
+                        first = begin[of[a]]
+                        slots = [[(k - f, f"{kind[k]}:{words[codes[k]]}") for k in range(x, x + size) if kind[k]] for x, f in zip(a.tolist(), first.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(of[a])), pa.array((a - first).astype(np.int32)),
+                             pa.array(np.full(len(a), size, np.int32)), pa.array(h[i:i + 50_000].view(np.int64)), pa.array(np.full(len(a), way, np.int8)),
+                             pa.array([[{"p": k, "v": v} for k, v in x] for x in slots], pa.list_(pa.struct([("p", pa.int32()), ("v", pa.string())])))],
+                            ["id", "pos", "size", "h", "way", "slots"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(batches, _ROW)
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, sizes: list[int]) -> DataFrame:
-    """One row per template class: ``item`` (least id), ``template``, ``n_tokens``."""
+    """One row per wording: ``template``, ``wording`` (keys), ``item`` (least id of the template), ``t``, ``n_tokens``, ``slots``, ``pattern``.
+
+    ``slots`` are (token, kind:value); ``pattern`` numbers the values in order,
+    so items whose slots are equal and unequal alike have the same.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            of, hashes, *_ = template_tokens(b.column(1))
+            of, hashes, exact, kind, codes, words = template_tokens(b.column(1))
             n = np.bincount(of, minlength=len(b))
             ends = np.cumsum(n)
-            key = [xxhash.xxh3_128_hexdigest(hashes[e - k:e].tobytes()) for e, k in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array(n.astype(np.int64))], ["item", "t", "template", "n_tokens"])
+            keys, own, slots, pattern = [], [], [], []
+            for e, k in zip(ends.tolist(), n.tolist(), strict=True):
+                keys.append(xxhash.xxh3_128_hexdigest(hashes[e - k:e].tobytes()))
+                own.append(xxhash.xxh3_64_intdigest(hashes[e - k:e].tobytes() + exact[e - k:e].tobytes()))
+                at = [x for x in range(e - k, e) if kind[x]]
+                values = [f"{kind[x]}:{words[codes[x]]}" for x in at]
+                number = {v: i for i, v in enumerate(dict.fromkeys(values))}
+                slots.append([{"p": x - e + k, "v": v} for x, v in zip(at, values, strict=True)])
+                pattern.append([number[v] for v in values])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(n.astype(np.int64)),
+                 pa.array(slots, pa.list_(pa.struct([("p", pa.int32()), ("v", pa.string())]))), pa.array(pattern, pa.list_(pa.int32()))],
+                ["item", "t", "template", "wording", "n_tokens", "slots", "pattern"])
 
-    return (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("t"))
-            .mapInArrow(batches, "item long, t string, template string, n_tokens long")
-            .filter(F.col("n_tokens") >= min(sizes))
-            .groupBy("template").agg(F.min(F.struct("item", "t", "n_tokens")).alias("x")).select("x.*"))
+    each = (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("t"))
+            .mapInArrow(batches, "item long, t string, template string, wording long, n_tokens long, slots array<struct<p:int,v:string>>, pattern array<int>")
+            .filter(F.col("n_tokens") >= min(sizes)))
+    wordings = each.groupBy("template", "wording").agg(F.min(F.struct("item", "t", "n_tokens", "slots", "pattern")).alias("x"), F.min("item").alias("least"))
+    least = wordings.groupBy("template").agg(F.min("least").alias("named"))
+    return wordings.join(least, "template").select("template", "wording", F.col("named").alias("item"), "x.t", "x.n_tokens", "x.slots", "x.pattern")
+
+
+def _covered(at: Column, size: Column) -> Column:
+    """Tokens under windows of ``size`` that begin ``at`` (sorted), and the longest run of them."""
+    return F.aggregate(
+        at, F.struct(F.lit(-1_000_000).alias("last"), F.lit(0).alias("covered"), F.lit(0).alias("run"), F.lit(0).alias("longest")),
+        lambda s, p: F.struct(
+            p.alias("last"), (s["covered"] + F.least(size, p - s["last"])).alias("covered"),
+            F.when(p == s["last"] + 1, s["run"] + 1).otherwise(size).alias("run"),
+            F.greatest(s["longest"], F.when(p == s["last"] + 1, s["run"] + 1).otherwise(size)).alias("longest")))
+
+
+def _one_to_one(pairs: Column) -> Column:
+    return (F.size(pairs) == F.size(F.array_distinct(pairs["b"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["d"])))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -162,8 +195,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (template tokens), ``item_tokens``: documents that hold a benchmark item.
 
-    Items of one template are one class, named by its least id, so a benchmark
-    made from few templates multiplies nothing. Items of fewer tokens than a
+    Items of one template are one class, named by its least id, and its template
+    windows are joined once. A document holds an item of the class if the values
+    map one to one from the slots of any of its items (each pattern of equal and
+    unequal slots is tried once), together with that item's windows of many
+    slots, which must be there verbatim; or if enough of an item is there
+    verbatim, whatever stands around it. Items of fewer tokens than a
     window are one window; those under five tokens aren't looked for. The
     benchmark's window hashes go to the executors while there are at most
     ``broadcast_hashes``; beyond, all document windows take part in the join.
@@ -172,9 +209,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     sizes = list(range(SHORTEST, window + 1))
     items = _items(benchmark, item_col, item_text_col, sizes).cache()
-    rows = window_rows(items, "item", "t", sizes, None).join(items.select("item", "n_tokens"), F.col("id") == F.col("item"))
+    rows = window_rows(items, "wording", "t", sizes, None).join(
+        items.select("template", "wording", "n_tokens"), F.col("id") == F.col("wording"))
     rows = rows.filter(F.col("size") == F.least(F.lit(window), F.col("n_tokens"))).select(
-        "item", "n_tokens", F.col("pos").alias("b_pos"), F.col("size").alias("b_size"), F.col("h").alias("b_h"), F.col("slots").alias("b_slots")).cache()
+        "template", F.when(F.col("way") == _EXACT, F.col("wording")).alias("wording"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"),
+        F.col("h").alias("b_h"), F.size("slots").alias("n_slots"), F.col("slots.p").alias("b_at")).distinct().cache()
     used = sorted(r["b_size"] for r in rows.select("b_size").distinct().collect())
     distinct = rows.select("b_h").distinct()
     few = distinct.limit(broadcast_hashes + 1).collect()
@@ -183,19 +222,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         wanted = np.sort(np.array([r[0] for r in few], dtype=np.int64).view(np.uint64))
     found = window_rows(docs, id_col, text_col, used or [window], wanted)
     joined = found.join(rows, (F.col("h") == F.col("b_h")) & (F.col("size") == F.col("b_size")))
-    pairs = F.transform(F.arrays_zip(F.col("b_slots"), F.col("slots")), lambda x: F.struct(x["b_slots"].alias("b"), x["slots"].alias("d")))
-    diagonal = joined.withColumn("pairs", pairs).groupBy(
-        "id", "item", "n_tokens", (F.col("pos") - F.col("b_pos")).alias("shift"), "size").agg(
-        F.array_sort(F.collect_set("b_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
-    run = F.aggregate(
-        F.col("at"), F.struct(F.lit(-1_000_000).alias("last"), F.lit(0).alias("covered"), F.lit(0).alias("run"), F.lit(0).alias("longest")),
-        lambda s, p: F.struct(
-            p.alias("last"), (s["covered"] + F.least(F.col("size"), p - s["last"])).alias("covered"),
-            F.when(p == s["last"] + 1, s["run"] + 1).otherwise(F.col("size")).alias("run"),
-            F.greatest(s["longest"], F.when(p == s["last"] + 1, s["run"] + 1).otherwise(F.col("size"))).alias("longest")))
-    scored = diagonal.filter(one_to_one).withColumn("r", run)
-    return scored.filter((F.col("r.covered") >= F.col("n_tokens") * coverage) | (F.col("r.longest") >= 2 * window)).groupBy(
+    many = 2 * F.col("n_slots") > F.col("size")
+    # a document's slots where the template has words have no place in it
+    values = F.filter(F.arrays_zip(F.col("b_at").alias("p"), F.col("slots.v").alias("v")), lambda x: x["p"].isNotNull())
+    # one row per alignment of a document on a template (no wording), and on a wording's verbatim windows
+    aligned = settle(joined.groupBy("id", "template", "wording", (F.col("pos") - F.col("b_pos")).alias("shift"), "size").agg(
+        F.array_sort(F.collect_set("b_pos")).alias("at"),
+        F.array_sort(F.collect_set(F.when(F.col("n_slots") == 0, F.col("b_pos")))).alias("plain"),
+        F.array_sort(F.collect_set(F.when(many, F.col("b_pos")))).alias("many"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("wording").isNull(), values)))).alias("values")))
+    enough = (F.col("r.covered") >= F.col("n_tokens") * coverage) | (F.col("r.longest") >= 2 * window)
+    number = F.map_from_arrays(F.col("slots.p"), F.col("pattern"))
+    pairs = F.transform("values", lambda x: F.struct(F.element_at(number, x["p"]).alias("b"), x["v"].alias("d")))
+
+    by_template = aligned.filter(F.col("wording").isNull()).drop("wording")
+    patterns = items.select("template", "item", "n_tokens", F.col("slots.p").alias("p"), "pattern").distinct()
+    as_template = by_template.join(patterns, "template").withColumn("r", _covered(F.col("at"), F.col("size"))).filter(enough)
+    as_template = as_template.withColumn("slots", F.arrays_zip("p")).withColumn("pairs", F.array_distinct(pairs)).filter(_one_to_one(F.col("pairs")))
+
+    under = by_template.select(F.col("id").alias("t_id"), F.col("template").alias("t_template"), F.col("shift").alias("t_shift"), F.col("size").alias("t_size"),
+                               F.col("at").alias("t_at"), F.col("plain").alias("t_plain"), F.col("values").alias("t_values"))
+    by_wording = aligned.filter(F.col("wording").isNotNull()).drop("plain", "values").join(
+        items.select(F.col("template").alias("i_template"), F.col("wording").alias("i_wording"), "item", "n_tokens", "slots", "pattern"),
+        (F.col("template") == F.col("i_template")) & (F.col("wording") == F.col("i_wording")))
+    none = F.array().cast("array<int>")
+    by_wording = by_wording.join(
+        under, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("template") == F.col("t_template")) & (F.col("shift") == F.col("t_shift")) & (F.col("size") == F.col("t_size")), "left"
+    ).withColumn("values", F.coalesce("t_values", F.array().cast("array<struct<p:int,v:string>>")))
+    verbatim = by_wording.withColumn("r", _covered(F.array_sort(F.array_union("at", F.coalesce("t_plain", none))), F.col("size"))).filter(enough)
+    inside = F.filter("slots", lambda x: F.exists("many", lambda b: (b <= x["p"]) & (x["p"] < b + F.col("size"))))
+    own = F.transform(inside, lambda x: F.struct(F.element_at(number, x["p"]).alias("b"), x["v"].alias("d")))
+    mixed = by_wording.filter(F.size("many") > 0).withColumn(
+        "r", _covered(F.array_sort(F.array_union("many", F.coalesce("t_at", none))), F.col("size"))).filter(enough)
+    mixed = mixed.withColumn("pairs", F.array_union(pairs, own)).filter(_one_to_one(F.col("pairs")))
+    parts = [x.select("id", "item", "r", "n_tokens") for x in (as_template, verbatim, mixed)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
         F.max("r.covered").cast("long").alias("matched"), F.max("n_tokens").alias("item_tokens"))
 

@@ -270,6 +270,27 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.drop_leaking(frame, bench).collect()} >= {4}
 
 
+def test_every_item_of_a_template_is_found(spark):
+    item = "At the small market by the river Tom has {} apples and {} pears in a basket made of straw."
+    names = "Alice Bob Carol David Emma Frank Grace Henry Ivan Jack James Jane"
+    listed = "The list for today reads {} and that is all of it."
+    other = " ".join(reversed(names.split()))
+    bench = [(1, item.format(3, 3)), (2, item.format(3, 5)), (3, listed.format(names)), (4, listed.format(other))]
+    mixed = "by the river Tom has 8 apples and 9 pears in a basket made of wood"
+    held = item.format(4, 4).replace("apples and 4 pears", "apples and 6 plums")
+    rows = [(1, "x " + item.format(3, 3)), (2, "x " + item.format(3, 5)), (3, "x " + item.format(7, 9)), (4, f"So the clerk said: {other}, then left."),
+            (5, "x " + names), (6, mixed), (7, "x " + held)]
+    bench, frame = spark.createDataFrame(bench, "item_id bigint, text string"), spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hashes in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, broadcast_hashes=hashes).collect()}
+        assert got >= {(1, 1), (2, 1), (3, 1), (4, 3), (5, 3), (6, 1)}
+    # neither item has this pattern, but more than half of it is there word for word
+    long = item.format(3, 5) + " He sold {} of them to Bob and then {} more of them to Carol later that day."
+    bench = spark.createDataFrame([(1, long.format(2, 2)), (2, long.format(2, 4))], "item_id bigint, text string")
+    frame = spark.createDataFrame([(1, long.format(2, 3).replace("3 more", "5 more")), (2, long.format(5, 3))], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()} >= {(1, 1), (2, 1)}
+
+
 def _junk(rnd, t):
     kind = rnd.randrange(4)
     words = t.split()
