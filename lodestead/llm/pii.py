@@ -194,7 +194,7 @@ def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[i
                 found.add((start, end, kind))
     out: list[tuple[int, int, int]] = []
     for start, end, kind in sorted(found, key=lambda x: (x[2], x[0], -x[1])):
-        clash = any(start < e and s < end for s, e, _ in plain) or any(start < e and s < end and k == kind for s, e, k in out)
+        clash = any(s <= start and end <= e and k == kind for s, e, k in plain) or any(start < e and s < end and k == kind for s, e, k in out)
         if not clash:
             out.append((start, end, kind))
     return out
@@ -224,7 +224,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_sha256``, ``spans`` of each row, without a shuffle.
 
     The numbers and ``spans`` are of all spans, plain and disguised; the digest
-    is of the plain ones. A disguised span that meets a plain one isn't added.
+    is of the plain ones, which all stay. A disguised span is added beside them
+    unless a plain one of its kind covers it.
     Null and empty texts have none; null ids stay null; repeated rows are
     returned each; an empty table gives no rows.
     """

@@ -250,6 +250,15 @@ def test_clean_texts_stay(text):
     assert pii.find_all(text) == ([], []) or text == "Look at that.com"
 
 
+@pytest.mark.parametrize("text, whole, part", [
+    ("x jоhn@example.com y", "jоhn@example.com", "hn@example.com"), ("x john․doe@ex.org y", "john․doe@ex.org", "doe@ex.org"),
+    ("x ann@mail.exаmple.com y", "ann@mail.exаmple.com", "ann@mail.ex")])
+def test_disguises_around_plain_parts(text, whole, part):
+    plain, every = pii.find_all(text)
+    assert [text[a:z] for a, z, _ in plain] == [part] and {text[a:z] for a, z, _ in every} == {whole, part}
+    assert pii.redact_text(text) == "x [EMAIL] y"
+
+
 def test_pii_rows(spark):
     t = "ann@ex.org 10.2.3.4"
     r = pii.find_pii(spark.createDataFrame([(1, t), (2, None)], "doc_id bigint, text string")).orderBy("doc_id").collect()
