@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and sentences.
 
-Units are the sentences of each line; one of under ``min_words`` words is joined
-to what follows in its line. Units are normalised (lower case, blanks collapsed,
-marks at the ends dropped) and digested to 128 bits. Digests are counted over
+Units are the sentences of each line. One of under ``min_words`` words says too
+little by itself: it counts as seen if it was seen within a run of neighbours in
+its line, before or after it, that has so many. What is hashed is normalised
+(lower case, blanks collapsed, marks at the ends dropped) and digested to 128 bits. Digests are counted over
 all documents; the earliest occurrence, by document id and offset, stays, and
 the others are given back as spans of the original text.
 """
@@ -25,22 +26,48 @@ _SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _LAST = (1 << 63) - 1
 
 
+def _digest(words: list[str], short: tuple[int, ...] = ()) -> bytes:
+    key = " ".join(words).strip(".,;:!?-\"'() ") + "".join(f"\n{k}" for k in short)
+    return xxhash.xxh3_128_digest(key.encode("utf-8", "replace"))
+
+
+def _windows(line: list[tuple[int, int, list[str]]], min_words: int) -> Iterator[tuple[int, int]]:
+    """First and last sentence of the shortest runs of ``min_words`` words from, and up to, each sentence."""
+    for i in range(len(line)):
+        for step in (1, -1):
+            j, n = i, len(line[i][2])
+            while n < min_words and 0 <= j + step < len(line):
+                j += step
+                n += len(line[j][2])
+            if n >= min_words and i != j:
+                yield min(i, j), max(i, j)
+
+
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of ``min_words`` words or more."""
-    out: list[tuple[int, int, bytes]] = []
-    held: tuple[int, list[str]] | None = None
+    """(start, end, digest) of the sentences of ``min_words`` words or more, and of the shorter ones of each run; these can overlap."""
+    lines: list[list[tuple[int, int, list[str]]]] = []
     last = 0
     for m in _SENTENCE.finditer(text or ""):
-        start, words = m.start(), m.group().lower().split()
-        if held and "\n" not in text[last:start]:
-            start, words = held[0], held[1] + words
-        held, last = None, m.end()
-        if len(words) < min_words:
-            held = (start, words)
+        if not lines or "\n" in text[last:m.start()]:
+            lines.append([])
+        last = m.end()
+        lines[-1].append((m.start(), last, m.group().lower().split()))
+    out: list[tuple[int, int, bytes]] = []
+    for line in lines:
+        short = [len(words) < min_words for _, _, words in line]
+        out += [(a, z, _digest(words)) for (a, z, words), s in zip(line, short, strict=True) if not s]
+        if not any(short):
             continue
-        key = " ".join(words).strip(".,;:!?-\"'() ")
-        out.append((start, m.end(), xxhash.xxh3_128_digest(key.encode("utf-8", "replace"))))
-    return out
+        ends: dict[bytes, int] = {}
+        for i, j in sorted(set(_windows(line, min_words))):
+            inside = [k for k in range(i, j + 1) if short[k]]
+            start, end = line[inside[0]][0], line[inside[-1]][1]
+            d = _digest([w for _, _, x in line[i:j + 1] for w in x], (inside[0] - i, inside[-1] - i))
+            # a run that repeats within itself is one
+            if start >= ends.get(d, 0):
+                ends[d] = end
+                out.append((start, end, d))
+    return sorted(out)
 
 
 def unit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,7 +120,12 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
     drop = again.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).filter(
         (F.col("first.id") != F.coalesce("id", F.lit(_LAST))) | (F.col("first.start") != F.col("start")))
-    return drop.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    joined = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("start", "end"))), F.array().cast("array<struct<start:int,end:int>>"),
+        lambda s, x: F.when((F.size(s) > 0) & (F.element_at(s, -1)["end"] > x["start"]), F.concat(
+            F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["start"].alias("start"), F.greatest(F.element_at(s, -1)["end"], x["end"]).alias("end"))))
+        ).otherwise(F.concat(s, F.array(x))))
+    return drop.groupBy("id").agg(joined.alias("spans"))
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -208,6 +208,20 @@ def test_line_dedup(spark, docs, corpus):
         assert cut[i] == keep + t[at:]
 
 
+def test_line_dedup_behind_short_sentences(spark):
+    rnd = random.Random(98)
+    single, first, second = (_text(rnd, n).replace(".", "") + "." for n in (60, 20, 20))
+    passage = f"{first} Mind it. {second} So be it."
+    rows = [(1, f"Of. {single} Ends so."), (2, f"Read more. {single} Other end."), (3, f"Sten. {passage} Bye."), (4, f"Well now. {passage} Go."),
+            (5, f"Our words come before and {passage} But these come after it all.")]
+    got = {r.doc_id: r for r in linededup.dedup_units(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    pieces = {i: [t[int(a):int(z)] for a, z in (x.split(":") for x in got[i].removed.split(",") if x)] for i, t in rows}
+    assert pieces[1] == pieces[3] == [] and pieces[2] == [single]
+    assert pieces[4] == [first, "Mind it.", second, "So be it."]
+    # its first sentence is part of another here
+    assert pieces[5] == ["Mind it.", second, "So be it."]
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
