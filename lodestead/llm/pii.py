@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters looked at before and after a sign of disguise.
+#: Characters looked at before and after a sign of disguise at first; more where something is found near the end of them.
 _AROUND = 160
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,10 +31,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-# Look-alikes of Latin letters, by code point, and common last labels of domains.
+# Look-alikes of Latin letters, by code point, words that announce an address, and common last labels of domains.
 LOOKALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝⅼ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυ" "․‐‑‒–−＿",
     "ABESIJKMHOPCTYXaesijopcyxhdqwl" "ABEZHIKMNOPTYXaiknopu" ".-----_", strict=True))
+CUES = ("mail", "contact", "write to", "address", "reach", "send", "schreib", "kontakt", "correo", "courriel", "contacto", "écri")
 LAST_LABELS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv us uk de fr es it nl eu ca au in br jp ru pl se ch at be".split())
 DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 # End of fixed values.
@@ -172,26 +173,17 @@ def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[i
         signs += [m.span() for m in _PLUS.finditer(text)]
     if not signs:
         return []
-    signs.sort()
-    stretches: list[list[int]] = []
-    for a, z in signs:
-        a, z = max(0, a - _AROUND), min(len(text), z + _AROUND)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = max(z, stretches[-1][1])
-        else:
-            stretches.append([a, z])
     found: set[tuple[int, int, int]] = set()
-    for a, z in stretches:
-        source = text[a:z]
-        for tape in _normalised(source, a):
-            for s, e, kind in find_plain(tape.text):
-                start, end = tape.start[s], tape.end[e - 1]
-                written = tape.text[s:e]
-                if text[start:end] == written:
-                    continue
-                if kind == 0 and " " in text[start:end].strip() and not _address_like(text[start:end], written):
-                    continue
-                found.add((start, end, kind))
+    for a, z in _stretches(text, signs):
+        while True:
+            here = _found_in(text, a, z)
+            # what begins or ends near the edge may go on beyond it
+            wider_a = a and any(s < a + _AROUND // 2 for s, _, _ in here)
+            wider_z = z < len(text) and any(e > z - _AROUND // 2 for _, e, _ in here)
+            if not wider_a and not wider_z:
+                break
+            a, z = _whole_words(text, a - (z - a) * wider_a, z + (z - a) * wider_z)
+        found |= here
     out: list[tuple[int, int, int]] = []
     for start, end, kind in sorted(found, key=lambda x: (x[2], x[0], -x[1])):
         clash = any(s <= start and end <= e and k == kind for s, e, k in plain) or any(start < e and s < end and k == kind for s, e, k in out)
@@ -200,11 +192,65 @@ def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[i
     return out
 
 
-def _address_like(source: str, written: str) -> bool:
-    """Spaced-out addresses are believed if the marks are bracketed or the last label is a usual one."""
-    if re.search(r"[(\[{<]\s*(?:at|a|@)\s*[)\]}>]", source, re.I):
+def _whole_words(text: str, a: int, z: int) -> tuple[int, int]:
+    """The stretch, grown to blanks on either side, so no word is cut however long it is."""
+    a, z = max(0, a), min(len(text), z)
+    while a and not text[a - 1].isspace():
+        a -= 1
+    while z < len(text) and not text[z].isspace():
+        z += 1
+    return a, z
+
+
+def _stretches(text: str, signs: list[tuple[int, int]]) -> list[list[int]]:
+    """The surroundings of the signs, joined where they meet."""
+    out: list[list[int]] = []
+    for a, z in sorted(signs):
+        if out and z + _AROUND <= out[-1][1]:
+            continue
+        a, z = _whole_words(text, a - _AROUND, z + _AROUND)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(z, out[-1][1])
+        else:
+            out.append([a, z])
+    return out
+
+
+def _found_in(text: str, a: int, z: int) -> set[tuple[int, int, int]]:
+    """Identifiers that rewriting the stretch from ``a`` to ``z`` shows and the text as it is doesn't."""
+    found = set()
+    for tape in _normalised(text[a:z], a):
+        for s, e, kind in find_plain(tape.text):
+            start, end = tape.start[s], tape.end[e - 1]
+            written = tape.text[s:e]
+            if text[start:end] == written:
+                continue
+            if kind == 0 and any(c.isspace() for c in text[start:end]) and not _address_like(text, start, end, written):
+                continue
+            found.add((start, end, kind))
+    return found
+
+
+_BRACKETED = re.compile(r"[(\[{<]\s*(?:at|a|@)\s*[)\]}>]", re.I)
+
+
+def _address_like(text: str, start: int, end: int, written: str) -> bool:
+    """Whether a spaced-out address is believed.
+
+    A bracketed "at" is enough. Otherwise the last label must be a usual one,
+    and a bare "at" also needs a second sign: a spelled or spaced dot, a mark or
+    digit in the local part, or a word that announces an address shortly before.
+    Prose ("he looked at example.org") has none of them.
+    """
+    source = text[start:end]
+    if _BRACKETED.search(source):
+        return True
+    if written.rpartition(".")[2].lower() not in LAST_LABELS:
+        return False
+    if "@" in source or _DOT.search(source):
         return True
-    return written.rpartition(".")[2].lower() in LAST_LABELS
+    before = text[max(0, start - 40):start].lower()
+    return bool(re.search(r"[0-9._%+-]", written.partition("@")[0])) or any(c in before for c in CUES)
 
 
 def find_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
