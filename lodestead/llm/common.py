@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import ensure_checkpoint_dir, settle
 
-__all__ = ["ASCII_LOWER", "WORD", "components", "ensure_checkpoint_dir", "settle", "words_of"]
+__all__ = ["ASCII_LOWER", "SMALL_ROWS", "WORD", "components", "ensure_checkpoint_dir", "settle", "small", "words_of"]
+
+#: Rows of some tens of bytes that are broadcast at most.
+SMALL_ROWS = 200_000
 
 #: A word is a run of anything but the ASCII blanks 0x20 and 0x09-0x0D;
 #: ``bytes.split()`` without arguments cuts at exactly these.
@@ -22,6 +25,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(ASCII_LOWER).split() if text else []
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` computed once, and sent to every task while it has at most ``SMALL_ROWS`` rows; beyond, joins shuffle."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

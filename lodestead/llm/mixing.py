@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, small
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -21,8 +21,8 @@ MAX_REPEAT = 3
 SEED = 20
 #: Least documents of a shard, before their number grows with the root of the source's.
 SHARD_ROWS = 64
-#: Rows of sources or shards that are broadcast at most (some tens of bytes each).
-SMALL_ROWS = 200_000
+#: Names of the columns that the mix adds.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT) -> DataFrame:
@@ -75,42 +75,43 @@ def apportion(parties: DataFrame, votes: str, seats: Column, by: list[str], orde
         out, F.col("_low") + F.col("_w")).drop("_low", "_w")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` computed once, and sent to every task while it has at most ``SMALL_ROWS`` rows; beyond, joins shuffle."""
-    df = settle(df)
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEAT, block: int = 64, seed: int = SEED,
         carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of each row.
 
-    With ``carry``, those columns of ``docs`` come in place of ``doc_id``.
+    With ``carry``, those columns of ``docs`` come in place of ``doc_id``; one
+    that has the name of an added column, whatever its case, comes as
+    ``<name>_before``.
 
     ``size`` is the number of words (null text: 0). A quota is ``block`` words
     times its blocks, held to ``cap`` times the shard's size, so no document is
     taken more than ``cap`` times. Null sources are one source, ordered last;
     null ids form streams like any other; repeated rows are separate documents;
-    an empty table gives no rows; with no words at all every target is zero.
+    documents of one draw are ordered by id and size, and only rows equal in id
+    and text can tie, so reruns agree; an empty table gives no rows; with no
+    words at all every target is zero. Texts of any length are counted whole.
     """
     carried = [F.struct(*carry).alias("_carried")] if carry else []
+    text = F.col(text_col).cast("string")
+    # 120 bits of the seed, id and text: 60 order a stream, 60 deal the shards
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
     sized = docs.select(
-        *carried, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        *carried, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), digest.alias("_digest"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = source_targets(sources, weights, cap)
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")
     sources = apportion(sources, "target", blocks, [], ["source"], "source_blocks")
     shards_of = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(SHARD_ROWS)), F.sqrt("n_docs"))).cast("long")
-    sources = _small(sources.withColumn("n_shards", F.greatest(F.lit(1).cast("long"), shards_of)).select(
+    sources = small(sources.withColumn("n_shards", F.greatest(F.lit(1).cast("long"), shards_of)).select(
         F.col("source").alias("_source"), "source_size", "target", "source_blocks", "n_shards"))
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    draw = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = rows.withColumn("draw", draw).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("n_shards")))
+    part = [F.conv(F.substring("_digest", at, 15), 16, 10).cast("long") for at in (1, 16)]
+    rows = rows.withColumn("draw", part[0]).withColumn("shard", F.pmod(part[1], F.col("n_shards"))).drop("_digest")
     shards = rows.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    quotas = _small(apportion(shards, "shard_size", F.col("source_blocks"), ["source"], ["shard"], "quota").select(
+    quotas = small(apportion(shards, "shard_size", F.col("source_blocks"), ["source"], ["shard"], "quota").select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size",
         F.least(F.col("quota") * block, F.col("shard_size") * cap).alias("words")))
     rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
@@ -120,5 +121,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0))
     rest = F.col("words") - rounds * F.col("shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    first = [F.col("_carried")[c].alias(c) for c in carry] if carry else ["doc_id"]
-    return rows.withColumn("taken", taken.cast("long")).select(*first, "size", "source_size", "target", "taken")
+    first = [F.col("_carried").getField(c).alias(f"{c}_before" if c.lower() in ADDED else c) for c in carry] if carry else ["doc_id"]
+    return rows.withColumn("taken", taken.cast("long")).select(*first, *ADDED)
