@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small
 
 WINDOW = 8
+#: Items of fewer tokens are looked for as whole texts only: inside others they say too little.
 SHORTEST = 5
 #: A leak covers this share of an item's template, or a run of two windows.
 COVERAGE = 0.5
@@ -100,29 +101,34 @@ def windows(of: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray,
     return at, total[at]
 
 
-_ROW = "id long, pos int, size int, h long, way byte, slots array<struct<p:int,v:string>>"
+_ROW = "id long, th long, pos int, size int, h long, way byte, slots array<struct<p:int,v:string>>"
 #: Ways to hash a window: by its template, or its words as they are.
 _TEMPLATE, _EXACT = 0, 1
 
 
 def window_rows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Windows of each text: ``id``, ``pos`` (token), ``size``, ``h``, ``way``, ``slots`` (token, kind:value).
+    """Windows of each text: ``id``, ``th`` (hash of the text), ``pos`` (token), ``size``, ``h``, ``way``, ``slots`` (token, kind:value).
 
     A window with slots is also hashed as it is. One of more slots than literals
-    says too little as a template, and only its words are hashed.
+    says too little as a template, and only its words are hashed; so are windows
+    of fewer than ``SHORTEST`` tokens, which only texts of just so many have.
     ``wanted``: sorted hashes; windows of other hashes are left out (None: all stay).
     """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (big.slice(i, _SLICE) for big in it for i in range(0, len(big), _SLICE)):
-            of, hashes, exact, kind, codes, words = template_tokens(b.column(1))
+            of, hashes, exact, kind, codes, words = template_tokens(b.column(2))
             begin = np.searchsorted(of, np.arange(len(b)))
+            n_tokens = np.bincount(of, minlength=len(b))
             slots_to = np.zeros(len(kind) + 1, dtype=np.int32)
             np.cumsum(kind != _LITERAL, out=slots_to[1:])
             for size in sizes:
                 for way, values in ((_TEMPLATE, hashes), (_EXACT, exact)):
                     at, h = windows(of, values, size)
                     n = slots_to[at + size] - slots_to[at]
-                    hit = n > 0 if way == _EXACT else 2 * n <= size
+                    if size < SHORTEST:
+                        hit = (n_tokens[of[at]] == size) & (way == _EXACT)
+                    else:
+                        hit = n > 0 if way == _EXACT else 2 * n <= size
                     if wanted is not None and len(wanted):
                         where = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                         hit &= wanted[where] == h
@@ -134,16 +140,17 @@ def window_rows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wan
                         first = begin[of[a]]
                         slots = [[(k - f, f"{kind[k]}:{words[codes[k]]}") for k in range(x, x + size) if kind[k]] for x, f in zip(a.tolist(), first.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(of[a])), pa.array((a - first).astype(np.int32)),
+                            [b.column(0).take(pa.array(of[a])), b.column(1).take(pa.array(of[a])), pa.array((a - first).astype(np.int32)),
                              pa.array(np.full(len(a), size, np.int32)), pa.array(h[i:i + 50_000].view(np.int64)), pa.array(np.full(len(a), way, np.int8)),
                              pa.array([[{"p": k, "v": v} for k, v in x] for x in slots], pa.list_(pa.struct([("p", pa.int32()), ("v", pa.string())])))],
-                            ["id", "pos", "size", "h", "way", "slots"])
+                            ["id", "th", "pos", "size", "h", "way", "slots"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(batches, _ROW)
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(batches, _ROW)
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, sizes: list[int]) -> DataFrame:
-    """One row per wording: ``template``, ``wording`` (keys), ``item`` (least id of the template), ``t``, ``n_tokens``, ``slots``, ``pattern``.
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row per wording, and one per item (``item``, ``template``). Of a wording: ``template``, ``wording`` (keys), ``item`` (least id of the template), ``t``, ``n_tokens``, ``slots``, ``pattern``.
 
     ``slots`` are (token, kind:value); ``pattern`` numbers the values in order,
     so items whose slots are equal and unequal alike have the same.
@@ -170,10 +177,12 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, sizes: list[int])
 
     each = (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("t"))
             .mapInArrow(batches, "item long, t string, template string, wording long, n_tokens long, slots array<struct<p:int,v:string>>, pattern array<int>")
-            .filter(F.col("n_tokens") >= min(sizes)))
+            .filter(F.col("n_tokens") > 0))
+    each = settle(each)
     wordings = each.groupBy("template", "wording").agg(F.min(F.struct("item", "t", "n_tokens", "slots", "pattern")).alias("x"), F.min("item").alias("least"))
     least = wordings.groupBy("template").agg(F.min("least").alias("named"))
-    return wordings.join(least, "template").select("template", "wording", F.col("named").alias("item"), "x.t", "x.n_tokens", "x.slots", "x.pattern")
+    named = wordings.join(least, "template").select("template", "wording", F.col("named").alias("item"), "x.t", "x.n_tokens", "x.slots", "x.pattern")
+    return named, each.select("item", "template")
 
 
 def _covered(at: Column, size: Column) -> Column:
@@ -190,30 +199,51 @@ def _one_to_one(pairs: Column) -> Column:
     return (F.size(pairs) == F.size(F.array_distinct(pairs["b"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["d"])))
 
 
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``item_id``, ``class_id`` of each benchmark item: the least id of its template, under which ``leaks`` tells of it.
+
+    Items without tokens are in no class; repeated rows come once; items without
+    an id have a null ``item_id``.
+    """
+    wordings, each = _items(benchmark, item_col, item_text_col)
+    named = wordings.select("template", F.col("item").alias("class_id")).distinct()
+    return each.join(named, "template").select(F.col("item").alias("item_id"), "class_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE,
           broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (template tokens), ``item_tokens``: documents that hold a benchmark item.
 
-    Items of one template are one class, named by its least id, and its template
-    windows are joined once. A document holds an item of the class if the values
-    map one to one from the slots of any of its items (each pattern of equal and
-    unequal slots is tried once), together with that item's windows of many
-    slots, which must be there verbatim; or if enough of an item is there
-    verbatim, whatever stands around it. Items of fewer tokens than a
-    window are one window; those under five tokens aren't looked for. The
+    Items of one template are one class, named by its least id (``item_classes``
+    tells the members), and its template windows are joined once. A document
+    holds an item of the class if the values map one to one from the slots of
+    any of its items (each pattern of equal and unequal slots is tried once),
+    together with that item's windows of many slots, which must be there
+    verbatim; or if enough of an item is there verbatim, whatever stands around
+    it. Items of fewer tokens than a window are one window; those under
+    ``SHORTEST`` tokens are looked for as whole texts. The
     benchmark's window hashes go to the executors while there are at most
     ``broadcast_hashes``; beyond, all document windows take part in the join.
-    Null and empty texts have no windows; empty tables give no rows; repeated
-    rows of an id count once; rows without an id are looked at together.
+    Null and empty texts have no windows; empty tables give no rows; a document
+    is known by id and text, so rows of one id and unlike texts are read apart;
+    repeated rows count once; rows without an id are told under a null id.
     """
-    sizes = list(range(SHORTEST, window + 1))
-    items = _items(benchmark, item_col, item_text_col, sizes).cache()
-    rows = window_rows(items, "wording", "t", sizes, None).join(
+    found = _leaking(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage, broadcast_hashes)
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.max("matched").cast("long").alias("matched"), F.max("n_tokens").alias("item_tokens"))
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int,
+             coverage: float, broadcast_hashes: int) -> DataFrame:
+    """``id``, ``th``, ``item``, ``matched``, ``n_tokens``: what of which document holds which class."""
+    items = settle(_items(benchmark, item_col, item_text_col)[0])
+    rows = window_rows(items, "wording", "t", list(range(1, window + 1)), None).drop("th").join(
         items.select("template", "wording", "n_tokens"), F.col("id") == F.col("wording"))
     rows = rows.filter(F.col("size") == F.least(F.lit(window), F.col("n_tokens"))).select(
         "template", F.when(F.col("way") == _EXACT, F.col("wording")).alias("wording"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"),
-        F.col("h").alias("b_h"), F.size("slots").alias("n_slots"), F.col("slots.p").alias("b_at")).distinct().cache()
+        F.col("h").alias("b_h"), F.size("slots").alias("n_slots"), F.col("slots.p").alias("b_at")).distinct()
+    rows = settle(rows)
     used = sorted(r["b_size"] for r in rows.select("b_size").distinct().collect())
     distinct = rows.select("b_h").distinct()
     few = distinct.limit(broadcast_hashes + 1).collect()
@@ -226,7 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # a document's slots where the template has words have no place in it
     values = F.filter(F.arrays_zip(F.col("b_at").alias("p"), F.col("slots.v").alias("v")), lambda x: x["p"].isNotNull())
     # one row per alignment of a document on a template (no wording), and on a wording's verbatim windows
-    aligned = settle(joined.groupBy("id", "template", "wording", (F.col("pos") - F.col("b_pos")).alias("shift"), "size").agg(
+    aligned = settle(joined.groupBy("id", "th", "template", "wording", (F.col("pos") - F.col("b_pos")).alias("shift"), "size").agg(
         F.array_sort(F.collect_set("b_pos")).alias("at"),
         F.array_sort(F.collect_set(F.when(F.col("n_slots") == 0, F.col("b_pos")))).alias("plain"),
         F.array_sort(F.collect_set(F.when(many, F.col("b_pos")))).alias("many"),
@@ -240,14 +270,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     as_template = by_template.join(patterns, "template").withColumn("r", _covered(F.col("at"), F.col("size"))).filter(enough)
     as_template = as_template.withColumn("slots", F.arrays_zip("p")).withColumn("pairs", F.array_distinct(pairs)).filter(_one_to_one(F.col("pairs")))
 
-    under = by_template.select(F.col("id").alias("t_id"), F.col("template").alias("t_template"), F.col("shift").alias("t_shift"), F.col("size").alias("t_size"),
+    under = by_template.select(F.col("id").alias("t_id"), F.col("th").alias("t_th"), F.col("template").alias("t_template"), F.col("shift").alias("t_shift"), F.col("size").alias("t_size"),
                                F.col("at").alias("t_at"), F.col("plain").alias("t_plain"), F.col("values").alias("t_values"))
     by_wording = aligned.filter(F.col("wording").isNotNull()).drop("plain", "values").join(
         items.select(F.col("template").alias("i_template"), F.col("wording").alias("i_wording"), "item", "n_tokens", "slots", "pattern"),
         (F.col("template") == F.col("i_template")) & (F.col("wording") == F.col("i_wording")))
     none = F.array().cast("array<int>")
     by_wording = by_wording.join(
-        under, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("template") == F.col("t_template")) & (F.col("shift") == F.col("t_shift")) & (F.col("size") == F.col("t_size")), "left"
+        under, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th")) & (F.col("template") == F.col("t_template")) & (F.col("shift") == F.col("t_shift")) & (F.col("size") == F.col("t_size")), "left"
     ).withColumn("values", F.coalesce("t_values", F.array().cast("array<struct<p:int,v:string>>")))
     verbatim = by_wording.withColumn("r", _covered(F.array_sort(F.array_union("at", F.coalesce("t_plain", none))), F.col("size"))).filter(enough)
     inside = F.filter("slots", lambda x: F.exists("many", lambda b: (b <= x["p"]) & (x["p"] < b + F.col("size"))))
@@ -255,13 +285,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     mixed = by_wording.filter(F.size("many") > 0).withColumn(
         "r", _covered(F.array_sort(F.array_union("many", F.coalesce("t_at", none))), F.col("size"))).filter(enough)
     mixed = mixed.withColumn("pairs", F.array_union(pairs, own)).filter(_one_to_one(F.col("pairs")))
-    parts = [x.select("id", "item", "r", "n_tokens") for x in (as_template, verbatim, mixed)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(
-        F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
-        F.max("r.covered").cast("long").alias("matched"), F.max("n_tokens").alias("item_tokens"))
+    parts = [x.select("id", "th", "item", F.col("r.covered").alias("matched"), "n_tokens") for x in (as_template, verbatim, mixed)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no benchmark item; rows without an id stay unless their group does."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__leaking_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__leaking_id")), "left_anti")
+    """The rows of ``docs`` (all columns) that hold no benchmark item.
+
+    Only rows of a leaking id and text go, so other texts of the same id, or
+    without an id, stay; null and empty texts stay; repeated rows go or stay
+    together. The list of leaking rows is sent to the texts while it is small;
+    beyond that they meet by hash.
+    """
+    found = _leaking(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW, COVERAGE, BROADCAST_HASHES)
+    bad = small(found.select(F.col("id").alias("__leaking_id"), F.col("th").alias("__leaking_th")).distinct())
+    same = (F.xxhash64(F.col(text_col).cast("string")) == F.col("__leaking_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("__leaking_id"))
+    return docs.join(bad, same, "left_anti")
