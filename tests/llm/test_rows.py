@@ -85,6 +85,16 @@ def test_keep_one_keeps_one(spark, docs):
     assert sorted(r.text for r in simhash.keep_one(twins).collect()) == ["one two three four five", "six seven eight nine ten"]
 
 
+def test_mix_keeps_clashing_columns(spark, docs):
+    frame = docs.withColumn("taken", F.lit("t")).withColumn("Target", F.lit(2)).withColumn("source_size", F.lit(3))
+    out = mixing.mix(frame, carry=frame.columns)
+    assert out.columns == [*[f"{c}_before" if c.lower() in mixing.ADDED else c for c in frame.columns], *mixing.ADDED]
+    assert out.count() == docs.count() and {r.taken_before for r in out.collect()} == {"t"}
+    twins = spark.createDataFrame([(None, f"word number {i}", "a") for i in range(50)], "doc_id bigint, text string, source string")
+    first, again = (sorted(map(tuple, mixing.mix(x, carry=["text"]).collect())) for x in (twins, twins.repartition(7)))
+    assert first == again
+
+
 def test_embeddings_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]),
