@@ -123,25 +123,74 @@ def test_tokens_equal_the_library():
         assert [tokens.count_spliced(t, x, chunk, overlap) for x in odd] == whole
 
 
-def test_language_model(docs, corpus):
-    got = {r.doc_id: r for r in lm.score(docs, least_batches=7).collect()}
+def _model_reference(corpus, order):
+    """Scores by dictionaries of counts and the recursion of the smoothing, text by text."""
     seq = {i: re.findall(r"[^\x20\x09-\x0D]+", _lower(t)) + [None] for i, t in corpus}
-    train = [i for i in seq if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two = Counter(), Counter()
+    train = {i for i in seq if zlib.crc32(str(i).encode()) % 7 != 2}
+    count = Counter()
     for i in train:
-        one.update(seq[i])
-        two.update(zip(["<s>", *seq[i]], seq[i], strict=False))
-    n, v = sum(one.values()), len(one)
+        x = ["<s>", *seq[i]]
+        count.update(tuple(x[a:a + n]) for n in range(1, order + 1) for a in range(len(x) - n + 1))
+    n, v = sum(len(seq[i]) for i in train), len({k for k in count if len(k) == 1 and k != ("<s>",)})
+
+    def p(h, w):
+        if not h:
+            return (count[w,] + 1) / (n + v + 1)
+        c = count[h]
+        if c < (1 if len(h) == 1 else lm.LEAST_HISTORY):
+            return p(h[1:], w)
+        m = c ** lm.HEAPS
+        return (count[(*h, w)] + m * p(h[1:], w)) / (c + m)
+
+    out = {}
     for i, words in seq.items():
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in words)
-        score = 0.0
-        for h, w in zip(["<s>", *words], words, strict=False):
-            c, p = (one[None] if h == "<s>" else one[h]), (one[w] + 1) / (n + v + 1)
-            m = max(c, 1) ** lm.HEAPS
-            score += math.log10((two[h, w] + m * p) / (c + m)) if c else math.log10(p)
-        r = got[i]
+        x = ["<s>", *words]
+        base = sum(math.log10(p((), w)) for w in words)
+        score = sum(math.log10(p(tuple(x[max(0, k - order + 1):k]), x[k])) for k in range(1, len(x)))
+        out[i] = (base, score, (len(words), sum(count[w,] > 0 for w in words), n, i not in train))
+    return out
+
+
+@pytest.mark.parametrize("order, batches", [(3, 7), (2, 3), (4, 1), (3, 40)])
+def test_language_model(spark, docs, corpus, order, batches):
+    want = _model_reference(corpus, order)
+    rows = lm.score(docs, order=order, least_batches=batches).collect()
+    assert len(rows) == len(corpus)
+    for r in rows:
+        base, score, rest = want[r.doc_id]
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(one[w] > 0 for w in words), n, i not in set(train))
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == rest
+
+
+def test_language_model_reads_crowds_once(spark, corpus):
+    rows = [*corpus[:40], *[corpus[3]] * 30, *[(None, "")] * 5, *[(None, corpus[5][1])] * 30]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    few, many = ([tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in lm.score(frame, least_batches=5, batch_chars=c).select(columns).collect()]
+                 for c in (1 << 24, 4000))
+    assert len(few) == len(rows) and sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_segments_carry_the_state(corpus):
+    texts = pa.array([t for _, t in corpus])
+    tokens, begin = lm.digests(texts)
+    counts = []
+    for n in (1, 2, 3):
+        part = list(lm.levels(tokens, begin, counts, n))[-1]
+        counts.append(np.bincount(part.which, minlength=len(part.distinct)))
+    auto = lm.Automaton(tokens, begin, list(lm.levels(tokens, begin, counts, 3)), counts, len(tokens), len(counts[0]), lm.HEAPS)
+    whole = auto.read(begin, 3, segment=1 << 30)
+    for size in (2, 3, 10, 64):
+        assert auto.read(begin, 3, segment=size) == pytest.approx(whole, rel=1e-12)
+    # every state's probabilities sum to one, those of unknown words included
+    n_words = auto.n_words
+    for s in [0, auto.start, *range(1, len(auto.failure), 97)]:
+        _, weight = auto.step(np.full(n_words, s), np.arange(n_words))
+        unknown, at = 0.0, s
+        while at:
+            unknown, at = unknown + auto.failure_weight[at], auto.failure[at]
+        total = (10.0**weight).sum() + 10.0**unknown / (len(tokens) + n_words + 1)
+        assert total == pytest.approx(1.0, abs=1e-9)
 
 
 def test_mixing_targets_and_quotas(docs, corpus):
