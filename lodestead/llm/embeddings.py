@@ -98,7 +98,7 @@ def _visits(low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray,
     return row, cell
 
 
-_ROUTED = "trial int, dim int, cell long, node long, weight long, home long, low long, high long, vector array<double>"
+_ROUTED = "trial int, dim int, cell long, node long, weight long, home long, low long, high long, vector array<{}>"
 
 
 def _route(classes: DataFrame, depth: int, tables: int, middles: dict[int, np.ndarray], reach: float) -> DataFrame:
@@ -124,7 +124,8 @@ def _route(classes: DataFrame, depth: int, tables: int, middles: dict[int, np.nd
                              pa.array(low[row]), pa.array(high[row]), vectors.take(pa.array(at[row]))],
                             ["trial", "dim", "cell", "node", "weight", "home", "low", "high", "vector"])
 
-    return classes.select("node", "weight", "vector").mapInArrow(batches, _ROUTED)
+    kind = classes.schema["vector"].dataType.elementType.simpleString()
+    return classes.select("node", "weight", "vector").mapInArrow(batches, _ROUTED.format(kind))
 
 
 def order_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def _tile(table: pa.Table, depth: int, middles: dict[int, np.ndarray], tables: i
     ia, ib = (np.flatnonzero(np.asarray(table.column(c))) for c in ("as_left", "as_right"))
     if not len(ia) or not len(ib):
         return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-    x = unit(np.asarray(table.column("vector").combine_chunks().flatten()).reshape(-1, dim))
+    x = unit(np.asarray(table.column("vector").combine_chunks().flatten().cast(pa.float64())).reshape(-1, dim))
     routing = x @ projections(dim, depth * tables, 0) - middles.get(dim, np.zeros(depth * tables))
     on = x @ projections(dim, COUNTED, 1)
     lines, place = order_of(on[ib])
@@ -237,9 +238,12 @@ def near_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, and vectors of different lengths don't link. Copies link with
     each other; a repeated id is another row. An empty table gives no rows.
-    Classes are named by a 64-bit hash of their vector.
+    Classes are named by a 64-bit hash of their vector. Float vectors travel as
+    floats; projections and cosines are in double precision.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+    given = rows.schema[vector_col].dataType.elementType.simpleString()
+    kind = given if given == "float" else "double"
+    v = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).withColumn("ok", _valid(F.col("vector")))
     keyed = base.withColumn("node", F.when(F.col("ok"), F.xxhash64("vector"))).withColumn(
         "node2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "vector")))
@@ -252,12 +256,11 @@ def near_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     reach, width = ROUTE_REACH * sigma, REACH * sigma
     least = calibrated_count(COUNTED, _within(REACH), RECALL)
     middles: dict[int, np.ndarray] = {}
-    some = classes.select("vector").orderBy("node").limit(fit_rows).collect() if depth else []
-    by_dim: dict[int, list] = {}
-    for r in some:
-        by_dim.setdefault(len(r[0]), []).append(r[0])
-    for dim, vectors in by_dim.items():
-        middles[dim] = np.median(unit(np.array(vectors)) @ projections(dim, depth * tables, 0), axis=0)
+    if depth:
+        some = classes.select("vector").orderBy("node").limit(fit_rows).toArrow().column(0).combine_chunks()
+        for at in _matrix(some)[1]:
+            x = unit(_rows(some, at))
+            middles[x.shape[1]] = np.median(x @ projections(x.shape[1], depth * tables, 0), axis=0)
     routed = _route(classes, depth, tables, middles, reach)
     at_home = F.col("home") == F.col("cell")
     crowded = routed.groupBy("trial", "dim", "cell").agg(F.count(F.when(at_home, 1)).alias("n_home"), F.count(F.lit(1)).alias("n")).filter(
