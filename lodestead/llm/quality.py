@@ -24,7 +24,7 @@ BITS = 12
 #: Documents of each posterior class that train the scorer at most: the least hashes of id and text size.
 SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.5
-#: Heuristics are written to spare good texts: of those they vote on, a labeller condemns at most this share.
+#: Heuristics are written to spare good texts: a labeller is taken to condemn at most this share of those it votes on (1: no bound).
 FALSE_ALARM = 0.01
 
 # Frequent function words of the languages looked for.
@@ -95,10 +95,12 @@ class LabelModel:
     posterior: dict[str, float]
 
 
-def estimate(counts: dict[str, int], rounds: int = 200) -> LabelModel:
+def estimate(counts: dict[str, int], rounds: int = 200, false_alarm: float = FALSE_ALARM) -> LabelModel:
     """Expectation-maximisation over vote patterns ("+", "-", "." for each labeller) and their numbers.
 
     Starts from the balance of votes; a pattern without votes keeps the prior.
+    ``false_alarm`` bounds how often a labeller may be wrong on good texts: without
+    it, a kind of bad text that only one labeller knows can be taken for good.
     """
     patterns = sorted(counts)
     k = len(LABELLERS)
@@ -117,7 +119,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> LabelModel:
         # a labeller that says nothing tells nothing: only votes cast are modelled
         chance = np.einsum("cp,pkv->ckv", w, onehot) * [1, 0, 1] + 0.5
         chance /= chance[:, :, [0]] + chance[:, :, [2]]
-        chance[1, :, 0] = np.minimum(chance[1, :, 0], FALSE_ALARM)
+        chance[1, :, 0] = np.minimum(chance[1, :, 0], false_alarm)
         chance[1, :, 2] = 1 - chance[1, :, 0]
         chance[:, :, 1] = 1.0
         logit = np.log(prior / (1 - prior)) + np.einsum("pkv,kv->p", onehot, np.log(chance[1] / chance[0]))
@@ -149,10 +151,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     slots: dict[int, float] = {}
     for s, c in one.items():
-        k = _slot("1" + s[:12])
+        k = _slot("1" + s)
         slots[k] = slots.get(k, 0.0) + c / n
     for (a, b), c in two.items():
-        k = _slot(f"2{a[:12]} {b[:12]}")
+        k = _slot(f"2{a} {b}")
         slots[k] = slots.get(k, 0.0) + c / n
     k = _slot("again")
     slots[k] = slots.get(k, 0.0) + again
@@ -260,7 +262,11 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 
 def keep_accepted(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text is accepted."""
+    """The rows of ``docs`` (all columns) whose text is accepted.
+
+    Null and empty texts go; repeated rows stay or go together; texts of any
+    length are read whole; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     where = docs.columns.index(text_col)
 
