@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle, words_of
+from .common import components, settle, small, words_of
 
 SEED = 42
-SEGMENTS = 16
+SEGMENTS = 32
 _BLOCK = 1 << 16
 
 
@@ -116,18 +116,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row (all columns) of each group of ``docs``: that of least id, rows without an id last.
 
-    A row is known by id and text, so rows of one id but unlike texts are
-    separate documents; of repeated rows that are kept, one stays.
+    Groups are those of ``simhash_groups``: at most two bits of 64 apart, link by
+    link. A row is known by id and text, so rows of one id but unlike texts are
+    separate documents; of repeated rows that are kept, one stays. Texts without
+    words, null ones too, are one group; an empty table stays empty. Texts of
+    any length are read whole. The texts of kept rows move once.
     """
-    groups = _grouped(docs.select(id_col, text_col), id_col, text_col, 3)
+    groups = _grouped(docs.select(id_col, text_col), id_col, text_col, shingle)
     rows = groups.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "h", "n")).alias("x"))
-    kept = first.select(F.col("x.id").alias("__kept_id"), F.col("x.h").alias("__kept_h"), F.col("x.n").alias("__times"))
-    text = F.col(text_col).cast("string")
-    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text) == F.col("__kept_h")))
-    once = found.filter(F.col("__times") == 1).select(docs.columns)
-    again = found.filter(F.col("__times") > 1).select(docs.columns).dropDuplicates([id_col, text_col])
+    kept = settle(first.select(F.col("x.id").alias("__kept_id"), F.col("x.h").alias("__kept_h"), F.col("x.n").alias("__times")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__kept_h"))
+    once = docs.join(kept.filter("__times = 1"), same, "left_semi")
+    again = docs.join(small(kept.filter("__times > 1")), same, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(again)
