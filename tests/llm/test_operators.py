@@ -524,6 +524,61 @@ def test_votes_are_estimated():
     assert m.posterior[good] > 0.99 and m.posterior[bad] < 0.01 and 0.5 < m.posterior["." * 11] < 1
 
 
+def test_estimation_document_by_document():
+    rnd = random.Random(12)
+    k = len(quality.LABELLERS)
+    docs = []
+    for _ in range(1500):
+        good = rnd.random() < 0.8
+        docs.append("".join("." if rnd.random() < 0.3 else "+-"[(rnd.random() < (0.05 if good else 0.6 + 0.03 * j))] for j in range(k)))
+    model = quality.estimate(Counter(docs), rounds=60, false_alarm=1.0)
+    q = [1 / (1 + math.exp(-max(-20, min(20, d.count("+") - 2.5 * d.count("-"))))) for d in docs]
+    for _ in range(60):
+        prior = (sum(q) + 1) / (len(docs) + 2)
+        bad_vote = []
+        for j in range(k):
+            of = []
+            for weight in ([1 - x for x in q], q):
+                plus, minus = (0.5 + sum(w for w, d in zip(weight, docs, strict=True) if d[j] == c) for c in "+-")
+                of.append(minus / (plus + minus))
+            bad_vote.append(of)
+        new = []
+        for d in docs:
+            odds = math.log(prior / (1 - prior))
+            for c, (b, g) in zip(d, bad_vote, strict=True):
+                odds += math.log(g / b) if c == "-" else math.log((1 - g) / (1 - b)) if c == "+" else 0.0
+            new.append(1 / (1 + math.exp(-odds)))
+        q = new
+    assert max(abs(model.posterior[d] - x) for d, x in zip(docs, q, strict=True)) < 1e-6
+    # what was drawn comes out: how often each labeller condemns bad texts
+    assert all(abs(bad_vote[j][0] - (0.6 + 0.03 * j)) < 0.12 and bad_vote[j][1] < 0.1 for j in range(k))
+
+
+def test_scorer_word_by_word(spark):
+    rnd = random.Random(13)
+    texts = [_text(rnd, rnd.randint(5, 40)) if i % 3 else " ".join(x.upper() + "!!" for x in _text(rnd, 20).split()) for i in range(90)]
+    target = np.array([0.95 if i % 3 else 0.05 for i in range(90)])
+    size = 1 << quality.BITS
+
+    def dense(t):
+        out, words = [0.0] * size, t.split()
+        shape = [re.sub(r"\d+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", w))) for w in words]
+        for kind, values in (("1", shape), ("2", [f"{a} {b}" for a, b in zip(shape, shape[1:], strict=False)])):
+            for v in values:
+                out[xxhash.xxh3_64_intdigest((kind + v).encode()) % size] += 1 / len(words)
+        out[xxhash.xxh3_64_intdigest(b"again") % size] += sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+        return np.sqrt(out)
+
+    x = np.array([dense(t) for t in texts])
+    scorer = quality.fit_scorer([quality.features(t) for t in texts], target, steps=3000)
+    p = 1 / (1 + np.exp(-(x @ scorer.weights + scorer.bias)))
+    weight = np.where(target >= 0.5, 0.5 / (target >= 0.5).sum(), 0.5 / (target < 0.5).sum())
+    assert np.abs(x.T @ (weight * (p - target)) + 1e-4 * scorer.weights).max() < 1e-4
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in quality.score(frame, scorer).collect()}
+    assert all(got[i] == pytest.approx(p[i], abs=1e-6) for i in got)
+
+
 def test_own_kernel():
     for unit in ("idiot", "i-d-i-o-t", "banana", "abab"):
         codes = toxicity.codes_of([unit], len(unit) + 2)
