@@ -9,10 +9,12 @@ is linear in the kernel values of the landmarks, so it folds into one table over
 four-character sequences, and a unit of text is scored by summing that table
 over the unit's sequences.
 
-A document is a bag of sentences, a sentence a bag of units (words, and runs of
-single characters that spell a word). A label belongs to the document: in a
-toxic one at least one unit is to blame. Training picks the blamed unit of each
-toxic document, fits, and picks anew.
+A document is a bag of units: words, and runs of single characters that spell a
+word. Labels belong to documents, not to sentences, so a sentence counts through
+its words. In a toxic document at least one unit is to blame. Training picks
+blamed units by how their documents are labelled, fits, picks anew where none
+was found, and learns the clean units that the machine took for insults. The
+worst different units of a text are judged together by a logistic scale.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ THRESHOLD = 0.7
 SAMPLE_PER_CLASS = 2000
 LANDMARKS = 320
 #: Blamed and blameless units that are candidates for landmarks and training at most.
-CANDIDATES, OTHERS = 3000, 6000
+CANDIDATES, OTHERS = 3000, 3000
 #: Blamed units that are also learned in disguise, and what makes blame sure, in nats.
-DISGUISED, SURE, LIKELY = 48, 14.0, 6.0
-#: Units that can't decide above this are not normalised exactly; all score the same.
-FLOOR = -1.0
+DISGUISED, SURE, LIKELY = 40, 5.0, 4.0
+#: Rounds of picking anew; how many clean units, seen how often at least, are learned in each because the machine takes them for insults.
+MININGS, HARD, HARD_SEEN, MINED = 1, 100, 3, -0.5
+#: Different units of a text that are judged together, and the decision at which one of them says nothing.
+TOP, WEAK = 3, -0.5
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 _LEET = str.maketrans("01345$@!", "oieassai")
 
@@ -109,16 +113,16 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``table``: weight of each sequence; ``bias``; ``slope`` and ``shift`` of the logistic scale."""
+    """``table``: weight of each sequence; ``bias``; ``joint``: logistic scale of the worst units, its shift last; ``landmarks`` and their weights."""
 
     table: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    joint: tuple[float, ...]
+    landmarks: tuple[tuple[str, float], ...] = ()
 
     def decide(self, units: list[str]) -> np.ndarray:
-        """Decision of each unit, never under FLOOR; exact above it."""
-        out = np.full(len(units), FLOOR)
+        """Decision of each unit: its kernel values with the landmarks, weighted, less the bias."""
+        out = np.full(len(units), -self.bias)
         length = np.array([min(len(u) + 2, WIDTH) for u in units])
         for width in np.unique(length):
             if width < ORDER:
@@ -127,20 +131,39 @@ class Model:
             for i in range(0, len(at), 8_000):
                 part = at[i:i + 8_000]
                 codes = codes_of([units[k] for k in part], int(width))
-                raw, least = np.zeros(len(part)), np.zeros(len(part))
+                raw = np.zeros(len(part))
                 for key, ok, weight in _sequences(codes):
                     raw += self.table[key] * (ok * weight)
-                    least += ok * weight**2
-                # the own kernel is at least the sum of squares, so this bounds the decision from above
-                bound = np.where(least > 0, np.maximum(raw, 0) / np.sqrt(np.maximum(least, 1e-300)), 0.0) - self.bias
-                near = np.flatnonzero(bound > FLOOR)
-                if len(near):
-                    norm = np.sqrt(np.maximum(self_kernel(codes[near]), 1e-300))
-                    out[part[near]] = np.maximum(FLOOR, raw[near] / norm - self.bias)
+                some = np.flatnonzero(raw)
+                if len(some):
+                    out[part[some]] += raw[some] / np.sqrt(np.maximum(self_kernel(codes[some]), 1e-300))
         return out
 
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(self.slope * decision + self.shift)))
+    def worst(self, text_no: np.ndarray, unit_no: np.ndarray, decided: np.ndarray, n: int) -> np.ndarray:
+        """The decisions of the ``TOP`` worst different units of each of ``n`` texts; a text without units has none but the bias."""
+        out = np.full((n, TOP), WEAK)
+        first = np.full(n, -np.inf)
+        np.maximum.at(first, text_no, decided[unit_no])
+        some = decided[unit_no] > WEAK
+        pair = np.unique(text_no[some] * len(decided) + unit_no[some])
+        text, value = pair // max(1, len(decided)), decided[pair % max(1, len(decided))]
+        order = np.lexsort((-value, text))
+        text, value = text[order], value[order]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        few = place < TOP
+        out[text[few], place[few]] = value[few]
+        out[:, 0] = np.where(np.isfinite(first), first, -self.bias)
+        return out
+
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        """Probability by the worst units together, as if toxic texts were as many as others."""
+        together = worst @ np.array(self.joint[:-1]) + self.joint[-1]
+        return 1.0 / (1.0 + np.exp(-np.clip(together, -700, 700)))
+
+
+def _constant(logit: float) -> Model:
+    """A model that scores every text alike."""
+    return Model(np.zeros(LETTERS**ORDER), 0.0, (0.0,) * TOP + (logit,))
 
 
 def _edge_strip(units: pa.Array) -> pa.Array:
@@ -244,6 +267,53 @@ def _unlike(bags: list[list[str]], toxic: list[int]) -> list[int]:
     return out
 
 
+class _Known:
+    """Sparse rows of units and their kernel values, kept from round to round."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.columns: dict[str, dict[str, float]] = {}
+
+    def kernel(self, units: list[str], marks: list[str]) -> np.ndarray:
+        out = np.zeros((len(units), len(marks)))
+        for j, m in enumerate(marks):
+            have = self.columns.setdefault(m, {})
+            missing = [u for u in units if u not in have]
+            if missing:
+                have.update(zip(missing, _kernel([self.rows[u] for u in missing], [self.rows[m]])[:, 0].tolist(), strict=True))
+            out[:, j] = [have[u] for u in units]
+        return out
+
+
+def _fit_units(pos: list[str], neg: list[str], hidden: list[str], blamed: dict[str, int], seen: dict[str, int], marks_of: list[str], rounds: int,
+               known: _Known) -> Model:
+    """The machine for these units on these landmarks, folded into a table; units weigh by the log of their documents."""
+    units = pos + neg + hidden
+    new_units = [u for u in units if u not in known.rows]
+    known.rows.update(zip(new_units, sparse_rows(codes_of(new_units)), strict=True))
+    k = known.kernel(units, marks_of)
+    index = {u: i for i, u in enumerate(units)}
+    own = k[[index[u] for u in marks_of]]
+    value, vector = np.linalg.eigh((own + own.T) / 2)
+    keep = value > 1e-6
+    root = vector[:, keep] / np.sqrt(value[keep])
+    x = k @ root
+    y = np.array([1.0] * len(pos) + [-1.0] * len(neg) + [1.0] * len(hidden))
+    size = np.array([1.0 + np.log(blamed[u]) for u in pos] + [1.0 + np.log(max(1, seen[u])) for u in neg] + [0.5] * len(hidden))
+    for _ in range(rounds):
+        w, bias = _svm(x, y, size)
+        # a blamed unit that the machine itself takes for clean was blamed by chance
+        keep_rows = (y < 0) | (x @ w - bias >= -0.25)
+        if keep_rows.all() or not (y[keep_rows] > 0).any():
+            break
+        x, y, size = x[keep_rows], y[keep_rows], size[keep_rows]
+    table = np.zeros(LETTERS**ORDER)
+    alpha = root @ w
+    for a, (key, value_) in zip(alpha, (known.rows[u] for u in marks_of), strict=True):
+        table[key] += a * value_
+    return Model(table, float(bias), (1.0,) * TOP + (0.0,), tuple(zip(marks_of, alpha.tolist(), strict=True)))
+
+
 def train(bags: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
     """A model from bags of distinct units and their labels; deterministic."""
     fresh = _unlike(bags, toxic)
@@ -251,7 +321,7 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, r
     positive, negative = sum(toxic), len(toxic) - sum(toxic)
     if not positive or not negative:
         rate = (positive + 0.5) / (len(toxic) + 1)
-        return Model(np.zeros(LETTERS**ORDER), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+        return _constant(float(np.log(rate / (1 - rate))))
     df: dict[str, list[int]] = {}
     for bag, t in zip(bags, toxic, strict=True):
         for u in bag:
@@ -275,57 +345,59 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, r
     neg = list(dict.fromkeys(common + clean))[:OTHERS]
     neg = [u for u in neg if u not in weight]
     if not pos or not neg:
-        return train([], [], landmarks) if not bags else Model(np.zeros(LETTERS**ORDER), 0.0, 0.0, float(np.log((positive + .5) / (negative + .5))))
-    hidden = {d: 0.0 for u in pos[:DISGUISED] if len(u) >= 4 for d in disguises(u) if d not in df}
-    n_pos = len(pos)
-    units = pos + neg + list(hidden)
-    rows = sparse_rows(codes_of(units))
-    marks_of = pos[: landmarks // 2] + sorted(hidden, key=lambda u: (hash_of(u), u))[: landmarks * 3 // 10]
-    marks_of = marks_of + [u for u in neg if len(u) >= 4][: landmarks - len(marks_of)]
-    index = {u: i for i, u in enumerate(units)}
-    marks = [rows[index[u]] for u in marks_of]
-    k = _kernel(rows, marks)
-    own = k[[index[u] for u in marks_of]]
-    value, vector = np.linalg.eigh((own + own.T) / 2)
-    keep = value > 1e-6
-    root = vector[:, keep] / np.sqrt(value[keep])
-    x = k @ root
-    y = np.array([1.0] * n_pos + [-1.0] * len(neg) + [1.0] * len(hidden))
-    size = np.array([1.0 + np.log(weight[u]) for u in pos] + [1.0] * len(neg) + [0.5] * len(hidden))
-    for _ in range(rounds):
-        w, bias = _svm(x, y, size)
-        # a blamed unit that the machine itself takes for clean was blamed by chance
-        keep_rows = (y < 0) | (x @ w - bias >= -0.25)
-        if keep_rows.all() or not (y[keep_rows] > 0).any():
-            break
-        x, y, size = x[keep_rows], y[keep_rows], size[keep_rows]
-    alpha = root @ w
-    table = np.zeros(LETTERS**ORDER)
-    for a, (key, value_) in zip(alpha, marks, strict=True):
-        table[key] += a * value_
-    model = Model(table, float(bias), 1.0, 0.0)
+        return train([], [], landmarks) if not bags else _constant(float(np.log((positive + .5) / (negative + .5))))
+    hidden = sorted({d for u in pos[:DISGUISED] if len(u) >= 4 for d in disguises(u) if d not in df}, key=lambda u: (hash_of(u), u))
+    marks_of = pos[: landmarks // 2] + hidden[: landmarks * 3 // 10]
+    marks_of += [u for u in neg if len(u) >= 4][: landmarks - len(marks_of)]
     every = list(df)
     number = {u: i for i, u in enumerate(every)}
-    decided = model.decide(every)
-    top = np.array([max((decided[number[u]] for u in bag), default=FLOOR) for bag in bags])
-    model.slope, model.shift = _platt(top, np.array(toxic, dtype=float))
+    known = _Known()
+    for mining in range(MININGS + 1):
+        model = _fit_units(pos, neg, hidden, weight, {u: df[u][0] for u in neg}, marks_of, rounds, known)
+        decided = model.decide(every)
+        if mining == MININGS:
+            break
+        # clean units that the machine takes for insults are learned, and get landmarks of their own
+        taken = set(pos) | set(neg)
+        wrong = [u for u in every if u not in taken and decided[number[u]] > MINED and df[u][0] >= HARD_SEEN and df[u][1] <= rate * sum(df[u])]
+        wrong = sorted(wrong, key=lambda u: (-decided[number[u]], u))[:HARD]
+        close = sorted((u for u in neg if decided[number[u]] > MINED and df[u][0] >= HARD_SEEN), key=lambda u: (-decided[number[u]], u))[:HARD]
+        # toxic documents without a blamed unit blame the one that decides highest
+        fresh_pos = []
+        for bag, t in zip(bags, toxic, strict=True):
+            if t and not any(u in weight for u in bag):
+                best = max(((decided[number[u]], u) for u in bag if u not in taken and len(u) >= 3 and df[u][1] > rate * sum(df[u])), default=(0.0, ""))
+                if best[0] > 0:
+                    fresh_pos.append(best[1])
+        for u in fresh_pos:
+            weight[u] = weight.get(u, 0) + 1
+        fresh_pos = sorted(set(fresh_pos) - taken)
+        if not wrong and not close and not fresh_pos:
+            break
+        pos, neg = pos + fresh_pos, neg + wrong
+        marks_of = list(dict.fromkeys(marks_of + close + wrong + fresh_pos))[: landmarks + HARD * (mining + 1)]
+    text_no = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    unit_no = np.array([number[u] for bag in bags for u in bag], dtype=np.int64)
+    worst, told = model.worst(text_no, unit_no, decided, len(bags)), np.array(toxic, dtype=float)
+    *scale, shift = _platt(worst, told)
+    model.joint = (*scale, float(shift + np.log(negative / positive)))
     return model
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic scale of decisions, by Newton steps on smoothed targets."""
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic scale of decisions (columns of ``z``), by Newton steps on smoothed targets; no weight is negative."""
     p, n = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (p + 1) / (p + 2), 1 / (n + 2))
-    x = np.stack([z, np.ones_like(z)], axis=1)
-    w = np.array([1.0, 0.0])
+    x = np.hstack([z, np.ones((len(z), 1))])
+    ridge = np.array([1e-3] * z.shape[1] + [0.0])
+    w = np.array([1.0] * z.shape[1] + [0.0])
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (q - t) + np.array([1e-3 * w[0], 0])
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (q - t) + ridge * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return (*(float(max(v, 0.0)) for v in w[:-1]), float(w[-1]))
 
 
 def hash_of(text: str) -> int:
@@ -352,7 +424,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = some.orderBy("_id").collect()
     spark = docs.sparkSession
     if not ids:
-        return Model(np.zeros(LETTERS**ORDER), 0.0, 0.0, 0.0)
+        return _constant(0.0)
     few = spark.createDataFrame([(r[0], r[1]) for r in ids], "_id long, _toxic int")
 
     def bags(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,8 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of each row, without a shuffle.
 
-    A text scores as its worst unit; null and empty texts score as no unit at
-    all; rows without an id aren't held out; repeated rows score alike.
+    A text scores by its ``TOP`` worst different units together; null and empty texts score as no unit at all; rows without an id aren't held out; repeated rows score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -384,7 +455,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         known: dict[str, float] = {}
         for b in it:
-            worst = np.full(len(b), FLOOR)
+            s = np.zeros(len(b))
             size = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)).astype(np.int64)
             part = np.cumsum(size) // (1 << 23)
             for p in np.unique(part):
@@ -395,10 +466,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     known.clear()
                     new = names
                 known.update(zip(new, m.decide(new).tolist(), strict=True))
-                values = np.array([known[u] for u in names]) if names else np.zeros(0)
-                if len(text_no):
-                    np.maximum.at(worst, at[0] + text_no, values[unit_no])
-            s = m.score(worst)
+                values = np.array([known[u] for u in names], dtype=np.float64)
+                s[at] = m.score(m.worst(text_no, unit_no, values, len(at)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
