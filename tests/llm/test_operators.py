@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -612,6 +613,34 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_decisions_are_kernel_values(spark):
+    rnd = random.Random(16)
+    bags, toxic = [], []
+    for i in range(300):
+        words = set(_text(rnd, 25).replace(".", "").split())
+        bags.append(sorted(words | ({"grumbolt", "snarfling"} if i % 4 == 0 else set())))
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.train(bags, toxic, landmarks=40)
+
+    def profile(unit):
+        marked, out = f"^{unit}$".replace("$", "^"), Counter()
+        # marks are gaps
+        for p in combinations([k for k, c in enumerate(marked) if c.isalpha() or k in (0, len(marked) - 1)], toxicity.ORDER):
+            out["".join(marked[k] for k in p)] += toxicity.DECAY ** (p[-1] - p[0] + 1)
+        return out
+
+    def kernel(a, b):
+        return sum(v * b[k] for k, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    marks = [(profile(u), w) for u, w in model.landmarks]
+    units = ["grumbolt", "grumboltx", "gr-umbolt", "banana", "fide", "ab", *bags[0][:6]]
+    want = [sum(w * kernel(profile(u), m) for m, w in marks) - model.bias for u in units]
+    assert model.decide(units) == pytest.approx(want, abs=1e-8)
+    worst = model.worst(np.array([0, 0, 0, 1]), np.array([0, 3, 0, 3]), model.decide(units), 3)
+    assert worst[0, :2].tolist() == [want[0], max(want[3], toxicity.WEAK)] or worst[0, 0] == pytest.approx(want[0])
+    assert worst[2, 0] == -model.bias and (worst[:, 2] == toxicity.WEAK).all()
+
+
 def test_fit_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, empty)).count() == docs.count()
