@@ -155,6 +155,21 @@ def resolve(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESH
     return names.join(clusters, "rank").select("name", "rank", "seed")
 
 
+def numbered_by(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``id``, their place from 1 in a total ``order``: sorted in ranges, each numbered after the rows of those before it."""
+    rows = settle(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    # one row per range
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.alias("x").join(sizes.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy("x._part").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.join(F.broadcast(before), "_part").withColumn("id", (F.col("_before") + inside).cast("bigint")).drop("_part", "_before")
+
+
+def generate(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESHOLD, require_surname: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Claims and entities after resolving all subjects anew."""
+    return materialise(claims, resolve(claims, threshold, cut, require_surname))
+
+
 def materialise(claims: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New claims and entities: ids number the clusters by documents, then claims, then seed.
 
@@ -164,8 +179,7 @@ def materialise(claims: DataFrame, clusters: DataFrame) -> tuple[DataFrame, Data
     seeds = clusters.select(F.col("name").alias("_name"), "seed")
     told = claims.drop("entity_id").join(seeds, F.col("subject_name") == F.col("_name")).drop("_name")
     stats = entity_stats(told, "seed").join(entity_name_sets(told, "seed"), "seed")
-    order = Window.orderBy(F.desc("source_count"), F.desc("fact_count"), "seed")
-    numbered = settle(stats.select("seed", "source_count", "fact_count")).withColumn("id", F.row_number().over(order).cast("bigint")).select("seed", "id")
+    numbered = numbered_by(stats.select("seed", "source_count", "fact_count"), [F.desc("source_count"), F.desc("fact_count"), F.asc("seed")]).select("seed", "id")
     entities = stats.join(numbered, "seed").select(
         "id", "canonical_name", "name_variants", "nicknames", "maiden_names", F.lit(None).cast("string").alias("registry_person_id"),
         "confidence_score", F.col("source_count").cast("int").alias("source_count"), F.col("fact_count").cast("int").alias("fact_count"),

@@ -273,7 +273,7 @@ _PEOPLE = r"""people AS (SELECT 'I' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')
   upper(split_part(p_name, ' ', -1)[1:1]) || lower(split_part(p_name, ' ', -1)[2:]) AS surname FROM part)"""
 _EVENTS = """ev AS (SELECT 'e' || CAST(c_custkey AS VARCHAR) AS handle, CASE WHEN c_custkey % 2 = 0 THEN 'birth' ELSE 'death' END AS type,
   c_custkey % 29 AS d, c_custkey % 13 AS m, CASE WHEN c_custkey % 11 > 0 THEN 1900 + c_custkey % 100 ELSE 0 END AS y, c_mktsegment AS place
-  FROM customer WHERE c_custkey BETWEEN 0 AND 349)"""
+  FROM customer)"""
 _DATE = "CASE WHEN y = 0 THEN NULL WHEN m = 0 THEN CAST(y AS VARCHAR) WHEN d = 0 THEN printf('%04d-%02d', y, m) ELSE printf('%04d-%02d-%02d', y, m, d) END"
 
 
@@ -293,8 +293,8 @@ def registry_names(spark, d):
     return R.person_names(T.people(spark, d)).withColumnRenamed("full", "full_name")
 
 
-_FACTS = f"""{_PEOPLE}, {_EVENTS}, r AS (SELECT registry_id, 0 AS pos, 'e' || CAST(p_partkey % 300 AS VARCHAR) AS handle FROM people
-  UNION ALL SELECT registry_id, 1, 'e' || CAST((p_partkey * 3) % 400 AS VARCHAR) FROM people),
+_FACTS = f"""{_PEOPLE}, {_EVENTS}, r AS (SELECT registry_id, 0 AS pos, 'e' || CAST(p_partkey AS VARCHAR) AS handle FROM people
+  UNION ALL SELECT registry_id, 1, 'e' || CAST(p_partkey * 3 AS VARCHAR) FROM people),
   j AS (SELECT registry_id, pos, type, {_DATE} AS date, place FROM r JOIN ev USING (handle)),
   facts AS (SELECT people.registry_id, arg_max_null(date, pos) FILTER (type = 'birth') AS birth_date, arg_max(place, pos) FILTER (type = 'birth') AS birth_place,
     arg_max_null(date, pos) FILTER (type = 'death') AS death_date, arg_max(place, pos) FILTER (type = 'death') AS death_place
@@ -320,14 +320,19 @@ def linkage_scores(spark, d):
     return R.linkage_scores(x).select("registry_id", "confidence", F.size("conflicts").alias("conflicts"))
 
 
-_WANTED = f"""{CI}, w AS (SELECT DISTINCT o_custkey % 150 AS entity_id, 'I' || CAST(o_custkey % 150 AS VARCHAR) AS registry_person_id, o_orderkey % 500 AS document_id FROM orders WHERE o_orderstatus = 'F'),
+_WANTED = f"""{CI}, w AS (SELECT DISTINCT o_custkey AS entity_id, 'I' || CAST(o_custkey AS VARCHAR) AS registry_person_id, o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'F'
+   UNION SELECT user_id, 'I' || CAST(user_id AS VARCHAR), event_id * 7 FROM events WHERE event_type = 'purchase'),
   c AS (SELECT DISTINCT registry_person_id, document_id FROM citations_of)"""
 
 
 def _wanted(spark, d):
-    k = F.pmod(F.col("o_custkey"), F.lit(150))
-    return T.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(
-        k.alias("entity_id"), F.concat(F.lit("I"), k.cast("string")).alias("registry_person_id"), F.pmod(F.col("o_orderkey"), F.lit(500)).alias("document_id")).distinct()
+    """Finished orders cite their customers; purchases are cited already."""
+    def pairs(name, kept, person, document):
+        return T.table(spark, d, name).filter(kept).select(
+            F.col(person).alias("entity_id"), F.concat(F.lit("I"), F.col(person).cast("string")).alias("registry_person_id"), document.alias("document_id"))
+
+    return pairs("orders", "o_orderstatus = 'F'", "o_custkey", F.col("o_orderkey")).union(
+        pairs("events", "event_type = 'purchase'", "user_id", F.col("event_id") * 7)).distinct()
 
 
 def _planned(spark, d):
@@ -423,35 +428,107 @@ def typed_settings(spark, d):
 
 
 def _name_claims(spark, d):
-    """The distinct subjects of the claims with a least id that no repeated key can move: their order."""
-    c = T.claims(spark, d)
-    return c.withColumn("id", F.xxhash64("subject_name").bitwiseAND(F.lit((1 << 40) - 1)))
-
-
-@query()
+    """The claims with ids that follow their subjects: the order in which names are resolved."""
+    return T.claims(spark, d).withColumn("id", F.conv(F.substring(F.md5("subject_name"), 1, 10), 16, 10).cast("bigint"))
+
+
+def _names(spark, d):
+    return _name_claims(spark, d).select(F.col("subject_name").alias("name"), F.col("id").alias("rank")).distinct()
+
+
+# The ladder in SQL. Double Metaphone has no SQL form, so the codes of the words that part names are made of stand here as values.
+_CODES = """codes(token, p, s) AS (VALUES ('BLUE', 'PL', ''), ('COLD', 'KLT', ''), ('HOT', 'HT', ''), ('LARGE', 'LRJ', 'LRK'), ('NEW', 'N', 'NF'),
+  ('OLD', 'ALT', ''), ('RED', 'RT', ''), ('SMALL', 'SML', 'XML'), ('ANVIL', 'ANFL', ''), ('BOLT', 'PLT', ''), ('GEAR', 'JR', 'KR'), ('GIZMO', 'JSM', 'KSM'),
+  ('PLATE', 'PLT', ''), ('RING', 'RNK', ''), ('ROD', 'RT', ''), ('WIDGET', 'AJT', 'FJT'), ('JR.', 'JR', 'AR'))"""
+#: Longest common subsequence of x and y, row by row.
+_COMMON = """list_reduce(list_prepend(list_transform(range(0, len(y) + 1), lambda k: 0::BIGINT), list_transform(range(1, len(x) + 1), lambda i: [i])),
+    lambda r, i: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(y) + 1), lambda j: [j])),
+      lambda c, j: list_append(c, CASE WHEN x[i[1]] = y[j[1]] THEN r[j[1]] + 1 ELSE greatest(r[j[1] + 1], c[j[1]]) END)))[len(y) + 1]"""
+_FEATURES = f"""{_CODES}, features AS (SELECT name, rank, norm, first, last, {_NORMAL.format('last')} AS last_norm, l.p AS last_p, l.s AS last_s, g.p AS first_p, g.s AS first_s,
+    array_to_string(list_sort(regexp_extract_all(lower(name), '[a-z0-9]+')), ' ') AS sorted
+  FROM (SELECT name, rank, {_NORMAL.format('name')} AS norm, string_split(name, ' ')[1] AS first, string_split(name, ' ')[-1] AS last FROM names)
+  JOIN codes l ON l.token = upper(last) JOIN codes g ON g.token = upper(first))"""
+#: ``pairs`` (rank_a, rank_b) to ``scored``.
+_LADDER = f"""two AS (SELECT a.name AS name_a, b.name AS name_b, rank_a, rank_b, a.norm AS norm_a, b.norm AS norm_b, a.sorted AS sorted_a, b.sorted AS sorted_b,
+    CASE WHEN length(a.name) <= length(b.name) THEN a.name ELSE b.name END AS short, CASE WHEN length(a.name) <= length(b.name) THEN b.name ELSE a.name END AS long,
+    CASE WHEN a.norm = b.norm THEN 1 WHEN a.last_norm <> b.last_norm AND NOT (a.last_p = b.last_p OR a.last_p = b.last_s OR a.last_s = b.last_p) THEN 2 ELSE 4 END AS rung,
+    a.first_p IN (b.first_p, b.first_s) OR (a.first_s <> '' AND a.first_s IN (b.first_p, b.first_s)) AS spoken
+  FROM pairs JOIN features a ON a.rank = rank_a JOIN features b ON b.rank = rank_b),
+  four AS (SELECT * FROM two WHERE rung = 4),
+  cut AS (SELECT DISTINCT short, long, substr(long, CAST(k AS INTEGER), length(short)) AS part FROM four, LATERAL (SELECT unnest(range(1, length(long) - length(short) + 2)) AS k)),
+  texts AS (SELECT norm_a AS a, norm_b AS b FROM four UNION SELECT sorted_a, sorted_b FROM four UNION SELECT short, part FROM cut),
+  alike AS (SELECT a, b, CAST(round_even(200.0 * {_COMMON} / (length(a) + length(b)), 0) AS INTEGER) AS r FROM (SELECT a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM texts)),
+  best AS (SELECT short, long, MAX(r) AS r FROM cut JOIN alike ON a = short AND b = part GROUP BY 1, 2),
+  fuzzy AS (SELECT f.*, greatest(n.r, t.r, best.r) AS fuzzy FROM four f JOIN alike n ON n.a = norm_a AND n.b = norm_b JOIN alike t ON t.a = sorted_a AND t.b = sorted_b
+    JOIN best ON best.short = f.short AND best.long = f.long),
+  scored AS (SELECT rank_a, rank_b, name_a, name_b, CAST(CASE rung WHEN 1 THEN 100 ELSE 0 END AS INTEGER) AS score,
+      CASE rung WHEN 1 THEN 'exact_normalized' ELSE 'different_surname' END AS method, CASE rung WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM two WHERE rung < 4
+    UNION ALL SELECT rank_a, rank_b, name_a, name_b, fuzzy, CASE WHEN spoken AND fuzzy >= 85 THEN 'fuzzy_with_phonetic' WHEN fuzzy >= 90 THEN 'fuzzy_high_confidence' ELSE 'no_match' END,
+      CASE WHEN (spoken AND fuzzy >= 85) OR fuzzy >= 90 THEN fuzzy / 100.0::DOUBLE ELSE 0.0 END FROM fuzzy)"""
+_RANK = "CAST('0x' || substr(md5(subject_name), 1, 10) AS BIGINT)"
+_PAIRS = f"""{CL}, names AS (SELECT DISTINCT subject_name AS name, {_RANK} AS rank FROM claims), {_FEATURES},
+  met AS (SELECT a.rank AS a, b.rank AS b FROM features a JOIN features b ON a.norm = b.norm UNION SELECT a.rank, b.rank FROM features a JOIN features b ON a.last_norm = b.last_norm
+    UNION SELECT a.rank, b.rank FROM features a JOIN features b ON a.last_p = b.last_p UNION SELECT a.rank, b.rank FROM features a JOIN features b ON a.last_p = b.last_s),
+  pairs AS (SELECT DISTINCT least(a, b) AS rank_a, greatest(a, b) AS rank_b FROM met WHERE a <> b)"""
+
+
+@query(f"{_PAIRS} SELECT rank_a, rank_b FROM pairs")
 def candidate_pairs(spark, d):
-    n = _name_claims(spark, d).select(F.col("subject_name").alias("name"), F.col("id").alias("rank")).distinct()
-    return C.candidate_pairs(C.name_features(n))
+    return C.candidate_pairs(C.name_features(_names(spark, d)))
 
 
-@query()
+@query(f"{_PAIRS}, {_LADDER} SELECT name_a, name_b, score, method, confidence FROM scored")
 def match_scores(spark, d):
-    n = _name_claims(spark, d).select(F.col("subject_name").alias("name"), F.col("id").alias("rank")).distinct()
-    f = C.name_features(n)
+    f = C.name_features(_names(spark, d))
     return C.score_pairs(C.candidate_pairs(f), f, f).select("name_a", "name_b", "score", "method", "confidence")
 
 
-@query()
+@query(f"""{CL}, names AS (SELECT DISTINCT subject_name AS name, {_RANK} AS rank FROM claims UNION ALL SELECT 'old rod', -1), {_FEATURES},
+  pairs AS (SELECT a.rank AS rank_a, b.rank AS rank_b FROM names a, names b WHERE a.rank = -1 AND b.rank >= 0 AND a.name <> b.name), {_LADDER}
+  SELECT name_b AS name, confidence AS score FROM scored WHERE confidence >= 0.85""")
 def potential_matches(spark, d):
-    n = _name_claims(spark, d).select(F.col("subject_name").alias("name"), F.col("id").alias("rank")).distinct()
     target = spark.createDataFrame([("old rod", -1)], "name string, rank bigint")
-    return C.matching_persons(target, n)
+    return C.matching_persons(target, _names(spark, d))
+
+
+@query(f"""{CL}, names AS (SELECT 1 AS side, 'small ring' AS name UNION ALL SELECT 2, 'SMALL RING Jr.' UNION ALL SELECT 3, 'hot bolt' UNION ALL SELECT 4, 'hot plate' UNION ALL SELECT 5, 'cold gear'),
+  numbered AS (SELECT side AS rank, name FROM names), {_FEATURES.replace('FROM names', 'FROM numbered')},
+  pairs AS (SELECT * FROM (VALUES (1, 2), (3, 4), (1, 5)) AS p(rank_a, rank_b)), {_LADDER} SELECT name_a, name_b, score, method, confidence, confidence >= 0.85 AS is_match FROM scored""")
+def name_match_test(spark, d):
+    """What two names given to the ladder say of each other."""
+    names = spark.createDataFrame([("small ring", 1), ("SMALL RING Jr.", 2), ("hot bolt", 3), ("hot plate", 4), ("cold gear", 5)], "name string, rank bigint")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 5)], "rank_a bigint, rank_b bigint")
+    return C.match_names(names, names, pairs).select("name_a", "name_b", "score", "method", "confidence", (F.col("confidence") >= C.THRESHOLD).alias("is_match"))
+
+
+#: Greedy stars: names in order, a seed unless one of the seeds before it matches.
+_STARS = """near AS (SELECT rank_b AS rank, list(rank_a) AS lower FROM scored WHERE confidence >= 0.85 GROUP BY rank_b),
+  line AS (SELECT rank, coalesce(lower, []) AS lower, row_number() OVER (ORDER BY rank) AS n FROM names LEFT JOIN near USING (rank)),
+  walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS seeds UNION ALL SELECT line.n, CASE WHEN list_has_any(seeds, lower) THEN seeds ELSE list_append(seeds, rank) END
+    FROM walk JOIN line ON line.n = walk.n + 1),
+  seeds AS (SELECT unnest(seeds) AS seed FROM walk WHERE n = (SELECT MAX(n) FROM walk)),
+  clusters AS (SELECT name, names.rank, coalesce((SELECT MIN(seed) FROM seeds WHERE list_contains(lower, seed)), names.rank) AS seed FROM names JOIN line USING (rank))"""
+_ENTITIES = f"""told AS (SELECT claims.*, seed FROM claims JOIN clusters ON subject_name = name),
+  sums AS (SELECT seed, COUNT(*) AS fact_count, COUNT(DISTINCT document_id) AS source_count, {HUNDREDTHS} AS confidence_score, MAX(length(subject_name)) AS longest,
+    string_agg(DISTINCT subject_name, ',' ORDER BY subject_name) AS name_variants FROM told GROUP BY seed),
+  entities AS (SELECT row_number() OVER (ORDER BY source_count DESC, fact_count DESC, seed) AS id, *,
+    (SELECT MIN(subject_name) FROM told WHERE told.seed = sums.seed AND length(subject_name) = longest) AS canonical_name FROM sums)"""
+
+
+@query(f"""{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, {_LADDER}, {_STARS}, {_ENTITIES} SELECT id, canonical_name, name_variants, confidence_score, CAST(source_count AS INTEGER) AS source_count,
+  CAST(fact_count AS INTEGER) AS fact_count, CASE WHEN source_count > 1 THEN 'verified' ELSE 'unverified' END AS entity_status FROM entities""")
+def entity_clusters(spark, d):
+    c = _name_claims(spark, d)
+    e = C.materialise(c, C.resolve(c))[1]
+    return e.select("id", "canonical_name", _joined("name_variants"), F.col("confidence_score").cast("double").alias("confidence_score"), "source_count", "fact_count", "entity_status")
 
 
-@query()
-def entity_clusters(spark, d):
+@query(f"""{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, {_LADDER}, {_STARS}, {_ENTITIES} SELECT COUNT(*) AS total_entities, COUNT(*) FILTER (source_count > 1) AS multi_source,
+  COUNT(*) FILTER (contains(name_variants, ',')) AS with_variants, CAST(SUM(fact_count) AS BIGINT) AS claims_clustered FROM entities""")
+def generate_entities(spark, d):
+    """Resolve, materialise and summarise in one go."""
     c = _name_claims(spark, d)
-    return C.materialise(c, C.resolve(c))[1].drop("registry_person_id")
+    return A.generate_summary(C.generate(c)[1])
 
 
 @query()

@@ -63,10 +63,10 @@ DOCUMENTS_SQL = """documents_of AS (
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One citation per event: users are registry persons, thousands of ids the documents."""
+    """One citation per event: users are registry persons, every seventh id a document."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.pmod(F.col("event_id") * 7, F.lit(500)).alias("document_id"),
+        F.col("event_id").alias("id"), (F.col("event_id") * 7).alias("document_id"),
         F.pmod(F.col("event_id"), F.lit(97)).alias("entity_id"), F.concat(F.lit("I"), F.col("user_id").cast("string")).alias("registry_person_id"),
         F.when(F.pmod(F.col("event_id"), F.lit(3)) > 0, F.concat(F.lit("Notice "), F.col("event_type"))).alias("document_name"),
         F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "very_high", "odd"))), (F.pmod(F.col("event_id"), F.lit(5)) + 1).cast("int")).alias("confidence"),
@@ -74,7 +74,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CITATIONS_SQL = """citations_of AS (
-  SELECT event_id AS id, (event_id * 7) % 500 AS document_id, event_id % 97 AS entity_id, 'I' || CAST(user_id AS VARCHAR) AS registry_person_id,
+  SELECT event_id AS id, event_id * 7 AS document_id, event_id % 97 AS entity_id, 'I' || CAST(user_id AS VARCHAR) AS registry_person_id,
     CASE WHEN event_id % 3 > 0 THEN 'Notice ' || event_type END AS document_name,
     ['low', 'medium', 'high', 'very_high', 'odd'][event_id % 5 + 1] AS confidence, ts AS created_timestamp FROM events)"""
 
@@ -110,12 +110,12 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         F.concat(F.lit("I"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("registry_id"), F.col("p_partkey").cast("string").alias("handle"),
         F.lit(1).alias("gender"), name.alias("primary_name"), none.alias("alternate_names"),
-        F.array(F.concat(F.lit("e"), F.pmod(F.col("p_partkey"), F.lit(300)).cast("string")), F.concat(F.lit("e"), F.pmod(F.col("p_partkey") * 3, F.lit(400)).cast("string"))).alias("event_refs"))
+        F.array(F.concat(F.lit("e"), F.col("p_partkey").cast("string")), F.concat(F.lit("e"), (F.col("p_partkey") * 3).cast("string"))).alias("event_refs"))
 
 
 def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry events from the first 350 customers: births and deaths with partial dates."""
-    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey").between(0, 349))
+    """Registry events, one per customer: births and deaths with partial dates."""
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
         F.concat(F.lit("e"), k.cast("string")).alias("handle"), F.when(F.pmod(k, F.lit(2)) == 0, "Birth").otherwise("Death").alias("type"),
