@@ -72,10 +72,15 @@ def append_claims(claims: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(have, on, "left_anti")
 
 
-def ingest(documents: DataFrame, posted: DataFrame) -> DataFrame:
-    """Posted rows (``url``, ``text``) of addresses not known yet; of one address the first text by order stays."""
+def ingest(documents: DataFrame, posted: DataFrame, order: str | None = None) -> DataFrame:
+    """Posted rows (``url``, ``text``) of addresses not known yet; of one address the first posted stays.
+
+    ``order``: the column that tells what was posted first (of equals, and
+    without one, the first text in order).
+    """
     new = posted.withColumn("url_hash", F.sha2("url", 256))
-    new = new.groupBy("url_hash").agg(F.min_by(F.struct("url", "text"), F.struct("url", "text")).alias("p"))
+    place = F.struct(*[F.col(order)] if order else [], F.col("url"), F.col("text"))
+    new = new.groupBy("url_hash").agg(F.min_by(F.struct("url", "text"), place).alias("p"))
     return new.join(documents.select("url_hash"), "url_hash", "left_anti").select(
         "url_hash", "p.url", F.col("p.text").alias("extracted_text"), F.sha2("p.text", 256).alias("content_hash"), F.lit("processing").alias("processing_status"))
 
@@ -88,7 +93,8 @@ def read_notation(documents: DataFrame) -> DataFrame:
 
     A (B) C: two people of one surname, spouses. "Nick" in quotes: a nickname.
     (nee X): a maiden name. the late X: dead. Name (5), at the age of N: an age.
-    for N years: how long a marriage lasted. An approximation of what a model reads.
+    for N years: how long a marriage lasted. died ... on May 1, 2001: a date of
+    death. An approximation of what a model reads.
     """
     text = F.col("extracted_text")
 
@@ -106,6 +112,7 @@ def read_notation(documents: DataFrame) -> DataFrame:
         found(rf"\bthe late\s+({_PERSON}|{one})()", "deceased", 1, 2),
         found(rf"({one})\s+\((\d{{1,3}})\)", "age", 1, 2),
         found(r"()\bat the age of\s+(\d{1,3})", "death_age", 1, 2),
+        found(r"()\b(?:died|passed away|departed)\b[^.;]{0,80}?\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})", "death_date", 1, 2),
         found(r"()\bfor\s+(\d{1,2})\s+years", "marriage_years", 1, 2),
         found(rf"({one})\s+and\s+{one}\s+({one})", "shared_surname", 1, 2),
     ]

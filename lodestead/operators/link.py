@@ -118,6 +118,26 @@ def linkage_scores(scored: DataFrame) -> DataFrame:
         "reasons", F.array_compact(F.array(*reasons))).withColumn("conflicts", F.array_compact(F.array(*conflicts)))
 
 
+def _grams(c: str) -> Column:
+    """The different pieces of one to three letters of a text."""
+    return F.expr(f"array_distinct(flatten(transform(sequence(1, 3), k -> if(length({c}) >= k, transform(sequence(1, length({c}) - k + 1), i -> substring({c}, i, k)), array()))))")
+
+
+def containing(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``texts`` (``given``, ``surname``) with each row of ``known`` (``g``, ``s``) whose texts contain both.
+
+    What contains a surname contains its pieces, so an asked one meets the
+    different surnames that hold its rarest piece of three letters (or itself,
+    if shorter) by an equi-join, and is verified there.
+    """
+    held = known.select("s").distinct().withColumn("gram", F.explode(_grams("s")))
+    often = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = texts.filter("surname <> ''").withColumn("gram", F.explode(F.filter(_grams("surname"), lambda x: F.length(x) == F.least(F.lit(3), F.length("surname")))))
+    rarest = asked.join(often, "gram").groupBy("given", "surname").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    surnames = rarest.join(held, "gram").filter(F.col("s").contains(F.col("surname"))).select("given", "surname", "s")
+    return surnames.join(known, "s").filter(F.col("g").contains(F.col("given")))
+
+
 def find_matches(entities: DataFrame, claims: DataFrame, people: DataFrame, events: DataFrame,
                  keep: float = CANDIDATE, per_variant: int = PER_VARIANT) -> DataFrame:
     """Registry candidates of each entity above ``keep``, best first.
@@ -131,10 +151,7 @@ def find_matches(entities: DataFrame, claims: DataFrame, people: DataFrame, even
     asked = variants.filter(F.size(t) >= 2).select(
         "entity_id", "v_pos", F.lower(F.element_at(t, -1)).alias("surname"), F.lower(F.array_join(F.slice(t, 1, F.size(t) - 1), " ")).alias("given"))
     g, s = (F.lower(c) for c in _part("primary_name"))
-    known = people.select("registry_id", g.alias("g"), s.alias("s"))
-    # what is asked is a few texts however many entities ask it; containment has no equi-key
-    texts = asked.select("given", "surname").distinct()
-    hits = texts.join(known, F.col("s").contains(F.col("surname")) & F.col("g").contains(F.col("given")))
+    hits = containing(asked.select("given", "surname").distinct(), people.select("registry_id", g.alias("g"), s.alias("s")))
     hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("given", "surname").orderBy("registry_id"))).filter(F.col("n") <= per_variant)
     pairs = asked.join(hits, ["given", "surname"]).select("entity_id", "registry_id").distinct()
     best = best_names(variants, person_names(people), pairs)

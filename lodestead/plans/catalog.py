@@ -12,8 +12,10 @@ from ..operators import analyze as A
 from ..operators import cite as K
 from ..operators import extract as L
 from ..operators import link as R
+from ..operators import process as P
 from ..operators import resolve as C
 from ..sources import adapters as T
+from ..schemas import empty
 from ..sources import store as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,12 +226,12 @@ def url_hashes(spark, d):
     return T.table(spark, d, "pages").select("page_id", "url", N.digest(F.col("url")).alias("url_hash"))
 
 
-@query("""WITH p AS (SELECT sha256(url) AS url_hash, MIN(url) AS url FROM pages GROUP BY 1)
-  SELECT url_hash, url FROM p WHERE url_hash NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)""")
+@query("""WITH p AS (SELECT sha256(url) AS url_hash, MIN(url) AS url, sha256(arg_min(html, page_id)) AS content_hash FROM pages GROUP BY 1)
+  SELECT url_hash, url, content_hash FROM p WHERE url_hash NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)""")
 def ingest_new_documents(spark, d):
     pages = T.table(spark, d, "pages")
     known = pages.filter("page_id % 3 = 0").select(F.sha2("url", 256).alias("url_hash"))
-    return L.ingest(known, pages.select("url", F.col("html").alias("text"))).select("url_hash", "url")
+    return L.ingest(known, pages.select("page_id", "url", F.col("html").alias("text")), "page_id").select("url_hash", "url", "content_hash")
 
 
 @query(f"""WITH {ME} SELECT document_id, fact_type, subject_name, fact_value, related_name, relationship_type, MIN(id) AS pos FROM mentions GROUP BY ALL""")
@@ -531,14 +533,71 @@ def generate_entities(spark, d):
     return A.generate_summary(C.generate(c)[1])
 
 
-@query()
+_TITLE = "array_to_string(list_transform(string_split(lower(subject_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_MATCHES = f"""{CL}, titled AS (SELECT * EXCLUDE (subject_name), {_TITLE} AS subject_name FROM claims),
+  numbered AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', subject_name, document_id, fact_type, fact_value)), 1, 12) AS BIGINT) AS id FROM titled), {_FACTS},
+  variants AS (SELECT entity_id, subject_name AS variant, row_number() OVER (PARTITION BY entity_id ORDER BY subject_name) - 1 AS v_pos FROM (SELECT DISTINCT entity_id, subject_name FROM numbered)),
+  dates AS (SELECT entity_id, arg_max(fact_value, id) FILTER (fact_type = 'person_death_date') AS death_date, arg_max(fact_value, id) FILTER (fact_type = 'person_birth_date') AS birth_date
+    FROM numbered GROUP BY 1),
+  asked AS (SELECT *, lower(string_split(variant, ' ')[-1]) AS asked_surname, lower(array_to_string(string_split(variant, ' ')[:-2], ' ')) AS asked_given FROM variants WHERE contains(variant, ' ')),
+  hits AS (SELECT asked_given, asked_surname, registry_id, row_number() OVER (PARTITION BY asked_given, asked_surname ORDER BY registry_id) AS n
+    FROM (SELECT DISTINCT asked_given, asked_surname FROM asked) a JOIN people p ON contains(lower(p.surname), asked_surname) AND contains(lower(p.given), asked_given)),
+  proposed AS (SELECT DISTINCT entity_id, registry_id FROM asked JOIN hits USING (asked_given, asked_surname) WHERE n <= 5),
+  names AS (SELECT name, CAST('0x' || substr(md5(name), 1, 12) AS BIGINT) AS rank FROM (SELECT variant AS name FROM variants UNION SELECT given || ' ' || surname FROM people)), {_FEATURES},
+  sides AS (SELECT entity_id, registry_id, v_pos, a.rank AS rank_a, b.rank AS rank_b FROM proposed JOIN variants USING (entity_id) JOIN people USING (registry_id)
+    JOIN names a ON a.name = variant JOIN names b ON b.name = given || ' ' || surname),
+  pairs AS (SELECT DISTINCT rank_a, rank_b FROM sides), {_LADDER},
+  named AS (SELECT entity_id, registry_id, confidence AS name_score, method AS name_method FROM sides JOIN scored USING (rank_a, rank_b) WHERE confidence > 0
+    QUALIFY row_number() OVER (PARTITION BY entity_id, registry_id ORDER BY confidence DESC, v_pos) = 1),
+  weighed AS (SELECT p.entity_id, p.registry_id, coalesce(name_score, 0.0) AS name_score, coalesce(name_method, 'none') AS name_method, d.death_date AS cd, d.birth_date AS cb,
+    f.death_date AS rd, f.birth_date AS rb FROM proposed p LEFT JOIN named n ON p.entity_id = n.entity_id AND p.registry_id = n.registry_id
+    JOIN facts f ON f.registry_id = p.registry_id LEFT JOIN dates d ON d.entity_id = p.entity_id),
+  judged AS (SELECT *, floor((name_score * 40 + CASE WHEN cd = rd THEN 30 ELSE 0 END + CASE WHEN cb = rb THEN 20 ELSE 0 END)
+    / (40 + CASE WHEN cd IS NOT NULL OR rd IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN cb IS NOT NULL OR rb IS NOT NULL THEN 20 ELSE 0 END) * 100 + 0.5) / 100 AS confidence FROM weighed)"""
+
+
+@query(f"""{_MATCHES} SELECT entity_id, j.registry_id, confidence, name_method, given || ' ' || surname AS registry_name FROM judged j JOIN people USING (registry_id) WHERE confidence > 0.3""")
 def registry_matches(spark, d):
     """Links part names as entities to the registry people."""
-    claims = _name_claims(spark, d).withColumn("subject_name", F.initcap("subject_name")).withColumn("id", F.xxhash64("subject_name", "document_id").bitwiseAND(F.lit((1 << 50) - 1)))
+    claims = T.claims(spark, d).withColumn("subject_name", F.initcap("subject_name"))
+    claims = claims.withColumn("id", F.conv(F.substring(F.md5(F.concat_ws("|", "subject_name", F.col("document_id").cast("string"), "fact_type", "fact_value")), 1, 12), 16, 10).cast("bigint"))
     entities = A.entity_stats(claims).withColumnRenamed("entity_id", "id")
     return R.find_matches(entities, claims, T.people(spark, d), T.registry_events(spark, d), keep=0.3).select("entity_id", "registry_id", "confidence", "name_method", "registry_name")
 
 
+#: A notice for each part, in the usual notation.
+_NOTICES = """notices AS (SELECT p_partkey AS id, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', -1)[1]) || split_part(p_name, ' ', -1)[2:] AS name,
+  'May ' || CAST(1 + p_partkey % 28 AS VARCHAR) || ', ' || CAST(1950 + p_partkey % 50 AS VARCHAR) AS died, CAST(40 + p_partkey % 60 AS VARCHAR) AS age, CAST(1 + p_partkey % 60 AS VARCHAR) AS years FROM part)"""
+
+
+def _notices(spark, d):
+    p, k = T.table(spark, d, "part"), F.col("p_partkey")
+    text = F.concat(F.initcap(F.substring_index("p_name", " ", 1)), F.lit(" "), F.initcap(F.substring_index("p_name", " ", -1)), F.lit(" died on May "), (1 + k % 28).cast("string"), F.lit(", "),
+                    (1950 + k % 50).cast("string"), F.lit(" at the age of "), (40 + k % 60).cast("string"), F.lit(". The two were married for "), (1 + k % 60).cast("string"), F.lit(" years."))
+    return p.select(k.alias("id"), text.alias("extracted_text"))
+
+
+def _processed(spark, d):
+    return P.process(_notices(spark, d), empty(spark, "memo"), empty(spark, "claims"))
+
+
+@query(f"""WITH {_NOTICES} SELECT id AS document_id, 'person_name' AS fact_type, name AS subject_name, name AS fact_value, 'deceased_primary' AS subject_role FROM notices
+  UNION ALL SELECT id, 'person_death_date', name, died, 'deceased_primary' FROM notices UNION ALL SELECT id, 'person_death_age', name, age, 'deceased_primary' FROM notices
+  UNION ALL SELECT id, 'marriage_duration', name, years || ' years', 'deceased_primary' FROM notices""")
+def processed_claims(spark, d):
+    return _processed(spark, d).claims.select("document_id", "fact_type", "subject_name", "fact_value", "subject_role")
+
+
+@query(f"""WITH {_NOTICES}, t AS (SELECT DISTINCT name, died, age, years FROM notices) SELECT CAST(2 * COUNT(*) AS BIGINT) AS memo_rows, 0::BIGINT AS errors FROM t""")
+def processing_memo(spark, d):
+    return _processed(spark, d).memo.agg(F.count(F.lit(1)).alias("memo_rows"), F.count("api_error").alias("errors"))
+
+
+@query(f"WITH {_NOTICES} SELECT id, 'completed' AS processing_status, CAST(1 AS INTEGER) AS people, CAST(4 AS BIGINT) AS claims FROM notices")
+def processing_status(spark, d):
+    return _processed(spark, d).documents
+
+
 @query()
 def extracted_mentions(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("extracted_text"))

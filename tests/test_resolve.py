@@ -88,6 +88,59 @@ def test_extraction(spark):
     assert {("spouse_given", "Stan"), ("surname", "Mills"), ("maiden_name", "Ash"), ("age", "5"), ("marriage_years", "40"), ("death_age", "81"), ("nickname", "Bee")} <= kinds
 
 
+def test_process_remembers(spark):
+    from lodestead.operators import process as P
+    from lodestead.schemas import empty
+
+    texts = [(1, 'Lena R. Poe "x" died on June 3, 1999 at the age of 81. Kit R. "Bee" Ash (nee Orr) was wed for 40 years.'), (2, "no names in here"), (3, "no names in here"), (4, None)]
+    docs = spark.createDataFrame(texts, "id bigint, extracted_text string")
+    memo, claims = empty(spark, "memo"), empty(spark, "claims")
+    out = P.process(docs, memo, claims)
+    got = {(r.document_id, r.fact_type, r.subject_name, r.fact_value) for r in out.claims.collect()}
+    assert {(1, "person_name", "Lena R. Poe", "Lena R. Poe"), (1, "person_death_date", "Lena R. Poe", "June 3, 1999"), (1, "person_death_age", "Lena R. Poe", "81"),
+            (1, "marriage_duration", "Lena R. Poe", "40 years"), (1, "person_nickname", "Kit R.", "Bee")} <= got
+    status = {r.id: (r.processing_status, r.claims) for r in out.documents.collect()}
+    assert status[1][0] == status[2][0] == "completed" and status[2][1] == 0 and set(status) == {1, 2, 3, 4}
+    kept = spark.createDataFrame(out.memo.collect(), out.memo.schema)
+    assert kept.groupBy("prompt_hash").count().filter("count > 1").count() == 0
+    again = P.process(docs.filter("id < 4"), kept, spark.createDataFrame(out.claims.collect(), out.claims.schema))
+    assert again.memo.count() == 0 and again.claims.count() == 0
+
+    def broken(prompts):
+        return prompts.selectExpr("prompt_hash", "if(document_id = 2, 'I can not say', '[]') as response_text", "cast(null as string) as api_error")
+
+    failed = P.process(docs.filter("id < 3"), memo, claims, facts=broken)
+    assert {r.id: r.processing_status for r in failed.documents.collect()} == {1: "completed", 2: "failed"}
+    errors = failed.memo.filter("api_error is not null").collect()
+    assert len(errors) == 1 and errors[0].document_id == 2 and errors[0].parsed_json is None
+
+
+def test_first_posted_stays(spark):
+    posted = spark.createDataFrame([("u", "b", 1), ("u", "a", 2), ("v", "c", 3)], "url string, text string, n int")
+    known = spark.createDataFrame([], "url_hash string")
+    assert {(r.url, r.extracted_text) for r in L.ingest(known, posted, "n").collect()} == {("u", "b"), ("v", "c")}
+
+
+def test_containing_loses_nothing(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    texts = list({(word(rnd.randint(0, 3)), word(rnd.randint(1, 5))) for _ in range(60)})
+    known = [(str(i), word(rnd.randint(0, 6)), word(rnd.randint(0, 9))) for i in range(120)]
+    got = R.containing(spark.createDataFrame(texts, "given string, surname string"), spark.createDataFrame(known, "registry_id string, g string, s string")).collect()
+    assert sorted((r.given, r.surname, r.registry_id) for r in got) == sorted((g, s, i) for g, s in texts for i, kg, ks in known if s in ks and g in kg)
+
+
+def test_numbers_follow_a_total_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 500, 1, 7).withColumn("k", F.col("id") * 37 % 101).withColumnRenamed("id", "r").repartition(5)
+    got = {r.r: r.id for r in C.numbered_by(rows, [F.desc("k"), F.asc("r")]).collect()}
+    want = sorted(range(500), key=lambda r: (-(r * 37 % 101), r))
+    assert [got[r] for r in want] == list(range(1, 501))
+
+
 def test_store_and_stream(spark, tmp_path):
     from lodestead.streaming.ingest import start_ingest
 
