@@ -41,7 +41,23 @@ def test_blocking_loses_nothing(spark):
     f = C.name_features(frame).cache()
     every = spark.createDataFrame(list(itertools.combinations(range(len(names)), 2)), "rank_a bigint, rank_b bigint")
     above = {(r.rank_a, r.rank_b) for r in C.score_pairs(every, f, f).filter("score > 0").collect()}
-    assert above <= {(r.rank_a, r.rank_b) for r in C.candidate_pairs(f).collect()}
+    assert above <= {(r.rank_a, r.rank_b) for r in C.candidate_pairs(f, bare_names="every").collect()}
+
+
+def test_close_bare_names_lose_no_match(spark):
+    rnd = random.Random(21)
+    base = ["Ann", "Anna", "Bill", "Margaret", "Peggy", "Cole", "Al", "X", "Christophersen", "Maria-Luise", "O'Brien", "Zoë", "Li"]
+    names = base + [f"{rnd.choice(base)} {rnd.choice(['Cole', 'Smith', 'Annason', 'Christopherson', 'Lix'])}" for _ in range(14)]
+    for n in list(base):
+        k = rnd.randrange(len(n))
+        names += [n[:k] + rnd.choice("aeio") + n[k:], n[:k] + n[k + 1:] + "s", n.upper() + " Jr."]
+    names = [n for n in dict.fromkeys(names) if n.strip()]
+    frame = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, rank bigint")
+    f = C.name_features(frame).cache()
+    every = spark.createDataFrame(list(itertools.combinations(range(len(names)), 2)), "rank_a bigint, rank_b bigint")
+    matches = {(r.rank_a, r.rank_b) for r in C.score_pairs(every, f, f).filter("confidence > 0").collect()}
+    close = {(r.rank_a, r.rank_b) for r in C.candidate_pairs(f).collect()}
+    assert matches <= close and len(close) < 0.7 * every.count()
 
 
 def _claims(spark):
