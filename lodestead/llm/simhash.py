@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, settle, small, words_of
 
 SEED = 42
-SEGMENTS = 32
+SEGMENTS = 16
 _BLOCK = 1 << 16
 
 
