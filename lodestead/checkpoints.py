@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, one of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -17,6 +17,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc.getCheckpointDir()
 

@@ -36,6 +36,8 @@ def source_by_url(sources: DataFrame, urls: DataFrame) -> DataFrame:
 def plan_citations(entity_documents: DataFrame, citations: DataFrame, claims: DataFrame, documents: DataFrame, sources: DataFrame, confidence: str = "high") -> tuple[DataFrame, DataFrame, DataFrame]:
     """What linking writes: new citations, those skipped as already there, and the outbox of remote writes.
 
+    The outbox makes sources where there are none, then citations, then attaches
+    each citation to its person.
     ``entity_documents``: ``entity_id``, ``registry_person_id``, ``document_id``.
     """
     key = ["registry_person_id", "document_id"]
@@ -51,11 +53,21 @@ def plan_citations(entity_documents: DataFrame, citations: DataFrame, claims: Da
     make = new.filter(F.col("source_handle").isNull()).groupBy("url").agg(F.min("document_name").alias("title")).select(
         F.lit(1).alias("step"), F.lit("source").alias("kind"), "url", "title", F.lit(None).cast("string").alias("registry_person_id"), F.lit(None).cast("int").alias("confidence"))
     cite = new.select(F.lit(2).alias("step"), F.lit("citation").alias("kind"), "url", F.col("document_name").alias("title"), "registry_person_id", rank.alias("confidence"))
-    return new.withColumn("confidence", F.lit(confidence)), skipped, make.union(cite)
+    attach = cite.withColumn("step", F.lit(3)).withColumn("kind", F.lit("attach"))
+    return new.withColumn("confidence", F.lit(confidence)), skipped, make.union(cite).union(attach)
 
 
 def link(claims: DataFrame, entities: DataFrame, entity_id: int, registry_person_id: str) -> tuple[DataFrame, DataFrame]:
-    """Claims and entities with the entity linked: it is verified, its claims resolved."""
+    """Claims and entities with the entity linked: it is verified, its claims resolved.
+
+    An unknown entity, and a person that another entity has, are errors.
+    """
+    concerned = entities.filter((F.col("id") == entity_id) | (F.col("registry_person_id") == registry_person_id)).select("id").limit(2).collect()
+    if entity_id not in [r["id"] for r in concerned]:
+        if entities.filter(F.col("id") == entity_id).isEmpty():
+            raise ValueError(f"no entity {entity_id}")
+    if any(r["id"] != entity_id for r in concerned):
+        raise ValueError(f"{registry_person_id} belongs to another entity")
     mine = F.coalesce(F.col("entity_id") == entity_id, F.lit(False))
     this = F.col("id") == entity_id
     new_claims = claims.withColumn("registry_person_id", F.when(mine, registry_person_id).otherwise(F.col("registry_person_id"))).withColumn(
@@ -76,6 +88,12 @@ def unlink(claims: DataFrame, entities: DataFrame, citations: DataFrame, entity_
     return new_claims, new_entities, citations.filter(~mine)
 
 
+def unlink_summary(entities: DataFrame, citations: DataFrame, entity_id: int) -> DataFrame:
+    """One row: ``previous_registry_person_id`` and ``citations_removed`` of an entity to be unlinked; none if there is no such entity."""
+    gone = citations.filter(F.col("entity_id") == entity_id).agg(F.count(F.lit(1)).alias("citations_removed")).withColumn("id", F.lit(entity_id))
+    return entities.filter(F.col("id") == entity_id).select("id", F.col("registry_person_id").alias("previous_registry_person_id")).join(F.broadcast(gone), "id").drop("id")
+
+
 def citation_rows(citations: DataFrame, documents: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Citations with their document's address and a name: their own, or the first claimed."""
     x = citations.join(documents.select(F.col("id").alias("document_id"), "url"), "document_id", "left")

@@ -356,7 +356,7 @@ def link_skipped_citations(spark, d):
 
 
 @query(f"""WITH {_WANTED}, n AS (SELECT * FROM w ANTI JOIN c USING (registry_person_id, document_id)), u AS (SELECT n.*, url, page_id FROM n LEFT JOIN pages ON document_id = page_id)
-  SELECT 'citation' AS kind, url, COUNT(*) AS writes FROM u GROUP BY url
+  SELECT 'citation' AS kind, url, COUNT(*) AS writes FROM u GROUP BY url UNION ALL SELECT 'attach', url, COUNT(*) FROM u GROUP BY url
   UNION ALL SELECT 'source', url, 1 FROM (SELECT DISTINCT url FROM u WHERE url IS NULL OR url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0))""")
 def citation_outbox(spark, d):
     return _planned(spark, d)[2].groupBy("kind", "url").agg(F.count(F.lit(1)).alias("writes"))
@@ -406,10 +406,16 @@ def unlink_entity(spark, d):
     return c.select("document_id", "fact_type", "subject_name", "registry_person_id", "resolution_status")
 
 
-@query(f"""{CL} SELECT document_id, fact_type, subject_name, CASE WHEN entity_id = 10 THEN 'I999' ELSE registry_person_id END AS registry_person_id,
-  CASE WHEN entity_id = 10 THEN 'resolved' ELSE resolution_status END AS resolution_status FROM claims""")
+@query(f"""WITH {CI.removeprefix('WITH ')} SELECT 'I' || CAST(s_suppkey AS VARCHAR) AS previous_registry_person_id, (SELECT COUNT(*) FROM citations_of WHERE entity_id = 9) AS citations_removed
+  FROM supplier WHERE s_suppkey = 9""")
+def unlink_summary(spark, d):
+    return K.unlink_summary(_own_entities(spark, d), T.citations(spark, d), 9)
+
+
+@query(f"""{CL} SELECT document_id, fact_type, subject_name, CASE WHEN entity_id = 8 THEN 'P999' ELSE registry_person_id END AS registry_person_id,
+  CASE WHEN entity_id = 8 THEN 'resolved' ELSE resolution_status END AS resolution_status FROM claims""")
 def link_entity(spark, d):
-    c = K.link(T.claims(spark, d), _own_entities(spark, d), 10, "I999")[0]
+    c = K.link(T.claims(spark, d), _own_entities(spark, d), 8, "P999")[0]
     return c.select("document_id", "fact_type", "subject_name", "registry_person_id", "resolution_status")
 
 

@@ -82,6 +82,18 @@ def test_materialise(spark):
     assert entities2.filter("registry_person_id = 'I1'").count() == 1
 
 
+def test_links_are_checked(spark):
+    entities = spark.createDataFrame([(1, None, "unverified"), (2, "I2", "verified")], "id bigint, registry_person_id string, entity_status string")
+    claims = spark.createDataFrame([(1, None, "clustered")], "entity_id bigint, registry_person_id string, resolution_status string")
+    for entity, person in ((7, "I9"), (1, "I2"), (7, "I2")):
+        with pytest.raises(ValueError):
+            K.link(claims, entities, entity, person)
+    assert K.link(claims, entities, 1, "I9")[0].first().resolution_status == "resolved"
+    assert K.link(claims, entities, 2, "I2")[1].filter("registry_person_id = 'I2'").count() == 1
+    cited = spark.createDataFrame([(2,), (2,), (1,)], "entity_id bigint")
+    assert [tuple(r) for r in K.unlink_summary(entities, cited, 2).collect()] == [("I2", 2)]
+
+
 def test_linkage_numbers(spark):
     rows = [("a", 1.0, None, None, None, None), ("b", 1.0, "x", "y", None, None), ("c", 1.0, "x", "y", "x", "y"), ("d", 0.95, "x", "x", None, None)]
     x = spark.createDataFrame(rows, "k string, name_score double, death_date string, registry_death_date string, birth_date string, registry_birth_date string")
