@@ -50,7 +50,7 @@ def review_queue(claims: DataFrame, documents: DataFrame) -> DataFrame:
 
 def corroborated_claims(claims: DataFrame) -> DataFrame:
     return claims.groupBy("subject_name", "fact_type", "fact_value").agg(
-        F.count_distinct("document_id").alias("source_count"), mean("confidence_score").alias("avg_confidence"),
+        F.size(F.collect_set("document_id")).cast("bigint").alias("source_count"), mean("confidence_score").alias("avg_confidence"),
         F.array_join(F.transform(F.array_sort(F.collect_set("document_id")), lambda x: x.cast("string")), ",").alias("document_ids")).filter(
         "source_count > 1").orderBy(F.desc("source_count"), F.desc("avg_confidence"), "subject_name", "fact_type", "fact_value")
 

@@ -136,11 +136,11 @@ def claims_by_type(spark, d):
 
 @query(f"""{CL}, {DO}, k AS (SELECT entity_id, fact_type, COUNT(*) AS n FROM claims GROUP BY 1, 2)
   SELECT entity_id, (SELECT string_agg(fact_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY fact_type) FROM k WHERE k.entity_id = c.entity_id) AS types,
-  COUNT(DISTINCT url) AS url_count, MIN(url) AS first_url FROM claims c JOIN documents_of ON document_id = id GROUP BY entity_id""")
+  string_agg(DISTINCT url, ',' ORDER BY url) AS urls FROM claims c JOIN documents_of ON document_id = id GROUP BY entity_id""")
 def entity_summary(spark, d):
     x = A.entity_summary(T.claims(spark, d), T.documents(spark, d))
     kinds = F.transform(F.array_sort(F.map_entries("claims")), lambda e: F.concat_ws("=", e["key"], F.size(e["value"])))
-    return x.select("entity_id", F.array_join(kinds, ",").alias("types"), F.size("urls").cast("bigint").alias("url_count"), F.element_at("urls", 1).alias("first_url"))
+    return x.select("entity_id", F.array_join(kinds, ",").alias("types"), F.array_join("urls", ",").alias("urls"))
 
 
 @query(f"""{CL} SELECT entity_id, fact_type, COUNT(*) AS fact_count, COUNT(DISTINCT fact_value) AS value_count,
@@ -182,15 +182,30 @@ def claim_projection(spark, d):
     return A.claim_rows(c).select(F.col("id").alias("document_id"), "confidence_score", "fact_type", "subject_name")
 
 
-@query(f"""{CL} SELECT subject_name, COUNT(*) AS claims FROM claims WHERE document_id = 7 GROUP BY 1""")
+@query(f"""{CL} SELECT subject_name, string_agg(fact_type || ':' || fact_value || ':' || CAST(confidence_score AS VARCHAR), ';' ORDER BY fact_type, fact_value, confidence_score) AS claims
+  FROM claims WHERE document_id = 7 GROUP BY 1""")
 def document_subjects(spark, d):
-    return A.document_subjects(T.claims(spark, d), 7).select("subject_name", F.size("claims").cast("bigint").alias("claims"))
+    row = F.transform("claims", lambda x: F.concat_ws(":", x["fact_type"], x["fact_value"], x["confidence_score"]))
+    return A.document_subjects(T.claims(spark, d), 7).select("subject_name", F.array_join(row, ";").alias("claims"))
 
 
-@query(f"""WITH {ME} SELECT entity_id, COUNT(*) FILTER (fact_type = 'relationship') AS relations,
-  MIN(CASE WHEN fact_type = 'relationship' THEN id END) AS first_relation FROM mentions GROUP BY 1""")
+@query(f"""WITH {ME} SELECT entity_id, string_agg(CASE WHEN fact_type = 'relationship' THEN CAST(id AS VARCHAR) || ':' || fact_value || ':' || coalesce(related_name, '') || ':0.90' END, ';' ORDER BY id) AS relations
+  FROM mentions GROUP BY 1""")
 def linkage_features(spark, d):
-    return A.linkage_features(T.mentions(spark, d)).select("entity_id", F.size("relations").cast("bigint").alias("relations"), F.try_element_at(F.col("relations.id"), F.lit(1)).alias("first_relation"))
+    row = F.transform("relations", lambda x: F.concat_ws(":", x["id"], x["type"], F.coalesce(x["related_name"], F.lit("")), x["confidence"]))
+    return A.linkage_features(T.mentions(spark, d)).select("entity_id", F.nullif(F.array_join(row, ";"), F.lit("")).alias("relations"))
+
+
+@query(f"""{CL}, numbered AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', subject_name, document_id, fact_type, fact_value)), 1, 12) AS BIGINT) AS id FROM claims)
+  SELECT entity_id, arg_max(fact_value, id) FILTER (fact_type = 'person_death_date') AS death_date, arg_max(fact_value, id) FILTER (fact_type = 'person_birth_date') AS birth_date
+  FROM numbered GROUP BY 1""")
+def last_claimed_dates(spark, d):
+    """The date claimed last of each entity, by claim id."""
+    return A.linkage_features(_numbered(T.claims(spark, d))).select("entity_id", "death_date", "birth_date")
+
+
+def _numbered(claims):
+    return claims.withColumn("id", F.conv(F.substring(F.md5(F.concat_ws("|", "subject_name", F.col("document_id").cast("string"), "fact_type", "fact_value")), 1, 12), 16, 10).cast("bigint"))
 
 
 _NORMAL = r"""lower(trim(regexp_replace(trim(regexp_replace(regexp_replace({0}, '\b[A-Z]\.\s*', '', 'g'), '\s+', ' ', 'g')), '\s+(Jr|Sr|II|III|IV)\.?$', '', 'i')))"""
@@ -562,13 +577,29 @@ _MATCHES = f"""{CL}, titled AS (SELECT * EXCLUDE (subject_name), {_TITLE} AS sub
     / (40 + CASE WHEN cd IS NOT NULL OR rd IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN cb IS NOT NULL OR rb IS NOT NULL THEN 20 ELSE 0 END) * 100 + 0.5) / 100 AS confidence FROM weighed)"""
 
 
+def _matches(spark, d, keep, kind=None):
+    claims = _numbered(T.claims(spark, d).withColumn("subject_name", F.initcap("subject_name")))
+    claims = claims.filter(F.col("fact_type") == kind) if kind else claims
+    entities = A.entity_stats(claims).withColumnRenamed("entity_id", "id")
+    return R.find_matches(entities, claims, T.people(spark, d), T.registry_events(spark, d), keep=keep)
+
+
+_UNDATED = _MATCHES.replace("AS id FROM titled)", "AS id FROM titled WHERE fact_type = 'relationship')")
+
+
+@query(f"""{_UNDATED} SELECT entity_id, registry_id, CAST(len(list_filter([CASE WHEN cd IS NOT NULL AND rd IS NOT NULL AND cd <> rd THEN 1 END, CASE WHEN cb IS NOT NULL AND rb IS NOT NULL AND cb <> rb THEN 1 END], lambda x: x IS NOT NULL)) AS INTEGER) AS conflicts,
+  CASE WHEN confidence > 0.85 THEN 'matched' WHEN confidence > 0.5 THEN 'candidate' ELSE 'weak' END AS tier FROM judged WHERE confidence > 0.2""")
+def registry_tiers(spark, d):
+    """Strict and loose cuts of the registry matches of entities without dates: what the registry dates is all that tells against them."""
+    c = F.col("confidence")
+    return _matches(spark, d, 0.2, "relationship").select("entity_id", "registry_id", F.size("conflicts").alias("conflicts"),
+                                          F.when(c > R.MATCHED, "matched").when(c > R.CANDIDATE, "candidate").otherwise("weak").alias("tier"))
+
+
 @query(f"""{_MATCHES} SELECT entity_id, j.registry_id, confidence, name_method, given || ' ' || surname AS registry_name FROM judged j JOIN people USING (registry_id) WHERE confidence > 0.3""")
 def registry_matches(spark, d):
     """Links part names as entities to the registry people."""
-    claims = T.claims(spark, d).withColumn("subject_name", F.initcap("subject_name"))
-    claims = claims.withColumn("id", F.conv(F.substring(F.md5(F.concat_ws("|", "subject_name", F.col("document_id").cast("string"), "fact_type", "fact_value")), 1, 12), 16, 10).cast("bigint"))
-    entities = A.entity_stats(claims).withColumnRenamed("entity_id", "id")
-    return R.find_matches(entities, claims, T.people(spark, d), T.registry_events(spark, d), keep=0.3).select("entity_id", "registry_id", "confidence", "name_method", "registry_name")
+    return _matches(spark, d, 0.3).select("entity_id", "registry_id", "confidence", "name_method", "registry_name")
 
 
 #: A notice for each part, in the usual notation.
