@@ -112,6 +112,29 @@ def test_embeddings_against_all_pairs(spark):
     assert np.mean([got[i][1] == want[i] for i in got]) > 0.99
 
 
+def test_planted_neighbours_are_found(spark):
+    rng = np.random.default_rng(11)
+    n, dim = 20_000, 32
+    x = rng.standard_normal((n, dim)).astype(np.float32)
+    x[15_000:18_000] = x[:3_000] + 0.2 * rng.standard_normal((3_000, dim)).astype(np.float32)
+    x[18_000:19_000] = x[5] + 0.1 * rng.standard_normal((1_000, dim)).astype(np.float32)
+    x[19_000:] = x[6]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_groups(frame).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    degree, pairs = np.zeros(n, dtype=np.int64), []
+    for a in range(0, n, 2_000):
+        i, j = np.nonzero(u[a:a + 2_000] @ u.T >= 0.95)
+        i += a
+        degree += np.bincount(i[i != j], minlength=n)
+        pairs.append(np.stack([i, j], axis=1)[(i < j) & (i < 19_000)])
+    assert degree.sum() > 500_000 and all(got[k][0] <= degree[k] for k in got)
+    assert sum(c for c, _ in got.values()) >= 0.99 * degree.sum()
+    want = _components(n, [*np.concatenate(pairs).tolist(), *[(k, k + 1) for k in range(19_000, n - 1)]])
+    assert np.mean([got[k][1] == want[k] for k in got]) > 0.99
+
+
 def test_tokens_equal_the_library():
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     t = tokens.load_tokenizer(path)
