@@ -44,6 +44,10 @@ LANDMARKS = 320
 CANDIDATES, OTHERS = 3000, 3000
 #: Blamed units that are also learned in disguise, and what makes blame sure, in nats.
 DISGUISED, SURE, LIKELY = 40, 5.0, 4.0
+#: Probability in the sample from which a text is called toxic: there its score is ``THRESHOLD``.
+CALLED = 0.6
+#: Log of how many times likelier a blamed unit is in toxic documents, at least.
+ENRICHED = 2.0
 #: Rounds of picking anew; how many clean units, seen how often at least, are learned in each because the machine takes them for insults.
 MININGS, HARD, HARD_SEEN, MINED = 1, 100, 3, -0.5
 #: Different units of a text that are judged together, and the decision at which one of them says nothing.
@@ -156,7 +160,7 @@ class Model:
         return out
 
     def score(self, worst: np.ndarray) -> np.ndarray:
-        """Probability by the worst units together, as if toxic texts were as many as others."""
+        """0 to 1 by the worst units together; ``THRESHOLD`` where a text like those of the sample is toxic with probability ``CALLED``."""
         together = worst @ np.array(self.joint[:-1]) + self.joint[-1]
         return 1.0 / (1.0 + np.exp(-np.clip(together, -700, 700)))
 
@@ -332,7 +336,7 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, r
 
     def likely(u: str, least: float) -> bool:
         a, b = df[u]
-        return b / (a + b) > rate and (a + b) * _divergence(b / (a + b), rate) > least
+        return odds[u] > ENRICHED and b / (a + b) > rate and (a + b) * _divergence(b / (a + b), rate) > least
 
     blamed += [(odds[u], u) for u in df if len(u) >= 3 and likely(u, SURE)]
     weight: dict[str, int] = {}
@@ -379,8 +383,10 @@ def train(bags: list[list[str]], toxic: list[int], landmarks: int = LANDMARKS, r
     text_no = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     unit_no = np.array([number[u] for bag in bags for u in bag], dtype=np.int64)
     worst, told = model.worst(text_no, unit_no, decided, len(bags)), np.array(toxic, dtype=float)
-    *scale, shift = _platt(worst, told)
-    model.joint = (*scale, float(shift + np.log(negative / positive)))
+    # toxic documents in which nothing is found say nothing about the scale of what is
+    found = (told == 0) | (worst[:, 0] > WEAK)
+    *scale, shift = _platt(worst[found], told[found])
+    model.joint = (*scale, float(shift + np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(CALLED / (1 - CALLED))))
     return model
 
 
