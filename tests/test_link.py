@@ -70,7 +70,8 @@ def test_citations(spark, claims):
     assert {(r.registry_person_id, r.document_id, r.document_name, r.registry_source_id) for r in new.collect()} == {
         ("I9", 10, "Obituary of Ann Cole", "S1"), ("I9", 11, "Obituary of Unknown", None)}
     assert [r.document_id for r in skipped.collect()] == [10]
-    assert {(r.kind, r.url, r.confidence) for r in outbox.collect()} == {("source", "u11", None), ("citation", "u10", 3), ("citation", "u11", 3)}
+    assert {(r.kind, r.url, r.confidence) for r in outbox.collect()} == {
+        ("source", "u11", None), ("citation", "u10", 3), ("citation", "u11", 3), ("attach", "u10", 3), ("attach", "u11", 3)}
     entities = spark.createDataFrame([(5, "Ann Cole")], "id bigint, canonical_name string")
     trail = {r.id: (r.entity_name, r.document_name) for r in K.audit_trail(citations, entities, claims).collect()}
     assert trail == {1: ("Ann Cole", "Own name"), 2: (None, "Obituary of Bob"), 3: ("Ann Cole", None)}
