@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, linededup, lm, mixing, pii, quality, simhash, tokens, toxicity
+from . import audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, simhash, tokens, toxicity
 
 #: The vocabulary of the token counts; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -61,6 +61,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = audit.filter_masks(_table(spark, sf_dir, "documents"))
+    return audit.interactions(audit.mask_counts(masks, _table(spark, sf_dir, "labels")))
+
+
 def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items behind the class ids of ``op6_decontaminate``."""
     return decontaminate.item_classes(_table(spark, sf_dir, "benchmark"))
@@ -69,7 +74,7 @@ def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_embeddings, op3_tokens, op4_quality, op5_lm, op6_decontaminate, op7_simhash, op8_mixing, op9_linededup, op10_pii,
-        benchmark_classes)}
+        op12_filter_audit, benchmark_classes)}
 
 
 #: All pairs by cosine, and who reaches whom over the links.
@@ -118,5 +123,25 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN shard_size > 0 THEN wor
   + greatest(0, least(size, words - words // shard_size * shard_size - start)) ELSE 0 END AS BIGINT) AS taken FROM streams"""
 
 
+#: Masks by plain grouping of whole texts, then every order and step.
+_AUDIT = """WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS first FROM words GROUP BY t),
+judged AS (SELECT doc_id, part, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+    + 16 * CAST(coalesce(doc_id > first, FALSE) AS INTEGER) AS mask FROM words JOIN least USING (t)),
+told AS (SELECT part, mask, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), FALSE) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), FALSE) AS toxic FROM judged),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM told GROUP BY ALL),
+f(k, letter) AS (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')),
+orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS o
+  FROM f a JOIN f b ON b.k <> a.k JOIN f c ON c.k NOT IN (a.k, b.k) JOIN f d ON d.k NOT IN (a.k, b.k, c.k) JOIN f e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+steps AS (SELECT filter_order, step, 1 << o[step] AS bit, CAST(list_sum(list_transform(o[1:step], lambda k: 1 << k)) AS INTEGER) - (1 << o[step]) AS before FROM orders, LATERAL (SELECT unnest(range(1, 6)) AS step)),
+one AS (SELECT *, (mask & bit) > 0 AND (mask & before) = 0 AS gone FROM counts, steps),
+removed AS (SELECT part, bit, sum(n) FILTER (gone) AS shapley FROM one GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER ((mask & (before + bit)) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & before) > 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (gone), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(any_value(shapley), 0) AS BIGINT) AS shapley
+FROM one JOIN removed USING (part, bit) GROUP BY part, filter_order, step"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embeddings": _EMBEDDINGS, "op8_mixing": _MIXING}
+    return {"op2_embeddings": _EMBEDDINGS, "op8_mixing": _MIXING, "op12_filter_audit": _AUDIT}
