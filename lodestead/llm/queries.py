@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, simhash, tokens, toxicity
+from . import audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 #: The vocabulary of the token counts; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -66,6 +66,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(audit.mask_counts(masks, _table(spark, sf_dir, "labels")))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items behind the class ids of ``op6_decontaminate``."""
     return decontaminate.item_classes(_table(spark, sf_dir, "benchmark"))
@@ -74,7 +78,7 @@ def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_embeddings, op3_tokens, op4_quality, op5_lm, op6_decontaminate, op7_simhash, op8_mixing, op9_linededup, op10_pii,
-        op12_filter_audit, benchmark_classes)}
+        op12_filter_audit, op13_secrets, benchmark_classes)}
 
 
 #: All pairs by cosine, and who reaches whom over the links.
