@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, secrets, simhash, tokens, toxicity
+from . import alignment, audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 #: The vocabulary of the token counts; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
+#: The vocabulary that the first is aligned with.
+OTHER_VOCABULARY = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(OTHER_VOCABULARY))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = audit.filter_masks(_table(spark, sf_dir, "documents"))
     return audit.interactions(audit.mask_counts(masks, _table(spark, sf_dir, "labels")))
@@ -78,7 +86,7 @@ def benchmark_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_embeddings, op3_tokens, op4_quality, op5_lm, op6_decontaminate, op7_simhash, op8_mixing, op9_linededup, op10_pii,
-        op12_filter_audit, op13_secrets, benchmark_classes)}
+        op11_alignment, op12_filter_audit, op13_secrets, benchmark_classes)}
 
 
 #: All pairs by cosine, and who reaches whom over the links.
