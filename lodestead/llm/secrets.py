@@ -185,6 +185,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     names = F.array(*map(F.lit, KINDS))
     x = x.withColumn("every", F.array_sort(F.concat("plain", F.coalesce("linked", none))))
-    count = [F.size(F.filter("every", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def of(kind: int) -> Column:
+        return F.size(F.filter("every", lambda s: s["kind"] == kind)).cast("long")
+
+    count = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     spans = F.array_join(F.transform("every", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return x.select("doc_id", *count[:3], "base_sha256", spans.alias("spans"), count[3])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestead.llm import decontaminate, embeddings, linededup, lm, mixing, pii, quality, simhash, tokens, toxicity
+from lodestead.llm import alignment, audit, decontaminate, embeddings, linededup, lm, mixing, pii, quality, secrets, simhash, tokens, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, t string, size int, batch int, fp int, _id int, node int"
 LONG = "the quick brown fox jumps over a lazy dog and then rests. " * 4000
@@ -46,11 +46,14 @@ def _operators(spark, vocabulary):
         "mixing": mixing.mix,
         "linededup": linededup.dedup_units,
         "pii": pii.find_pii,
+        "alignment": lambda d: alignment.align_documents(d, vocabulary, vocabulary.replace("byte_bpe_50k.json", "piece_bpe_32k.model")),
+        "audit": audit.filter_masks,
+        "secrets": secrets.find_secrets,
         "decontaminate": lambda d: decontaminate.leaks(d, bench),
     }
 
 
-@pytest.mark.parametrize("name", ["toxicity", "tokens", "quality", "lm", "simhash", "mixing", "linededup", "pii"])
+@pytest.mark.parametrize("name", ["toxicity", "tokens", "quality", "lm", "simhash", "mixing", "linededup", "pii", "alignment", "secrets"])
 def test_one_row_each(spark, docs, none, vocabulary, name):
     run = _operators(spark, vocabulary)[name]
     assert sorted(str(r[0]) for r in run(docs).select("doc_id").collect()) == sorted(str(r[0]) for r in docs.select("doc_id").collect())
@@ -58,6 +61,15 @@ def test_one_row_each(spark, docs, none, vocabulary, name):
     assert out.count() == 0 and out.columns == run(docs).columns
 
 
+def test_masks_on_awkward_rows(spark, docs, none, vocabulary):
+    run = _operators(spark, vocabulary)["audit"]
+    rows = run(docs).collect()
+    assert sum(r.n for r in rows) == docs.count() and {r.part for r in rows} == {"a", "b", ""}
+    # of the rows with one text only those of the least id stay; 4 repeats the null text of 3, which has no id nowhere
+    assert {r.doc_id for r in rows if r.mask & 16} == {2, 4}
+    assert run(none).count() == 0
+
+
 def test_leaks_on_awkward_rows(spark, docs, none, vocabulary):
     run = _operators(spark, vocabulary)["decontaminate"]
     assert {(r.doc_id, r.item_id) for r in run(docs).collect()} == {(1, 1), (2, 1)}
