@@ -50,13 +50,19 @@ def plan_citations(entity_documents: DataFrame, citations: DataFrame, claims: Da
     found = source_by_url(sources, new).withColumnRenamed("registry_id", "registry_source_id").withColumnRenamed("handle", "source_handle")
     new = new.join(found, "url", "left")
     rank = confidence_rank(F.lit(confidence))
-    make = new.filter(F.col("source_handle").isNull()).groupBy("url").agg(F.min("document_name").alias("title")).select(
-        F.lit(1).alias("step"), F.lit("source").alias("kind"), "url", "title", F.lit(None).cast("string").alias("registry_person_id"), F.lit(None).cast("int").alias("confidence"))
-    cite = new.select(F.lit(2).alias("step"), F.lit("citation").alias("kind"), "url", F.col("document_name").alias("title"), "registry_person_id", rank.alias("confidence"))
+    make = new.filter(F.col("source_handle").isNull()).groupBy("url").agg(F.min("document_name").alias("title"), F.min("document_id").alias("document_id")).select(
+        F.lit(1).alias("step"), F.lit("source").alias("kind"), "url", "title", "document_id", F.lit(None).cast("string").alias("registry_person_id"), F.lit(None).cast("int").alias("confidence"))
+    cite = new.select(F.lit(2).alias("step"), F.lit("citation").alias("kind"), "url", F.col("document_name").alias("title"), "document_id", "registry_person_id", rank.alias("confidence"))
     attach = cite.withColumn("step", F.lit(3)).withColumn("kind", F.lit("attach"))
     return new.withColumn("confidence", F.lit(confidence)), skipped, make.union(cite).union(attach)
 
 
+def write_key() -> Column:
+    """What makes a remote write the same write when it is sent again: a source's address, or a citation's person and document."""
+    return F.sha2(F.concat_ws("|", "kind", F.when(F.col("kind") == "source", F.coalesce("url", F.lit(""))).otherwise(
+        F.concat_ws("|", "registry_person_id", F.col("document_id").cast("string")))), 256)
+
+
 def link(claims: DataFrame, entities: DataFrame, entity_id: int, registry_person_id: str) -> tuple[DataFrame, DataFrame]:
     """Claims and entities with the entity linked: it is verified, its claims resolved.
 

@@ -2,19 +2,26 @@
 
 An answer comes from the memo or, on a miss, from a reader: a function that takes
 prompts (``prompt_hash``, ``prompt``, ``extracted_text``, ``people``) and returns
-``prompt_hash``, ``response_text``, ``api_error``. The built-in readers know the
-usual notation; a model's answers can be joined in by another one.
+``prompt_hash``, ``response_text``, ``api_error``, and if it knows them
+``tokens_prompt``, ``tokens_completion``, ``duration_ms``. The built-in readers
+know the usual notation; ``asking`` makes one of a function that calls a model.
+``changes.process_documents`` keeps the answers in a store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .extract import MENTION, append_claims, clean_response, dedup_claims, default_claims, memo_lookup, parse_claims, read_notation, render_prompt
+from ..checkpoints import settle
+from .extract import MENTION, append_claims, call_cost, clean_response, dedup_claims, default_claims, memo_lookup, parse_claims, read_notation, render_prompt
+from .resolve import numbered_by
 
 PEOPLE_PROMPT = "List the people that this text names, as JSON objects with full_name and role.\n\n{text}"
 CLAIMS_PROMPT = "State what this text claims of these people, as JSON objects.\n\n{people}\n\n{text}"
@@ -71,44 +78,102 @@ def read_claims(prompts: DataFrame) -> DataFrame:
         "prompt_hash", F.coalesce(F.to_json("c"), F.lit("[]")).alias("response_text"), F.lit(None).cast("string").alias("api_error"))
 
 
-def _answered(prompts: DataFrame, memo: DataFrame, read: Reader, provider: str, model: str) -> tuple[DataFrame, DataFrame]:
-    """``prompts`` with ``memo_id`` and ``parsed_json`` (null after an error), and the memo rows of what was read anew, errors among them."""
-    asked = prompts.groupBy("prompt_hash").agg(F.min(F.struct("document_id", "prompt", "extracted_text", "people")).alias("x")).select("prompt_hash", F.lit(provider).alias("provider"), "x.*")
-    looked = memo_lookup(asked, memo)
-    known = looked.filter(F.col("memo_id").isNotNull()).select("prompt_hash", "memo_id", "parsed_json")
-    misses = looked.filter(F.col("memo_id").isNull()).drop("memo_id", "parsed_json")
+def asking(answer: Callable[[str], tuple[str, int | None, int | None]]) -> Reader:
+    """A reader of a Python function from a prompt to the answer and its prompt and completion tokens.
+
+    Each call is timed; an exception becomes the prompt's error.
+    """
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            rows = []
+            for key, prompt in zip(x["prompt_hash"], x["prompt"], strict=True):
+                began = time.perf_counter()
+                try:
+                    rows.append((key, *answer(prompt), None))
+                except Exception as e:  # noqa: BLE001  whatever a model's client raises is this prompt's error
+                    rows.append((key, None, None, None, f"{type(e).__name__}: {e}"))
+                rows[-1] += (round(1000 * (time.perf_counter() - began)),)
+            yield pd.DataFrame(rows, columns=["prompt_hash", "response_text", "tokens_prompt", "tokens_completion", "api_error", "duration_ms"]).astype(
+                {k: "Int32" for k in ("tokens_prompt", "tokens_completion", "duration_ms")})
+
+    return lambda prompts: prompts.select("prompt_hash", "prompt").mapInPandas(
+        batches, "prompt_hash string, response_text string, tokens_prompt int, tokens_completion int, api_error string, duration_ms int")
+
+
+def answer_rows(asked: DataFrame, read: Reader, provider: str, model: str) -> DataFrame:
+    """Memo rows without ids of what a reader says to the prompts of ``asked``, errors among them.
+
+    Tokens that a reader doesn't tell are those between blanks; what it doesn't
+    time is null. No answer is an error.
+    """
+    told = read(asked)
+    had = set(told.columns)
+
+    def pieces(c: str) -> Column:
+        return F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\S+"), F.lit(0)))
+
+    own = {"tokens_prompt": pieces("prompt"), "tokens_completion": pieces("response_text"), "duration_ms": F.lit(None)}
+    x = asked.select("prompt_hash", "document_id", "prompt").join(told, "prompt_hash", "left")
+    for name, value in own.items():
+        x = x.withColumn(name, (F.coalesce(F.col(name), value) if name in had else value).cast("int"))
     cleaned = clean_response(F.col("response_text"))
-    good = F.from_json(cleaned, "array<map<string,string>>").isNotNull() & F.col("api_error").isNull()
-    made = misses.select("prompt_hash", "document_id").join(read(misses), "prompt_hash", "left").select(
-        F.conv(F.substring("prompt_hash", 1, 15), 16, 10).cast("bigint").alias("id"), "document_id", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "prompt_hash",
-        "response_text", F.when(good, cleaned).alias("parsed_json"), F.lit(None).cast("int").alias("tokens_prompt"), F.lit(None).cast("int").alias("tokens_completion"),
-        F.lit(None).cast("decimal(10,6)").alias("cost_usd"), F.lit(None).cast("int").alias("duration_ms"),
-        F.when(~F.coalesce(good, F.lit(False)), F.coalesce("api_error", F.lit("the answer is no JSON list"))).alias("api_error"))
-    answers = known.unionByName(made.select("prompt_hash", F.col("id").alias("memo_id"), "parsed_json"))
-    return prompts.join(answers, "prompt_hash", "left"), made
+    good = F.coalesce(F.from_json(cleaned, "array<map<string,string>>").isNotNull() & F.col("api_error").isNull(), F.lit(False))
+    return x.select(
+        "document_id", F.lit(provider).alias("provider"), F.lit(model).alias("model"), "prompt_hash", "response_text", F.when(good, cleaned).alias("parsed_json"),
+        "tokens_prompt", "tokens_completion", call_cost(F.col("tokens_prompt"), F.col("tokens_completion")).alias("cost_usd"), "duration_ms",
+        F.when(~good, F.coalesce("api_error", F.lit("the answer is no JSON list"))).alias("api_error"))
 
 
-def process(documents: DataFrame, memo: DataFrame, claims: DataFrame, people: Reader = read_people, facts: Reader = read_claims,
-            provider: str = "reader", model: str = "notation") -> Processed:
-    """Both passes over ``documents`` (``id``, ``extracted_text``).
+#: Makes memo rows without ids of prompts, numbers and keeps them; returns the memo with them.
+Remember = Callable[[Callable[[DataFrame], DataFrame], DataFrame], DataFrame]
 
-    A document whose answer fails in either pass is ``failed`` and adds no claims;
-    its memo row holds the error, and is no answer the next time. Documents of
-    one text share their prompts, so each is read once. Processing again finds
-    the memo and adds nothing.
-    """
+
+def _answered(prompts: DataFrame, memo: DataFrame, read: Reader, provider: str, model: str, remember: Remember) -> DataFrame:
+    """``prompts`` with ``memo_id`` and ``parsed_json`` (null after an error); what the memo lacks is asked for once and remembered."""
+    asked = prompts.groupBy("prompt_hash").agg(F.min(F.struct("document_id", "prompt", "extracted_text", "people")).alias("x")).select("prompt_hash", F.lit(provider).alias("provider"), "x.*")
+    misses = memo_lookup(asked, memo).filter(F.col("memo_id").isNull()).drop("memo_id", "parsed_json")
+    kept = remember(lambda share: answer_rows(share, read, provider, model), settle(misses))
+    return memo_lookup(prompts.withColumn("provider", F.lit(provider)), kept).drop("provider")
+
+
+def processed(documents: DataFrame, memo: Callable[[], DataFrame], people: Reader, facts: Reader, provider: str, model: str, remember: Remember) -> Processed:
+    """The two passes; ``memo`` gives the answers known so far, ``remember`` keeps new ones. The claims are all that the answers state."""
     none = F.lit(None).cast(f"array<{MENTION}>")
     first = documents.select(F.col("id").alias("document_id"), "extracted_text", render_prompt(PEOPLE_PROMPT, F.col("extracted_text")).alias("prompt"), none.alias("people")).withColumn(
         "prompt_hash", F.sha2("prompt", 256))
-    told, memo_1 = _answered(first, memo, people, provider, model)
+    told = _answered(first.filter("prompt is not null"), memo(), people, provider, model, remember)
     mentions = told.withColumn("people", F.from_json("parsed_json", f"array<{MENTION}>")).select("document_id", "extracted_text", "people")
     second = mentions.filter(F.col("people").isNotNull()).withColumn("prompt", render_prompt(CLAIMS_PROMPT, F.col("extracted_text"), F.col("people"))).withColumn("prompt_hash", F.sha2("prompt", 256))
-    answered, memo_2 = _answered(second, memo, facts, provider, model)
+    answered = _answered(second, memo(), facts, provider, model, remember)
     rows = dedup_claims(default_claims(parse_claims(answered.select("document_id", "memo_id", "parsed_json"))))
-    new = append_claims(claims, rows)
     counts = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("claims"))
     done = documents.select(F.col("id").alias("document_id")).join(answered.select("document_id", F.size("people").alias("people"), F.col("parsed_json").isNotNull().alias("read")), "document_id", "left")
     status = done.join(counts, "document_id", "left").select(
         F.col("document_id").alias("id"), F.when(F.col("read"), "completed").otherwise("failed").alias("processing_status"),
         F.coalesce("people", F.lit(0)).alias("people"), F.coalesce("claims", F.lit(0)).alias("claims"))
-    return Processed(new, memo_1.unionByName(memo_2), mentions.select("document_id", F.explode("people").alias("p")).select("document_id", "p.*"), status)
+    return Processed(rows, memo(), mentions.select("document_id", F.explode("people").alias("p")).select("document_id", "p.*"), status)
+
+
+def process(documents: DataFrame, memo: DataFrame, claims: DataFrame, people: Reader = read_people, facts: Reader = read_claims,
+            provider: str = "reader", model: str = "notation") -> Processed:
+    """Both passes over ``documents`` (``id``, ``extracted_text``), with frames instead of a store.
+
+    New answers are settled, so all outputs come from one reading. A document
+    whose answer fails in either pass is ``failed`` and adds no claims; its memo
+    row holds the error, and is no answer the next time. Documents of one text
+    share their prompts, so each is read once. Processing again finds the memo
+    and adds nothing. Documents without a text are ``failed`` and not asked for.
+    """
+    made = []
+
+    def everything() -> DataFrame:
+        return reduce(DataFrame.unionByName, made, memo)
+
+    def remember(answers: Callable[[DataFrame], DataFrame], prompts: DataFrame) -> DataFrame:
+        last = everything().agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+        # numbering settles the answers first
+        made.append(settle(numbered_by(answers(prompts), [F.col("prompt_hash")], last)))
+        return everything()
+
+    out = processed(documents, everything, people, facts, provider, model, remember)
+    return Processed(append_claims(claims, out.claims), reduce(DataFrame.unionByName, made), out.mentions, out.documents)

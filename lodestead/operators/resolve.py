@@ -186,14 +186,14 @@ def resolve(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESH
     return names.join(clusters, "rank").select("name", "rank", "seed")
 
 
-def numbered_by(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with ``id``, their place from 1 in a total ``order``: sorted in ranges, each numbered after the rows of those before it."""
+def numbered_by(rows: DataFrame, order: list[Column], after: int = 0) -> DataFrame:
+    """``rows`` with ``id``, their place in a total ``order`` counted on from ``after``: sorted in ranges, each numbered after the rows of those before it."""
     rows = settle(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
     # one row per range
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.alias("x").join(sizes.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy("x._part").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.join(F.broadcast(before), "_part").withColumn("id", (F.col("_before") + inside).cast("bigint")).drop("_part", "_before")
+    return rows.join(F.broadcast(before), "_part").withColumn("id", (F.col("_before") + inside + after).cast("bigint")).drop("_part", "_before")
 
 
 def generate(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESHOLD, require_surname: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -205,17 +205,20 @@ def materialise(claims: DataFrame, clusters: DataFrame) -> tuple[DataFrame, Data
     """New claims and entities: ids number the clusters by documents, then claims, then seed.
 
     Claims lose any earlier cluster and become clustered; an entity is verified
-    if several documents speak of it. Registry ids on claims stay.
+    if several documents speak of it. Registry ids on claims stay; claims
+    without a subject stay too, unresolved.
     """
     seeds = clusters.select(F.col("name").alias("_name"), "seed")
-    told = claims.drop("entity_id").join(seeds, F.col("subject_name") == F.col("_name")).drop("_name")
+    every = claims.drop("entity_id").join(seeds, F.col("subject_name") == F.col("_name"), "left").drop("_name")
+    told = every.filter("seed is not null")
     stats = entity_stats(told, "seed").join(entity_name_sets(told, "seed"), "seed")
     numbered = numbered_by(stats.select("seed", "source_count", "fact_count"), [F.desc("source_count"), F.desc("fact_count"), F.asc("seed")]).select("seed", "id")
     entities = stats.join(numbered, "seed").select(
         "id", "canonical_name", "name_variants", "nicknames", "maiden_names", F.lit(None).cast("string").alias("registry_person_id"),
         "confidence_score", F.col("source_count").cast("int").alias("source_count"), F.col("fact_count").cast("int").alias("fact_count"),
         F.when(F.col("source_count") > 1, "verified").otherwise("unverified").alias("entity_status"))
-    new = told.join(numbered.withColumnRenamed("id", "entity_id"), "seed").drop("seed").withColumn("resolution_status", F.lit("clustered"))
+    new = every.join(numbered.withColumnRenamed("id", "entity_id"), "seed", "left").drop("seed").withColumn(
+        "resolution_status", F.when(F.col("entity_id").isNotNull(), "clustered").otherwise("unresolved"))
     return new.select(*claims.columns) if "entity_id" in claims.columns else new, entities
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import analyze as A
+from ..checkpoints import ensure_checkpoint_dir
+from ..operators import changes as G
 from ..operators import cite as K
 from ..operators import extract as L
 from ..operators import link as R
@@ -635,6 +638,90 @@ def processing_status(spark, d):
     return _processed(spark, d).documents
 
 
+def _store(spark, **tables):
+    """A store of its own in the shared folder, with the given tables as its first version."""
+    store = S.Store(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    with store.change() as c:
+        for name, frame in tables.items():
+            c.write(name, frame)
+    return store
+
+
+def _told(spark, d):
+    """Mentions as stored claims."""
+    return T.mentions(spark, d).withColumn("resolution_status", F.lit("clustered")).withColumn("registry_person_id", F.lit(None).cast("string"))
+
+
+def _linked_store(spark, d):
+    pages = T.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    store = _store(spark, claims=_told(spark, d), entities=_own_entities(spark, d), citations=T.citations(spark, d), documents=pages)
+    G.link_entity(store, 8, "P999")
+    return store
+
+
+@query(f"""WITH {ME} SELECT id, document_id, fact_type, subject_name, CASE WHEN entity_id = 8 THEN 'P999' END AS registry_person_id,
+  CASE WHEN entity_id = 8 THEN 'resolved' ELSE 'clustered' END AS resolution_status FROM mentions""")
+def stored_link(spark, d):
+    """Stored claims after a link that wrote claims, entities, citations and outbox as one version."""
+    return _linked_store(spark, d).read("claims").select("id", "document_id", "fact_type", "subject_name", "registry_person_id", "resolution_status")
+
+
+@query(f"""WITH {CI}, {ME}, n AS (SELECT document_id, arg_min(fact_value, id) AS name FROM mentions WHERE fact_type = 'person_name' AND subject_role = 'deceased_primary' GROUP BY 1),
+  w AS (SELECT DISTINCT document_id FROM mentions WHERE entity_id = 8)
+  SELECT id, document_id, entity_id, registry_person_id, document_name, confidence FROM citations_of
+  UNION ALL SELECT (SELECT MAX(id) FROM citations_of) + row_number() OVER (ORDER BY w.document_id), w.document_id, 8, 'P999', 'Obituary of ' || coalesce(name, 'Unknown'), 'high' FROM w LEFT JOIN n USING (document_id)""")
+def stored_citations(spark, d):
+    """Stored citations after the same link."""
+    return _linked_store(spark, d).read("citations").select("id", "document_id", "entity_id", "registry_person_id", "document_name", "confidence")
+
+
+@query(f"""WITH {CI} SELECT id, entity_id FROM citations_of WHERE entity_id <> 9
+  UNION ALL SELECT -s_suppkey, CASE WHEN s_suppkey <> 9 THEN s_suppkey END FROM supplier""")
+def stored_unlink(spark, d):
+    """Stored citations after an entity's link was undone; entities that still are linked, below zero."""
+    store = _store(spark, claims=_told(spark, d), entities=_own_entities(spark, d), citations=T.citations(spark, d))
+    G.unlink_entity(store, 9)
+    linked = store.read("entities").select((-F.col("id")).alias("id"), F.when(F.col("registry_person_id").isNotNull(), F.col("id")).alias("entity_id"))
+    return store.read("citations").select("id", "entity_id").union(linked)
+
+
+@query(f"""{_PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, {_LADDER}, {_STARS}, {_ENTITIES} SELECT document_id, fact_type, subject_name, entities.id AS entity_id, canonical_name, 'clustered' AS resolution_status
+  FROM told JOIN entities USING (seed)""")
+def stored_generate(spark, d):
+    """Stored claims with the stored entity that each fell to, after both were made anew in one version."""
+    store = _store(spark, claims=_name_claims(spark, d))
+    G.generate_entities(store)
+    names = store.read("entities").select(F.col("id").alias("entity_id"), "canonical_name")
+    return store.read("claims").join(names, "entity_id", "left").select("document_id", "fact_type", "subject_name", "entity_id", "canonical_name", "resolution_status")
+
+
+_ANSWERS = f"""{_NOTICES}, t AS (SELECT DISTINCT name, died, age, years, name || ' died on ' || died || ' at the age of ' || age || '. The two were married for ' || years || ' years.' AS text FROM notices),
+  asked AS (SELECT 'List the people that this text names, as JSON objects with full_name and role.' || chr(10) || chr(10) || text AS prompt,
+      '[{{"full_name":"' || name || '","role":"deceased_primary"}}]' AS answer FROM t
+    UNION ALL SELECT 'State what this text claims of these people, as JSON objects.' || chr(10) || chr(10) || '- ' || name || ' (deceased_primary)' || chr(10) || chr(10) || text,
+      '[{{"pos":0,"fact_type":"person_name"' || w || ',"fact_value":"' || name || '"}},{{"pos":1000000,"fact_type":"person_death_age"' || w || ',"fact_value":"' || age
+      || '"}},{{"pos":1000001,"fact_type":"person_death_date"' || w || ',"fact_value":"' || died || '"}},{{"pos":1000002,"fact_type":"marriage_duration"' || w || ',"fact_value":"' || years || ' years"}}]'
+    FROM (SELECT *, ',"subject_name":"' || name || '","subject_role":"deceased_primary"' AS w FROM t)),
+  sized AS (SELECT *, CAST(len(regexp_extract_all(prompt, '\S+')) AS INTEGER) AS tokens_prompt, CAST(len(regexp_extract_all(answer, '\S+')) AS INTEGER) AS tokens_completion FROM asked)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT sha256(prompt) AS prompt_hash, answer AS response_text, tokens_prompt, tokens_completion,
+  CAST(CAST((tokens_prompt * CAST(0.01 AS DECIMAL(4,2)) + tokens_completion * CAST(0.03 AS DECIMAL(4,2))) / 1000.0 AS DECIMAL(10,6)) AS DOUBLE) AS cost_usd FROM sized""")
+def stored_answers(spark, d):
+    """The memo that processing stored documents leaves, one answer a prompt."""
+    store = _store(spark, documents=_notices(spark, d))
+    G.process_documents(store)
+    return store.read("memo").select("prompt_hash", "response_text", "tokens_prompt", "tokens_completion", F.col("cost_usd").cast("double").alias("cost_usd"))
+
+
+@query(f"WITH {_NOTICES} SELECT id AS document_id, name AS full_name, 'deceased_primary' AS role FROM notices")
+def stored_mentions(spark, d):
+    """The people that processing stored documents named, read back from the store."""
+    store = _store(spark, documents=_notices(spark, d))
+    G.process_documents(store)
+    return store.read("mentions")
+
+
 @query()
 def extracted_mentions(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("extracted_text"))

@@ -27,6 +27,8 @@ SCHEMAS = {
     "registry_events": "handle string, type string, dateval array<int>, place string",
     "registry_families": "registry_id string, handle string, parents array<string>, children array<string>",
     "registry_sources": "registry_id string, handle string, attributes array<struct<type:string,value:string>>",
+    "outbox": "key string, step int, kind string, url string, title string, document_id bigint, registry_person_id string, confidence int, created_timestamp timestamp",
+    "mentions": "document_id bigint, full_name string, role string",
     "settings": "setting_key string, setting_value string, setting_type string, description string",
 }
 

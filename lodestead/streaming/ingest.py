@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import ingest
-from ..sources.store import Store
+from ..sources.store import Change, Store
 
 
 def start_ingest(posted: DataFrame, store: Store, checkpoint: str, once: bool = True, order: str | None = None) -> StreamingQuery:
@@ -18,8 +18,12 @@ def start_ingest(posted: DataFrame, store: Store, checkpoint: str, once: bool =
     greatest one and writers need not agree.
     """
     def append(batch: DataFrame, number: int) -> None:
-        new = ingest(store.read("documents"), batch, order).withColumn("id", F.conv(F.substring("url_hash", 1, 15), 16, 10).cast("bigint"))
-        store.write("documents", new.withColumn("fetch_timestamp", F.current_timestamp()), mode="append")
+        def work(c: Change) -> None:
+            if c.mark(f"ingest {checkpoint}", number):
+                new = ingest(c.read("documents"), batch, order).withColumn("id", F.conv(F.substring("url_hash", 1, 15), 16, 10).cast("bigint"))
+                c.write("documents", new.withColumn("fetch_timestamp", F.current_timestamp()), "append")
+
+        store.retrying(work)
 
     writer = posted.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
