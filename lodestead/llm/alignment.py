@@ -2,14 +2,15 @@
 
 Both tokenizers begin a token at a lone blank between two words, whatever stands
 around it (see ``cut_units``), so a text is aligned unit by unit and a worker
-encodes and aligns each different unit once. Three passes:
+encodes and aligns each different unit once while it remembers it.
 
-1. Tasks collect their different pairs; the different ones of all become the keys
-   of a minimal perfect hash (Limasset, Rizk, Chikhi, Peterlongo 2017), built in
-   ``SHARDS`` tasks and stored with the keys, so a stranger is told from a key.
-2. Texts are aligned again; each task counts into one dense vector, indexed by the
-   hash. Slices of the vectors are summed in a tree of ``FAN`` branches.
-3. Texts are aligned once more, and their pairs looked up.
+1. A first pass aligns the texts; each task keeps its different pairs and their
+   numbers. The different pairs of all tasks become the keys of a minimal perfect
+   hash (Limasset, Rizk, Chikhi, Peterlongo 2017), built in ``SHARDS`` tasks and
+   stored with the keys, so a stranger is told from a key.
+2. What each task counted becomes a dense vector indexed by the hash; slices of
+   the vectors are summed in a tree of ``FAN`` branches.
+3. A second pass aligns the texts again and looks their pairs up.
 
 Tokens that end together are a token and a suffix of it, so there are no more
 pairs than the bytes of both vocabularies (``pair_bound``: about a million),
@@ -24,12 +25,15 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SHARDS = 16
 FAN = 64
 #: Slots of a vector that travel as one row.
@@ -37,7 +41,7 @@ SLICE = 1 << 14
 #: Bits a key of each level of the hash.
 GAMMA = 2.0
 #: Different units, and their characters, that a worker remembers.
-UNITS, UNIT_CHARS = 200_000, 16 << 20
+UNITS, UNIT_CHARS = 400_000, 16 << 20
 #: Characters of texts that are aligned at once.
 _POOL = 1 << 22
 _LOOSE = re.compile("[\\s᠎﻿]\x20|^\x20|\x20$")
@@ -73,7 +77,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, the bytes of their tokens, and what is known of units."""
+    """Both tokenizers, the bytes of their tokens, and what is known of units: their numbers, sizes, pairs and groups."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,54 +94,77 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode("utf-8")
                         for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))]
+        self.size_a, self.size_b = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
+        # an id as text, with what follows it inside a group and at its end
+        self.text_a, self.last_a = (np.array([f"{i}{end}" for i in range(len(self.bytes_a))], dtype=object) for end in ",|")
+        self.text_b, self.last_b = (np.array([f"{i}{end}" for i in range(len(self.bytes_b))], dtype=object) for end in ",;")
+        self.written = False
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.sizes = np.zeros((1 << 12, 4), dtype=np.int64)
+        self.sizes = np.zeros((0, 4), dtype=np.int64)
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        self.pairs, self.pairs_at = np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
+
+    def writing(self, written: bool) -> Pair:
+        """Whether groups are wanted as text from now on."""
+        if self.written != written:
+            self.written = written
+            self.forget()
+        return self
 
     def learn(self, units: list[str]) -> None:
-        """Encode and align units: tokens of either side, links, whether bytes differ; the groups as text; the pairs."""
-        encoded = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        for u, e, b in zip(units, encoded, self.b.encode(units, num_threads=1), strict=True):
-            a, k = e.ids, len(self.groups)
-            raw = (" " + u).encode("utf-8", "replace")
-            same = b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
-            groups, links = align(a, b, self.bytes_a, self.bytes_b) if same else ([], [])
-            if k == len(self.sizes):
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.sizes[k] = (len(a), len(b), len(links), not same)
-            self.groups.append(";".join(groups))
-            self.pairs.append(np.array([x << 32 | y for x, y in links], dtype=np.uint64))
-            self.number[u] = k
-            self.chars += len(u)
+        """Encode and align different new units, all at once."""
+        raw = [(" " + u).encode("utf-8", "replace") for u in units]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        same = np.ones(len(units), dtype=bool)
+        whole = b"".join(raw)
+        if b"".join([self.bytes_a[i] for i in flat_a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in flat_b.tolist()]) != whole:
+            same[:] = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
+            flat_a, flat_b = flat_a[np.repeat(same, n_a)], flat_b[np.repeat(same, n_b)]
+            n_a, n_b = n_a * same, n_b * same
+        # both sides have the same bytes, so their ends can be compared along all units at once
+        end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        at_b = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at_b] == end_a)
+        last_b = at_b[last_a]
+        links = np.bincount(np.repeat(np.arange(len(units)), n_a)[last_a], minlength=len(units))
+        self.pairs = np.append(self.pairs, flat_a[last_a].astype(np.uint64) << np.uint64(32) | flat_b[last_b].astype(np.uint64))
+        self.pairs_at = np.append(self.pairs_at, self.pairs_at[-1] + np.cumsum(links))
+        if self.written:
+            in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+            begin = np.cumsum(in_a + in_b) - in_a - in_b
+            words = np.empty(len(flat_a) + len(flat_b), dtype=object)
+            for flat, last, size, start, text, final in ((flat_a, last_a, in_a, begin, self.text_a, self.last_a), (flat_b, last_b, in_b, begin + in_a, self.text_b, self.last_b)):
+                written = text[flat]
+                written[last] = final[flat[last]]
+                words[np.arange(len(flat)) + np.repeat(start - (last - size + 1), size)] = written
+            flat_words, ends = words.tolist(), np.cumsum(n_a + n_b).tolist()
+            self.groups += ["".join(flat_words[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        first = len(self.sizes)
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, links, ~same], axis=1)])
+        self.number |= dict(zip(units, range(first, first + len(units)), strict=True))
+        self.chars += sum(map(len, units))
 
     def numbers(self, units: list[str]) -> np.ndarray:
-        """The number of each unit; only call ``forget`` between two texts' batches, as it numbers anew."""
+        """The number of each unit; forgets all others first where it remembers too many, so numbers last until the next call."""
+        if len(self.number) > UNITS or self.chars > UNIT_CHARS:
+            self.forget()
         new = list(set(units) - self.number.keys())
-        for i in range(0, len(new), 4096):
-            self.learn(new[i:i + 4096])
+        if new:
+            self.learn(new)
         return np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units))
 
-
-def align(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups (``a1,a2|b1``) and the pair that ends each, of two encodings of the same bytes."""
-    groups, links = [], []
-    at_a = at_b = i = j = from_a = from_b = 0
-    while i < len(a):
-        at_a += len(bytes_a[a[i]])
-        i += 1
-        while at_b < at_a:
-            at_b += len(bytes_b[b[j]])
-            j += 1
-        if at_a == at_b:
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            links.append((a[i - 1], b[j - 1]))
-            from_a, from_b = i, j
-    return groups, links
+    def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of some units in a row, and how many each has."""
+        n = self.pairs_at[units + 1] - self.pairs_at[units]
+        first = np.cumsum(n) - n
+        return self.pairs[np.arange(n.sum()) + np.repeat(self.pairs_at[units] - first, n)], n
 
 
 @lru_cache(maxsize=2)
@@ -158,8 +185,6 @@ def _aligned(texts: list[str | None], pair: Pair) -> Iterator[tuple[np.ndarray,
     at, starts, units, held = [], [], [], 0
 
     def out() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if len(pair.number) > UNITS or pair.chars > UNIT_CHARS:
-            pair.forget()
         numbers = pair.numbers(units)
         bad = np.add.reduceat(pair.sizes[numbers, 3], starts) > 0
         size = np.diff(np.append(starts, len(numbers)))
@@ -270,67 +295,81 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
 
 
-def hash_pairs(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> ShardedHash:
-    """The minimal perfect hash of the different pairs of all texts."""
-    def distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, found = load_pair(path_a, path_b), np.zeros(0, np.uint64)
+def _pack(v: np.ndarray) -> bytes:
+    return pa.compress(v.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), kind)
+
+
+def tally(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first pass: one row a task, its different pairs (``keys``) and how often it links them (``times``), packed."""
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = load_pair(path_a, path_b).writing(False)
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in it:
             for _, _, numbers in _aligned(b.column(0).to_pylist(), pair):
-                found = np.union1d(found, np.concatenate([pair.pairs[k] for k in np.unique(numbers)]))
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(shard_of(found))], ["pair", "shard"])
+                unit, often = np.unique(numbers, return_counts=True)
+                pairs, n = pair.pairs_of(unit)
+                keys, at = np.unique(np.append(keys, pairs), return_inverse=True)
+                every, times = np.append(times, np.repeat(often, n)), np.zeros(len(keys), np.int64)
+                np.add.at(times, at, every)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([len(keys)]), pa.array([_pack(keys)], pa.binary()), pa.array([_pack(times)], pa.binary())], ["n", "keys", "times"])
+
+    return settle(_texts(docs, id_col, text_col).select("t").mapInArrow(count, "n long, keys binary, times binary"))
+
+
+def hash_pairs(tallies: DataFrame) -> ShardedHash:
+    """The minimal perfect hash of the different pairs of all tasks."""
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for n, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = _unpack(keys, n, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(shard_of(found))], ["pair", "shard"])
 
     def build(table: pa.Table) -> pa.Table:
         keys = np.sort(table.column("pair").to_numpy()).view(np.uint64)
         return pa.Table.from_pylist([{"shard": table.column("shard")[0].as_py(), **PerfectHash.build(keys).packed()}],
                                     schema=pa.schema([("shard", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("keys", pa.binary())]))
 
-    pairs = _texts(docs, id_col, text_col).select("t").mapInArrow(distinct, "pair long, shard long").distinct()
+    pairs = tallies.select("n", "keys").mapInArrow(spread, "pair long, shard long").distinct()
     rows = pairs.groupBy("shard").applyInArrow(build, "shard long, sizes array<long>, bits binary, keys binary").collect()
     return ShardedHash({r["shard"]: PerfectHash.unpacked(r) for r in rows})
 
 
-def count_pairs(docs: DataFrame, hashed: ShardedHash, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """How many links of all texts hold each pair, by its index."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(hashed)
-
-    def pack(v: np.ndarray) -> bytes:
-        return pa.compress(v.tobytes(), codec="zstd", asbytes=True)
-
-    def unpack(b: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+def sum_vectors(tallies: DataFrame, hashed: ShardedHash) -> np.ndarray:
+    """How many links of all texts hold each pair, by its index: a dense vector a task, summed in a tree, slice by slice."""
+    sent = tallies.sparkSession.sparkContext.broadcast(hashed)
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, known = load_pair(path_a, path_b), sent.value
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         total = np.zeros(known.n, dtype=np.int64)
         for b in it:
-            for _, _, numbers in _aligned(b.column(0).to_pylist(), pair):
-                unit, times = np.unique(numbers, return_counts=True)
-                pairs = [pair.pairs[k] for k in unit]
-                at = known.lookup(np.concatenate(pairs))
-                np.add.at(total, at, np.repeat(times, [len(p) for p in pairs]))
-        pieces = [(k, total[k * SLICE:(k + 1) * SLICE]) for k in range(-(-len(total) // SLICE))]
-        pieces = [(k, len(v), pack(v)) for k, v in pieces if v.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pieces], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["slice", "n", "v"])
-
-    def add(table: pa.Table) -> pa.Table:
+            for n, keys, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total[known.lookup(_unpack(keys, n, np.uint64))] += _unpack(times, n)
+        for k in range(-(-len(total) // SLICE)):
+            v = total[k * SLICE:(k + 1) * SLICE]
+            if v.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(v)]), pa.array([_pack(v)], pa.binary())], ["slice", "n", "v"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
         n, out = table.column("n")[0].as_py(), 0
         for v in table.column("v"):
-            out = out + unpack(v.as_py(), n)
-        return pa.table({"slice": table.column("slice")[:1], "n": table.column("n")[:1], "v": pa.array([pack(out)], pa.binary())})
+            out = out + _unpack(v.as_py(), n)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([n]), pa.array([_pack(out)], pa.binary()), pa.array([key[1].as_py()], pa.int32())], names=["slice", "n", "v", "branch"])
 
-    texts = _texts(docs, id_col, text_col).select("t")
-    width = max(1, texts.rdd.getNumPartitions())
-    vectors = texts.mapInArrow(count, "slice long, n long, v binary").withColumn("branch", F.spark_partition_id())
+    width = max(1, tallies.rdd.getNumPartitions())
+    summed = tallies.select("n", "keys", "times").mapInArrow(vectors, "slice long, n long, v binary").withColumn("branch", F.spark_partition_id())
     while True:
         width = -(-width // FAN)
-        vectors = vectors.withColumn("branch", F.pmod("branch", F.lit(width)))
-        vectors = vectors.groupBy("slice", "branch").applyInArrow(lambda key, t: add(t).append_column("branch", pa.array([key[1].as_py()], pa.int32())), "slice long, n long, v binary, branch int")
+        summed = summed.withColumn("branch", F.pmod("branch", F.lit(width))).groupBy("slice", "branch").applyInArrow(add, "slice long, n long, v binary, branch int")
         if width == 1:
             break
     total = np.zeros(hashed.n, dtype=np.int64)
-    for r in vectors.collect():
-        total[r["slice"] * SLICE:r["slice"] * SLICE + r["n"]] = unpack(bytes(r["v"]), r["n"])
+    for r in summed.collect():
+        total[r["slice"] * SLICE:r["slice"] * SLICE + r["n"]] = _unpack(bytes(r["v"]), r["n"])
     return total
 
 
@@ -348,8 +387,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     columns aren't read.
     """
     spark = docs.sparkSession
-    hashed = hash_pairs(docs, path_a, path_b, id_col, text_col)
-    counts = count_pairs(docs, hashed, path_a, path_b, id_col, text_col)
+    tallies = tally(docs, path_a, path_b, id_col, text_col)
+    hashed = hash_pairs(tallies)
+    counts = sum_vectors(tallies, hashed)
     second = (hashed.keys() & np.uint64(0xFFFFFFFF)).astype(np.int64)
     most = np.zeros(int(second.max()) + 1 if len(second) else 0, dtype=np.int64)
     np.maximum.at(most, second, counts)
@@ -357,21 +397,19 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
 
     def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, (known, often, best) = load_pair(path_a, path_b), sent.value
+        pair, (known, often, best) = load_pair(path_a, path_b).writing(True), sent.value
         for b in it:
-            out, texts = np.zeros((b.num_rows, 5), dtype=np.int64), [""] * b.num_rows
-            digests = [""] * b.num_rows
+            out, texts, digests = np.zeros((b.num_rows, 5), dtype=np.int64), [""] * b.num_rows, [""] * b.num_rows
             for at, starts, numbers in _aligned(b.column(1).to_pylist(), pair):
                 unit, which = np.unique(numbers, return_inverse=True)
-                pairs = [pair.pairs[k] for k in unit]
-                index = known.lookup(np.concatenate(pairs))
-                cuts = np.append(0, np.cumsum([len(p) for p in pairs])[:-1])
+                pairs, n = pair.pairs_of(unit)
+                index, cuts = known.lookup(pairs), np.cumsum(n) - n
                 told = np.stack([np.add.reduceat(best[index].astype(np.int64), cuts), np.add.reduceat(often[index], cuts)], axis=1)
                 out[at, :3] = np.add.reduceat(pair.sizes[numbers, :3], starts, axis=0)
                 out[at, 3:] = np.add.reduceat(told[which], starts, axis=0)
-                written, ends = [pair.groups[k] for k in numbers], np.append(starts[1:], len(numbers))
-                for k, i, j in zip(at, starts, ends, strict=True):
-                    groups = ";".join(written[i:j])
+                written, ends = [pair.groups[k] for k in numbers.tolist()], np.append(starts[1:], len(numbers)).tolist()
+                for k, i, j in zip(at.tolist(), starts.tolist(), ends, strict=True):
+                    groups = "".join(written[i:j])[:-1]
                     digests[k] = hashlib.sha256(groups.encode()).hexdigest()
                     if with_groups:
                         texts[k] = groups
