@@ -192,9 +192,10 @@ def _ranged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.batches(True)
 
 
-def long_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[list[tuple[int, DataFrame]], int]:
+def long_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES, parts: int = 1) -> tuple[list[tuple[int, DataFrame]], int]:
     """The prefixes whose texts outgrow a range, as (length, ``h``, ``deeper``) by length; and the bytes of all texts.
 
+    Of a small table a range holds half of what each of ``parts`` tasks would.
     ``h`` is a hash of the prefix, as it only tells where a text goes;
     ``deeper`` is false where all texts behind it are one.
     """
@@ -207,7 +208,7 @@ def long_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[list[t
     texts, size = cut(docs.select("text"), FIRST_PREFIX), FIRST_PREFIX
     found = groups(texts)
     total = found.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("s")).first()["s"]
-    most, out = max(range_bytes, total // LONG_RANGES), []
+    most, out = max(min(range_bytes, total // (2 * parts)), total // LONG_RANGES, 1), []
     while True:
         hot = settle(found.filter(F.col("bytes") > most).select("h", "deeper"))
         if hot.isEmpty():
@@ -229,7 +230,9 @@ def filter_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                     F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
-    levels, total = long_ranges(x, range_bytes)
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    levels, total = long_ranges(x, range_bytes, parts)
+    parts = max(parts, -(-total // range_bytes))
     firsts = x.select("doc_id", "text", "part").mapInArrow(_local(local_bytes), _SCHEMA)
     depth, open_, shared = F.lit(FIRST_PREFIX), F.col("text").isNotNull(), F.lit(False)
     for size, hot in levels:
@@ -242,7 +245,6 @@ def filter_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share = F.when(F.col("shared"), F.pmod(F.spark_partition_id(), F.lit(SHARES))).otherwise(0)
     # duplicates without a text go anywhere
     leaf = F.when(F.col("text").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.expr("substring(text, 1, depth)"), share))
-    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
 
     def meet(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "leaf").sortWithinPartitions("leaf", "shared").select(*_Rows.names, "leaf", "shared").mapInArrow(_ranged, _SCHEMA)
