@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed slots, so a question asked again with
-other values has the same template. Windows of template tokens are hashed and
+other values has the same template. A value may be many words ("one hundred and
+five", "half past nine", "2 million", "John Smith"): a run of them is one slot,
+whose value is the whole run. Windows of template tokens are hashed and
 joined between documents and benchmark; matches on one diagonal are gathered,
 and the values that fill the slots must map one to one: the same benchmark value
 always to the same document value, different ones to different ones.
@@ -41,6 +43,11 @@ UNIT_WORDS = frozenset(
     "pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days "
     "week weeks month months year years dollar dollars cent cents euro euros percent mph kph meter meters metre metres "
     "kilometer kilometers centimeter centimeters degrees celsius fahrenheit watts volts joules hertz".split())
+SCALE_WORDS = frozenset("hundred thousand million billion dozen".split())
+#: Words that one value has at most; a longer run of names or numbers is a list of them.
+LONGEST_NAME, LONGEST_NUMBER = 4, 8
+#: Words inside a number, and whether only a scale word may stand before them.
+JOINTS = {"and": True, "past": False, "point": False}
 GIVEN_NAMES = frozenset(
     "alice bob carol david emma frank grace henry ivan jack james jane john julia kate kevin laura linda lucy maria mark "
     "mary mike natalia nina oliver paul peter rachel robert sam sarah susan thomas tim tom tina weng william".split())
@@ -48,45 +55,94 @@ GIVEN_NAMES = frozenset(
 
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d,.:/]*(?:st|nd|rd|th|%)?")
 _EDGE = " \t.,;:!?\"'()[]{}<>|*#&%$^~_=+-/\\`“”‘’«»…"
+_STOPS = (",", ";", ".", "!", "?", ":", ")", "]")
 _LITERAL, _NUM, _UNIT, _NAME = 0, 1, 2, 3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _spelled(word: str) -> bool:
+    """Whether a lower-case word is a number, as "seven" or "twenty-two"."""
+    return all(w in NUMBER_WORDS for w in word.split("-"))
+
+
 def _token(word: str) -> tuple[str, int, bool, bool]:
     """(canonical word, slot type, capitalised, ends a sentence) of one raw word."""
     bare = word.strip(_EDGE)
     low = bare.lower()
     ends = word.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
     numeric = word.strip("\"'()[]{}.,;:!?*#&")
-    if numeric and _NUMBER.fullmatch(numeric) or low in NUMBER_WORDS:
+    if numeric and _NUMBER.fullmatch(numeric) or _spelled(low):
         return (numeric if numeric[:1].isdigit() else low), _NUM, False, ends
     if low in UNIT_WORDS:
         return low, _UNIT, False, ends
     if low in GIVEN_NAMES and bare[:1].isupper():
         return low, _NAME, False, ends
-    return low, _LITERAL, bare[:1].isupper() and bare[1:].islower(), ends
+    return low, _LITERAL, bare[:1].isupper() and any(c.islower() for c in bare), ends
+
+
+def _runs(of: np.ndarray, kind: np.ndarray, codes: np.ndarray, words: list[str], stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens go on with the value that the one before them began, and the kinds with joints of numbers as numbers.
+
+    Number words in a row, a number before a scale word, names in a row; never
+    over a punctuation mark, and never more words than a value has. "and" after a scale word, "past" and "point" between
+    numbers belong to the number.
+    """
+    low = np.array([_spelled(w) for w in words], dtype=bool)[codes]
+    scale = np.array([w in SCALE_WORDS for w in words], dtype=bool)[codes]
+    near = np.zeros(len(of), dtype=bool)
+    near[1:] = (of[1:] == of[:-1]) & ~stops[:-1]
+    number, kind, joint = kind == _NUM, kind.copy(), np.zeros(len(of), dtype=bool)
+    for word, after_scale in JOINTS.items():
+        at = np.flatnonzero(np.array([w == word for w in words], dtype=bool)[codes])
+        at = at[(at > 0) & (at < len(of) - 1)]
+        at = at[near[at] & near[at + 1] & (scale if after_scale else low)[at - 1] & number[at + 1]]
+        joint[at] = True
+    kind[joint] = _NUM
+    goes = np.zeros(len(of), dtype=bool)
+    goes[1:] = near[1:] & (((kind[1:] == _NAME) & (kind[:-1] == _NAME)) | (number[1:] & number[:-1] & ((low[1:] & low[:-1]) | scale[1:])) | joint[1:] | joint[:-1])
+    head = np.flatnonzero(~goes)
+    size = np.diff(np.append(head, len(of)))
+    long = np.repeat(size > np.where(kind[head] == _NAME, LONGEST_NAME, LONGEST_NUMBER), size)
+    return goes & ~long, np.where(joint & long, _LITERAL, kind)
 
 
 def template_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Per token of all texts: text number, template hash, hash of the word, slot type, code of the canonical word; and the words."""
+    """Per token of all texts: text number, template hash, hash of the value, slot type, code of the canonical value; and the values.
+
+    A token is a word, or a run of words that is one value.
+    """
     lists = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\x20\x09-\x0D]+")
     flat = lists.flatten()
     of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
     coded = pc.dictionary_encode(flat)
     codes = np.asarray(coded.indices).astype(np.int64)
-    seen = [_token(w) for w in coded.dictionary.to_pylist()]
+    raw = coded.dictionary.to_pylist()
+    seen = [_token(w) for w in raw]
     kind = np.array([s[1] for s in seen], dtype=np.int8)[codes] if seen else np.zeros(0, np.int8)
     capital = np.array([s[2] for s in seen], dtype=bool)[codes] if seen else np.zeros(0, bool)
     ends = np.array([s[3] for s in seen], dtype=bool)[codes] if seen else np.zeros(0, bool)
     full = np.array([bool(s[0]) for s in seen], dtype=bool)[codes] if seen else np.zeros(0, bool)
-    of, codes, kind, capital, ends = of[full], codes[full], kind[full], capital[full], ends[full]
+    stops = np.array([w.endswith(_STOPS) for w in raw], dtype=bool)[codes] if seen else np.zeros(0, bool)
+    of, codes, kind, capital, ends, stops = of[full], codes[full], kind[full], capital[full], ends[full], stops[full]
     fresh = np.ones(len(of), dtype=bool)
     fresh[1:] = (of[1:] != of[:-1]) | ends[:-1]
     kind = np.where((kind == _LITERAL) & capital & ~fresh, _NAME, kind)
-    plain = np.array([xxhash.xxh3_64_intdigest(s[0].encode("utf-8", "replace")) for s in seen], dtype=np.uint64)
+    words = [s[0] for s in seen]
+    if seen:
+        goes, kind = _runs(of, kind, codes, words, stops)
+        heads = np.flatnonzero(~goes)
+        size = np.diff(np.append(heads, len(of)))
+        run_codes = codes[heads]
+        number: dict[str, int] = {}
+        for k in np.flatnonzero(size > 1).tolist():
+            value = " ".join([words[c] for c in codes[heads[k]:heads[k] + size[k]].tolist()])
+            run_codes[k] = number.setdefault(value, len(words) + len(number))
+        of, kind, codes = of[heads], kind[heads], run_codes
+        words = words + list(number)
+    plain = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
     slots = np.array([0] + [xxhash.xxh3_64_intdigest(b"<slot>", seed=k) for k in (_NUM, _UNIT, _NAME)], dtype=np.uint64)
-    exact = plain[codes] if len(seen) else np.zeros(0, np.uint64)
-    return of, np.where(kind == _LITERAL, exact, slots[kind]), exact, kind, codes, [s[0] for s in seen]
+    exact = plain[codes] if words else np.zeros(0, np.uint64)
+    return of, np.where(kind == _LITERAL, exact, slots[kind]), exact, kind, codes, words
 
 
 def windows(of: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestead.llm import alignment, audit, secrets
+from lodestead.llm import alignment, audit, decontaminate, secrets
 
 
 # --- filter audit
@@ -243,3 +243,66 @@ def test_alignment_of_nothing(spark, vocabularies):
     assert out.count() == 0
     only = alignment.align_documents(spark.createDataFrame([(1, ""), (None, None)], "doc_id bigint, text string"), *vocabularies).collect()
     assert sorted(tuple(r)[1:] for r in only) == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+# --- values of many words in benchmark items
+
+_NUMBERS = ["9", "10", "25", "80", "1,250", "seven", "twenty two", "twenty-two", "ten thirty", "half past nine", "one hundred", "one hundred and five", "2 million", "three point five", "two thousand three hundred and six"]
+_NAMES = ["Tom", "John Smith", "Maria", "Anna Maria Lopez", "Robert", "Kevin O'Neil"]
+_UNITS = ["miles", "km", "kg", "minutes", "dollars"]
+_TEMPLATES = [
+    "A train leaves the station at {n0} and travels {n1} {u0} before it stops near the old bridge where {n2} passengers get off and walk home",
+    "yesterday we saw that {p0} bought {n0} apples and gave {n1} of them to {p1} so how many apples did {p0} keep after lunch was over",
+    "the tank holds {n0} {u0} of water when {p0} opens the tap for {n1} {u1} and {p1} closes it again, how much water is left inside",
+]
+_TRAIN = "A train leaves the station at {} and travels {} miles before it stops near the old bridge where {} passengers get off and walk home again"
+
+
+def _filled(rng, template):
+    """The template with different values in different slots."""
+    values = {"n": rng.sample(_NUMBERS, 3), "p": rng.sample(_NAMES, 3), "u": rng.sample(_UNITS, 3)}
+    return re.sub(r"\{(.)(\d)\}", lambda m: values[m[1]][int(m[2])], template)
+
+
+def _broken(rng, template, items):
+    """The template with one value in all slots of a kind, which no item has; and values that no item has, so nothing with a slot is verbatim."""
+    text = " ".join(items)
+    values = {k: [rng.choice([v for v in every if f" {v} " not in f" {text} "])] * 3 for k, every in (("n", [*_NUMBERS, "77"]), ("p", [*_NAMES, "Bob"]), ("u", [*_UNITS, "hours"]))}
+    return re.sub(r"\{(.)(\d)\}", lambda m: values[m[1]][int(m[2])], template)
+
+
+@pytest.mark.parametrize("values", [("10", "80", "25"), ("ten thirty", "one hundred", "twenty two"), ("half past nine", "one hundred and five", "twenty-two"),
+                                    ("five", "two thousand three hundred and six", "2 million")])
+def test_train_is_found_whatever_its_values(spark, values):
+    bench = spark.createDataFrame([(1, _TRAIN.format(9, 60, 14))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Before it, some words. " + _TRAIN.format(*values) + ". And some after it."), (2, _TRAIN.format(7, 7, 8))], "doc_id bigint, text string")
+    got = [tuple(r) for r in decontaminate.leaks(docs, bench).collect()]
+    assert got == [(1, 1, 27, 27)]
+
+
+def test_values_of_any_length_align_by_slots(spark):
+    rng = random.Random(12)
+    noise = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+    items = [(10 * k + j, _filled(rng, t)) for k, t in enumerate(_TEMPLATES) for j in range(4)]
+    docs, want = [], set()
+    for i in range(240):
+        k, way = rng.randrange(3), i % 4
+        text = (_broken(rng, _TEMPLATES[k], [t for _, t in items]) if way == 3 else _filled(rng, _TEMPLATES[k])) if way else "where " + " ".join(rng.choice(noise) for _ in range(30))
+        docs.append((i, " ".join(rng.choice(noise) for _ in range(9)) + " " + text + " " + " ".join(rng.choice(noise) for _ in range(9))))
+        if way in (1, 2):
+            want.add((i, 10 * k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_runs_end_at_marks():
+    import pyarrow as pa
+
+    def values(text):
+        _, _, _, kind, codes, words = decontaminate.template_tokens(pa.array([text]))
+        return [words[c] for c, k in zip(codes, kind, strict=True) if k]
+
+    assert values("we saw three, four five and six at 3 5 or two hundred and nine") == ["three", "four five", "six", "3", "5", "two hundred and nine"]
+    assert values("there John Smith, Ann Lee met and Bob") == ["john smith", "ann lee", "bob"]
+    assert values("from ten and to hundred and so and five and") == ["ten", "hundred", "five"]
+    assert values("") == [] and values("and") == []
