@@ -36,59 +36,147 @@ def name_features(names: DataFrame, entries: dict[str, list[str]] | None = None)
     return x.join(last, "last").join(spoken, "spoken")
 
 
-def candidate_pairs(features: DataFrame, bare_names: str = "close") -> DataFrame:
-    """``rank_a`` < ``rank_b`` of all pairs that can match.
-
-    Such pairs have one normal form, or last tokens of one form or sound, or a
-    name of one token (a bare name), which may match any other. Each case is an
-    equi-join, and their union is made distinct. ``bare_names``: ``"close"``
-    pairs them where the ladder can give a confidence above zero; ``"none"``
-    leaves that case out; ``"every"`` pairs them with all names, also those that
-    only score without a match, which is a product of two tables.
+def candidate_pairs(features: DataFrame, bare_names: str = "close", cut: float = 0.0) -> DataFrame:
+    """``rank_a`` < ``rank_b`` of all pairs that the ladder compares as names of one surname, match or not.
+
+    Such pairs have one normal form, or last tokens of one form or sound; each
+    case is an equi-join. A name of one token (a bare name) may match any other:
+    ``bare_names="close"`` adds the pairs of bare names that can match, at
+    whatever threshold; ``"none"`` leaves that case out; ``"every"`` pairs them
+    with all names, also those that only score without a match, which is a
+    product of two tables. ``matching_pairs`` makes only pairs that can match.
     """
-    x = settle(features.select("rank", "name", "norm", "last", "last_norm", "last_p", "last_s", "groups"))
+    x = settle(features.select("rank", "name", *_COMPARED))
     full, bare = x.filter("last <> ''"), x.filter("last = ''")
-
-    def met(left: DataFrame, key_a: str, key_b: str, right: DataFrame | None = None) -> DataFrame:
-        a = left.select(F.col("rank").alias("a"), F.col(key_a).alias("k"))
-        b = (left if right is None else right).select(F.col("rank").alias("b"), F.col(key_b).alias("k"))
-        return a.join(b, "k").filter("a <> b").select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b"))
-
-    parts = [met(x, "norm", "norm"), met(full, "last_norm", "last_norm"), met(full, "last_p", "last_p"), met(full, "last_p", "last_s")]
+    parts = [_met(x, x, "norm", "norm"), _met(full, full, "last_norm", "last_norm"), _met(full, full, "last_p", "last_p"), _met(full, full, "last_p", "last_s")]
     if bare_names == "every":
         alone = bare.select(F.col("rank").alias("a")).join(x.select(F.col("rank").alias("b")), F.col("a") != F.col("b"))
         parts.append(alone.select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b")))
     elif bare_names == "close":
-        parts.append(met(bare.withColumn("g", F.explode("groups")), "g", "g", x.withColumn("g", F.explode("groups"))))
-        pieces = settle(_pieces(x))
-        often = pieces.select("rank", "piece").distinct().groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("rank", "form").orderBy("n", "piece")
-        asked = pieces.join(often, "piece").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("most") + 1)
-        alone = bare.select("rank")
-        for ask, held in ((asked.join(alone, "rank", "left_semi"), pieces), (asked, pieces.join(alone, "rank", "left_semi"))):
-            parts.append(met(ask.select("rank", "piece").distinct(), "piece", "piece", held.select("rank", "piece").distinct()))
+        alone = bare.select(F.col("rank").alias("bare"))
+        close = _bare_pairs(x).union(_high_pairs(x, cut).select("rank_a", "rank_b"))
+        parts += [close.join(alone, F.col("bare") == F.col(side), "left_semi") for side in ("rank_a", "rank_b")]
     return reduce(DataFrame.union, parts).distinct()
 
 
-def _pieces(names: DataFrame) -> DataFrame:
-    """``rank``, ``form``, ``piece``, ``most``: the letter pairs of each form of a name that the ladder compares, and how many a match can destroy.
+_COMPARED = ("norm", "first", "last", "last_norm", "last_p", "last_s", "first_p", "first_s", "groups")
+#: Rows of one key that meet in one tile at most.
+TILE = 2000
+#: The score from which names match whatever they sound like.
+HIGH = 90
+
+
+def _met(left: DataFrame, right: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    a = left.select(F.col("rank").alias("a"), F.col(key_a).alias("k"))
+    b = right.select(F.col("rank").alias("b"), F.col(key_b).alias("k"))
+    return a.join(b, "k").filter("a <> b").select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b"))
+
+
+def tiled_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
+    """``rank_a`` < ``rank_b`` of rows (``rank``, ``k``, ``role``) of one key that aren't both of role 1.
 
-    At a score of 85 or more (84.5 before rounding) the shorter of two forms, of
-    n letters, loses at most 0.155 n of them, and both together 0.367 n; a lost
-    letter breaks two neighbouring pairs and a letter put in breaks one, so at
-    most 0.522 n pairs of the shorter are missing in the longer, never all. Of
-    any ``most`` + 1 different pairs of the shorter one is in the longer, and the
-    rarest are asked for. A form of one letter is a piece itself, so single
-    letters are held too.
+    A key of more than ``tile`` rows is dealt into shares; each pair of shares
+    meets by itself, so no task holds a whole key.
     """
+    rows = rows.distinct()
+    hot = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("shares")).filter("shares > 1")
+    x = rows.join(hot, "k", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    mine, every = F.pmod(F.xxhash64("rank"), F.col("shares")).cast("int"), F.sequence(F.lit(0), F.col("shares") - 1)
+    a = x.select("k", mine.alias("i"), F.explode(every).alias("j"), F.col("rank").alias("rank_a"), F.col("role").alias("role_a"))
+    b = x.select("k", F.explode(every).alias("i"), mine.alias("j"), F.col("rank").alias("rank_b"), F.col("role").alias("role_b"))
+    return a.join(b, ["k", "i", "j"]).filter("rank_a < rank_b and role_a + role_b < 2").select("rank_a", "rank_b")
+
+
+def _firsts() -> Column:
+    """What two names of one surname match by, whatever their letters: groups of nicknames, and sounds of the first token."""
+    sounds = F.filter(F.array_distinct(F.array("first_p", "first_s")), lambda c: c != "")
+    return F.concat(F.transform("groups", lambda g: F.concat(F.lit("nick|"), g)), F.transform(sounds, lambda c: F.concat(F.lit("sound|"), c)))
+
+
+def _bare_pairs(x: DataFrame) -> DataFrame:
+    """Bare names with all names that share a group of nicknames or a sound of the first token."""
+    keys = x.select("rank", "last", F.explode(_firsts()).alias("k"))
+    return _met(keys.filter("last = ''"), keys, "k", "k")
+
+
+def _grams(c: Column, q: int) -> Column:
+    every = F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.substring(c, i, F.lit(q)))
+    return F.when(F.length(c) >= q, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def _lost(kind: str, q: int, t: float) -> Column:
+    """How many pieces of ``q`` letters of the shorter of two forms, of n letters, the longer one can lack at a score of ``t``.
+
+    With L common letters of n and m = n + d, 2 L >= t (n + m); the shorter loses
+    x = n - L letters, the longer has x + d others. A lost letter breaks q pieces,
+    one put in q - 1. The part of a longer name that the partial score takes is
+    as long as the shorter, so d is 0 there.
+    """
+    if kind == "part":
+        return F.floor(F.col("n") * (1 - t) + 1e-9) * (2 * q - 1)
+    spare = f"cast(floor((2 * n + d) * {1 - t} + 1e-9) as int)"
+    return F.expr(f"array_max(transform(sequence(0, cast(ceil(n * {2 * (1 - t) / t}) as int)), d -> if(d <= {spare}, {2 * q - 1} * ((({spare}) - d) div 2) + {q - 1} * d, 0)))")
+
+
+def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
+    """Pairs whose score can be ``HIGH`` (or 100 ``cut``, if more): a similarity join on each of the three forms that are scored.
+
+    The longer form lacks at most ``_lost`` pieces of the shorter, so of any one
+    more it holds one. A form asks by pieces of one, two or three letters,
+    whichever are rarest in sum. What meets is filtered by length and edit
+    distance, or by containment, before it is scored as text.
+    """
+    t = (max(HIGH, 100 * cut) - 0.5) / 100
     words = F.array_join(F.array_sort(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), " ")
-    forms = names.select("rank", F.explode(F.array_distinct(F.array("norm", F.lower("name"), words))).alias("form")).filter("form <> ''")
-    cut = "array_distinct(transform(sequence(1, length(form) - {0} + 1), i -> substring(form, i, {0})))"
-    pairs = forms.filter("length(form) >= 2").select(
-        "rank", "form", F.explode(F.expr(cut.format(2))).alias("piece"), F.when(F.length("form") > 2, F.floor(F.length("form") * 0.522)).otherwise(0).cast("int").alias("most"))
-    # never asked for unless the whole form is one letter
-    letters = forms.select("rank", "form", F.explode(F.expr(cut.format(1))).alias("piece"), F.when(F.length("form") == 1, 0).otherwise(-1).alias("most"))
-    return pairs.unionByName(letters)
+    forms = x.select("rank", F.explode(F.array(
+        F.struct(F.lit("norm").alias("kind"), F.col("norm").alias("form")), F.struct(F.lit("sorted").alias("kind"), words.alias("form")),
+        F.struct(F.lit("part").alias("kind"), F.lower("name").alias("form")))).alias("f")).select("rank", "f.*").filter("form <> ''").withColumn("n", F.length("form"))
+    held = settle(reduce(DataFrame.union, [forms.select("rank", "kind", "n", F.lit(q).alias("q"), F.explode(_grams(F.col("form"), q)).alias("piece")) for q in (1, 2, 3)]))
+    often = held.groupBy("kind", "q", "piece").agg(F.count(F.lit(1)).alias("often"))
+    lost = reduce(lambda c, kq: c.when((F.col("kind") == kq[0]) & (F.col("q") == kq[1]), _lost(*kq, t)), [(k, q) for k in ("norm", "sorted", "part") for q in (1, 2, 3)], F)
+    ranked = held.join(often, ["kind", "q", "piece"]).groupBy("rank", "kind", "n", "q").agg(F.array_sort(F.collect_list(F.struct("often", "piece"))).alias("pieces")).withColumn("ask", (lost + 1).cast("int"))
+    # letters always do: all of them are asked for if so many can be lost
+    ranked = ranked.filter((F.col("ask") <= F.size("pieces")) | (F.col("q") == 1)).withColumn("pieces", F.slice("pieces", 1, F.least("ask", F.size("pieces"))))
+    cost = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda s, p: s + p["often"])
+    best = ranked.groupBy("rank", "kind", "n").agg(F.min_by(F.struct("q", "pieces"), F.struct(cost, "q")).alias("b"))
+    asked = best.select(F.col("rank").alias("a"), "kind", F.col("n").alias("n_a"), F.col("b.q").alias("q"), F.explode("b.pieces.piece").alias("piece"))
+    spare = F.floor((F.col("n_a") + F.col("n_b")) * (1 - t) + 1e-9).cast("int")
+    met = asked.join(held.select(F.col("rank").alias("b"), "kind", F.col("n").alias("n_b"), "q", "piece"), ["kind", "q", "piece"]).filter(
+        (F.col("a") != F.col("b")) & (F.col("n_a") <= F.col("n_b")) & ((F.col("kind") == "part") | (F.col("n_b") - F.col("n_a") <= spare))).select("kind", "a", "b", "n_a", "n_b").distinct()
+    text = forms.select("kind", "rank", "form")
+    met = met.join(text.select("kind", F.col("rank").alias("a"), F.col("form").alias("form_a")), ["kind", "a"]).join(
+        text.select("kind", F.col("rank").alias("b"), F.col("form").alias("form_b")), ["kind", "b"])
+    # an edit distance is no more than the letters that two forms don't share
+    near = F.levenshtein("form_a", "form_b") <= spare
+    inside = F.col("form_b").contains(F.col("form_a")) | (F.floor(F.col("n_a") * (1 - t) + 1e-9) > 0)
+    return met.filter(F.when(F.col("kind") == "part", inside).otherwise(near)).select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b")).distinct()
+
+
+def matching_pairs(features: DataFrame, cut: float = 0.0, bare: bool = True, tile: int = TILE) -> DataFrame:
+    """``rank_a`` < ``rank_b`` of the pairs that can match with a confidence of ``cut``, at any threshold.
+
+    A match has one normal form; or a shared group of nicknames, or a sound of
+    the first token (below ``HIGH`` the ladder asks for it), beside a surname of
+    one form or sound or none; or a score of ``HIGH``. The first cases are
+    equi-joins, of crowded keys in tiles, the last a similarity join; so a
+    surname that a third of the names have pairs only those that may match.
+    ``bare=False``: names of one token match their normal form only.
+    """
+    x = settle(features.select("rank", "name", *_COMPARED))
+    full = x if bare else x.filter("last <> ''")
+    surnames = F.array(*[F.struct(F.concat(F.lit(f"{kind}|"), F.col(c)).alias("s"), F.lit(role).alias("role")) for kind, c, role in (("form", "last_norm", 0), ("sound", "last_p", 0), ("sound", "last_s", 1))])
+    keyed = x.filter("last <> ''").select("rank", F.explode(_firsts()).alias("first"), surnames.alias("surnames")).select("rank", "first", F.explode("surnames").alias("s"))
+    parts = [tiled_pairs(x.select("rank", F.col("norm").alias("k"), F.lit(0).alias("role")), tile),
+             tiled_pairs(keyed.select("rank", F.concat_ws("|", "first", "s.s").alias("k"), "s.role"), tile), _high_pairs(full, cut)]
+    if bare:
+        parts.append(_bare_pairs(x))
+    pairs = reduce(DataFrame.union, parts).distinct()
+    # of names with two different surnames only those that sound alike are compared
+    side = x.select("rank", "last", "last_norm", "last_p", "last_s", "norm")
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "ab")
+    alike = (F.col("last_p_a") == F.col("last_p_b")) | (F.col("last_p_a") == F.col("last_s_b")) | (F.col("last_s_a") == F.col("last_p_b"))
+    apart = (F.col("last_a") != "") & (F.col("last_b") != "") & (F.col("last_norm_a") != F.col("last_norm_b")) & ~alike
+    return pairs.join(a, "rank_a").join(b, "rank_b").filter(~apart | (F.col("norm_a") == F.col("norm_b"))).select("rank_a", "rank_b")
 
 
 def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,7 +269,7 @@ def resolve(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESH
     """
     names = settle(claims.filter(F.col("subject_name").isNotNull()).groupBy(F.col("subject_name").alias("name")).agg(F.min("id").alias("rank")))
     features = settle(name_features(names))
-    scored = score_pairs(candidate_pairs(features, "none" if require_surname else "close"), features, features, threshold).filter(F.col("confidence") >= cut)
+    scored = score_pairs(matching_pairs(features, cut, bare=not require_surname), features, features, threshold).filter((F.col("confidence") >= cut) & (F.col("confidence") > 0))
     clusters = star_clusters(names, scored.filter("rank_a <> rank_b"))
     return names.join(clusters, "rank").select("name", "rank", "seed")
 

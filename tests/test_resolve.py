@@ -182,3 +182,43 @@ def test_store_and_stream(spark, tmp_path):
     assert {r.url for r in store.read("documents").collect()} == {"u1", "u2"} and store.read("documents").count() == 2
     assert {r.table: r.removed for r in store.reset().collect()}["documents"] == 2 and store.read("documents").count() == 0
     assert typed_settings(default_settings(spark)).filter("as_integer = 365").count() == 1
+
+
+def _names_like(seed, n):
+    rnd = random.Random(seed)
+    base = ["Ann", "Anna", "Bill", "William", "Margaret", "Peggy", "Al", "X", "Christophersen", "Maria-Luise", "O'Brien", "Zoë", "Li", "J. R.", "Kathryn", "Catherine"]
+    last = ["Cole", "Cohl", "Smith", "Smyth", "Christopherson", "Lix", "", "Jr.", "Æ", "Montgomery"]
+    names = [f"{rnd.choice(base)} {rnd.choice([*base, '', ''])} {rnd.choice(last)}".strip() for _ in range(n)]
+    for k in range(0, len(names), 3):
+        i = rnd.randrange(len(names[k]))
+        names[k] = (names[k][:i] + rnd.choice("aeio ") + names[k][i:], names[k][:i] + names[k][i + 1:] + "s", names[k].upper(), names[k] + " Jr.")[k % 4]
+    return [n for n in dict.fromkeys(names) if n.strip()]
+
+
+@pytest.mark.parametrize("threshold, cut", [(0.85, 0.85), (0.6, 0.6), (0.7, 0.0), (0.97, 0.95), (0.3, 0.3)])
+def test_matching_pairs_lose_no_match_at_any_threshold(spark, threshold, cut):
+    names = _names_like(int(100 * threshold), 70)
+    frame = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, rank bigint")
+    f = C.name_features(frame).cache()
+    every = spark.createDataFrame(list(itertools.combinations(range(len(names)), 2)), "rank_a bigint, rank_b bigint")
+
+    def matches(pairs):
+        return {tuple(r) for r in C.score_pairs(pairs, f, f, threshold).filter(f"confidence > 0 and confidence >= {cut}").select("rank_a", "rank_b", "confidence").collect()}
+
+    want, made = matches(every), C.matching_pairs(f, cut, tile=7)
+    assert matches(made) == want and len(want) > 20
+    assert made.count() == made.distinct().count() < 0.5 * every.count()
+    bare = {n for n, name in enumerate(names) if len(name.split()) < 2}
+    close = {(r.rank_a, r.rank_b) for r in C.candidate_pairs(f, cut=cut).collect()}
+    assert {(a, b) for a, b, _ in want if a in bare or b in bare} <= close
+    norm = {r["rank"]: r.norm for r in f.collect()}
+    alone = {(a, b, c) for a, b, c in want if not (a in bare or b in bare) or norm[a] == norm[b]}
+    assert matches(C.matching_pairs(f, cut, bare=False)) == alone
+
+
+def test_tiles_make_each_pair_once(spark):
+    rows = [(i, "hot", int(i % 5 == 0)) for i in range(60)] + [(i, f"k{i % 7}", 0) for i in range(30)]
+    got = [tuple(r) for r in C.tiled_pairs(spark.createDataFrame(rows, "rank bigint, k string, role int"), tile=9).collect()]
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if a % 5 or b % 5}
+    few = {(a, b) for a, b in itertools.combinations(range(30), 2) if a % 7 == b % 7}
+    assert len(got) == len(want) + len(few) and set(got) == want | few
