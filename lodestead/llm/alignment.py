@@ -45,7 +45,9 @@ UNITS, UNIT_CHARS = 400_000, 16 << 20
 #: Characters of texts that are aligned at once.
 _POOL = 1 << 22
 _LOOSE = re.compile("[\\s᠎﻿]\x20|^\x20|\x20$")
-_BLANK_END = re.compile("[\\s᠎﻿]\\Z")
+#: New units that are encoded as one text.
+_BLOCK = 2048
+_BLANKS = frozenset(chr(c) for c in range(0x10000) if chr(c).isspace()) | set("᠎﻿")
 
 
 def cut_units(text: str) -> list[str]:
@@ -62,7 +64,7 @@ def cut_units(text: str) -> list[str]:
         return words
     out = [words[0]]
     for w in words[1:]:
-        if w and out[-1] and not _BLANK_END.search(out[-1]):
+        if w and out[-1] and out[-1][-1] not in _BLANKS:
             out.append(w)
         else:
             out[-1] = f"{out[-1]} {w}"
@@ -115,19 +117,35 @@ class Pair:
             self.forget()
         return self
 
-    def learn(self, units: list[str]) -> None:
-        """Encode and align different new units, all at once."""
+    def _encode(self, units: list[str], firm: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of both sides in a row, how many each unit has, and whether their bytes are the unit's (no tokens otherwise).
+
+        Units that are ``firm``, without a blank at their edges, are encoded as
+        one text, as both sides cut it between them. Where that text's bytes
+        don't come back, and for other units, each is encoded by itself.
+        """
         raw = [(" " + u).encode("utf-8", "replace") for u in units]
+        whole = b"".join(raw)
+        if firm:
+            text = " ".join(units)
+            flat = [np.array(x, dtype=np.int64) for x in (self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1))]
+            if all(b"".join([table[i] for i in x.tolist()]) == whole for table, x in zip((self.bytes_a, self.bytes_b), flat, strict=True)):
+                ends = np.cumsum([len(r) for r in raw])
+                n = [np.diff(np.searchsorted(np.cumsum(size[x]), ends, "right"), prepend=0) for size, x in zip((self.size_a, self.size_b), flat, strict=True)]
+                return flat[0], n[0], flat[1], n[1], np.ones(len(units), dtype=bool)
         a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a, b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
-        same = np.ones(len(units), dtype=bool)
-        whole = b"".join(raw)
-        if b"".join([self.bytes_a[i] for i in flat_a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in flat_b.tolist()]) != whole:
-            same[:] = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
-            flat_a, flat_b = flat_a[np.repeat(same, n_a)], flat_b[np.repeat(same, n_b)]
-            n_a, n_b = n_a * same, n_b * same
+        same = np.array([b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)], dtype=bool)
+        a, b = ([x if k else [] for x, k in zip(y, same.tolist(), strict=True)] for y in (a, b))
+        return (*(np.fromiter(f, np.int64) for f in (chain.from_iterable(a), map(len, a), chain.from_iterable(b), map(len, b))), same)
+
+    def learn(self, units: list[str]) -> None:
+        """Encode and align different new units, all at once."""
+        loose = [u for u in units if u[:1] == " " or u[-1] in _BLANKS]
+        parts = [(loose, False), (list(set(units) - set(loose)) if loose else units, True)]
+        units = parts[0][0] + parts[1][0]
+        blocks = [self._encode(part[i:i + _BLOCK], firm) for part, firm in parts for i in range(0, len(part), _BLOCK)]
+        flat_a, n_a, flat_b, n_b, same = (np.concatenate(x) for x in zip(*blocks, strict=True))
         # both sides have the same bytes, so their ends can be compared along all units at once
         end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         at_b = np.searchsorted(end_b, end_a)
