@@ -123,8 +123,9 @@ def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
 
     The longer form lacks at most ``_lost`` pieces of the shorter, so of any one
     more it holds one. A form asks by pieces of one, two or three letters,
-    whichever are rarest in sum. What meets is filtered by length and edit
-    distance, or by containment, before it is scored as text.
+    whichever are rarest in sum. What meets is filtered by all pieces that are
+    lacking, and by length and edit distance or containment, before it is scored
+    as text.
     """
     t = (max(HIGH, 100 * cut) - 0.5) / 100
     words = F.array_join(F.array_sort(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), " ")
@@ -143,13 +144,14 @@ def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
     spare = F.floor((F.col("n_a") + F.col("n_b")) * (1 - t) + 1e-9).cast("int")
     met = asked.join(held.select(F.col("rank").alias("b"), "kind", F.col("n").alias("n_b"), "q", "piece"), ["kind", "q", "piece"]).filter(
         (F.col("a") != F.col("b")) & (F.col("n_a") <= F.col("n_b")) & ((F.col("kind") == "part") | (F.col("n_b") - F.col("n_a") <= spare))).select("kind", "a", "b", "n_a", "n_b").distinct()
-    text = forms.select("kind", "rank", "form")
-    met = met.join(text.select("kind", F.col("rank").alias("a"), F.col("form").alias("form_a")), ["kind", "a"]).join(
-        text.select("kind", F.col("rank").alias("b"), F.col("form").alias("form_b")), ["kind", "b"])
-    # an edit distance is no more than the letters that two forms don't share
-    near = F.levenshtein("form_a", "form_b") <= spare
-    inside = F.col("form_b").contains(F.col("form_a")) | (F.floor(F.col("n_a") * (1 - t) + 1e-9) > 0)
-    return met.filter(F.when(F.col("kind") == "part", inside).otherwise(near)).select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b")).distinct()
+    text = forms.select("kind", "rank", "form", *[_grams(F.col("form"), q).alias(f"g{q}") for q in (2, 3)])
+    a, b = (text.select("kind", F.col("rank").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("form", "g2", "g3")]) for k in "ab")
+    met = met.withColumnsRenamed({"n_a": "n"}).join(a, ["kind", "a"]).join(b, ["kind", "b"])
+    # all the pieces that the longer one lacks, not only those asked for; an edit distance is no more than the letters that two forms don't share
+    few = reduce(lambda x, y: x & y, [F.size(F.array_except(f"g{q}_a", f"g{q}_b")) <= reduce(lambda c, k: c.when(F.col("kind") == k, _lost(k, q, t)), ("norm", "sorted", "part"), F) for q in (2, 3)])
+    near = F.levenshtein("form_a", "form_b") <= F.floor((F.col("n") + F.col("n_b")) * (1 - t) + 1e-9)
+    inside = F.col("form_b").contains(F.col("form_a")) | (F.floor(F.col("n") * (1 - t) + 1e-9) > 0)
+    return met.filter(few & F.when(F.col("kind") == "part", inside).otherwise(near)).select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b")).distinct()
 
 
 def matching_pairs(features: DataFrame, cut: float = 0.0, bare: bool = True, tile: int = TILE) -> DataFrame:
