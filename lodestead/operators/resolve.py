@@ -9,9 +9,10 @@ rounds (Blelloch, Fineman, Shun 2012); members then join their least seed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import settle
@@ -72,6 +73,14 @@ def _met(left: DataFrame, right: DataFrame, key_a: str, key_b: str) -> DataFrame
     return a.join(b, "k").filter("a <> b").select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b"))
 
 
+def _new_pairs(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """As ``tiled_pairs``, but only pairs with a row of ``fresh`` (``rank``); that side is the small one of each key."""
+    rows = rows.distinct()
+    a = rows.join(fresh, "rank", "left_semi").select("k", F.col("rank").alias("a"), F.col("role").alias("role_a"))
+    b = rows.select("k", F.col("rank").alias("b"), F.col("role").alias("role_b"))
+    return a.join(b, "k").filter("a <> b and role_a + role_b < 2").select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b"))
+
+
 def tiled_pairs(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """``rank_a`` < ``rank_b`` of rows (``rank``, ``k``, ``role``) of one key that aren't both of role 1.
 
@@ -118,7 +127,7 @@ def _lost(kind: str, q: int, t: float) -> Column:
     return F.expr(f"array_max(transform(sequence(0, cast(ceil(n * {2 * (1 - t) / t}) as int)), d -> if(d <= {spare}, {2 * q - 1} * ((({spare}) - d) div 2) + {q - 1} * d, 0)))")
 
 
-def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
+def _high_pairs(x: DataFrame, cut: float = 0.0, fresh: DataFrame | None = None) -> DataFrame:
     """Pairs whose score can be ``HIGH`` (or 100 ``cut``, if more): a similarity join on each of the three forms that are scored.
 
     The longer form lacks at most ``_lost`` pieces of the shorter, so of any one
@@ -142,7 +151,15 @@ def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
     best = ranked.groupBy("rank", "kind", "n").agg(F.min_by(F.struct("q", "pieces"), F.struct(cost, "q")).alias("b"))
     asked = best.select(F.col("rank").alias("a"), "kind", F.col("n").alias("n_a"), F.col("b.q").alias("q"), F.explode("b.pieces.piece").alias("piece"))
     spare = F.floor((F.col("n_a") + F.col("n_b")) * (1 - t) + 1e-9).cast("int")
-    met = asked.join(held.select(F.col("rank").alias("b"), "kind", F.col("n").alias("n_b"), "q", "piece"), ["kind", "q", "piece"]).filter(
+    holding = held.select(F.col("rank").alias("b"), "kind", F.col("n").alias("n_b"), "q", "piece")
+    key = ["kind", "q", "piece"]
+    if fresh is None:
+        met = asked.join(holding, key)
+    else:
+        ask, hold = fresh.withColumnRenamed("rank", "a"), fresh.withColumnRenamed("rank", "b")
+        met = asked.join(ask, "a", "left_semi").join(holding, key).select("kind", "a", "b", "n_a", "n_b").union(
+            asked.join(holding.join(hold, "b", "left_semi"), key).select("kind", "a", "b", "n_a", "n_b"))
+    met = met.filter(
         (F.col("a") != F.col("b")) & (F.col("n_a") <= F.col("n_b")) & ((F.col("kind") == "part") | (F.col("n_b") - F.col("n_a") <= spare))).select("kind", "a", "b", "n_a", "n_b").distinct()
     text = forms.select("kind", "rank", "form", *[_grams(F.col("form"), q).alias(f"g{q}") for q in (2, 3)])
     a, b = (text.select("kind", F.col("rank").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("form", "g2", "g3")]) for k in "ab")
@@ -154,7 +171,7 @@ def _high_pairs(x: DataFrame, cut: float = 0.0) -> DataFrame:
     return met.filter(few & F.when(F.col("kind") == "part", inside).otherwise(near)).select(F.least("a", "b").alias("rank_a"), F.greatest("a", "b").alias("rank_b")).distinct()
 
 
-def matching_pairs(features: DataFrame, cut: float = 0.0, bare: bool = True, tile: int = TILE) -> DataFrame:
+def matching_pairs(features: DataFrame, cut: float = 0.0, bare: bool = True, tile: int = TILE, fresh: DataFrame | None = None) -> DataFrame:
     """``rank_a`` < ``rank_b`` of the pairs that can match with a confidence of ``cut``, at any threshold.
 
     A match has one normal form; or a shared group of nicknames, or a sound of
@@ -162,16 +179,20 @@ def matching_pairs(features: DataFrame, cut: float = 0.0, bare: bool = True, til
     one form or sound or none; or a score of ``HIGH``. The first cases are
     equi-joins, of crowded keys in tiles, the last a similarity join; so a
     surname that a third of the names have pairs only those that may match.
-    ``bare=False``: names of one token match their normal form only.
+    ``bare=False``: names of one token match their normal form only. ``fresh``
+    (``rank``): only pairs with one of these.
     """
+    fresh = None if fresh is None else settle(fresh.select("rank").distinct())
     x = settle(features.select("rank", "name", *_COMPARED))
     full = x if bare else x.filter("last <> ''")
     surnames = F.array(*[F.struct(F.concat(F.lit(f"{kind}|"), F.col(c)).alias("s"), F.lit(role).alias("role")) for kind, c, role in (("form", "last_norm", 0), ("sound", "last_p", 0), ("sound", "last_s", 1))])
     keyed = x.filter("last <> ''").select("rank", F.explode(_firsts()).alias("first"), surnames.alias("surnames")).select("rank", "first", F.explode("surnames").alias("s"))
-    parts = [tiled_pairs(x.select("rank", F.col("norm").alias("k"), F.lit(0).alias("role")), tile),
-             tiled_pairs(keyed.select("rank", F.concat_ws("|", "first", "s.s").alias("k"), "s.role"), tile), _high_pairs(full, cut)]
+    rows = [x.select("rank", F.col("norm").alias("k"), F.lit(0).alias("role")), keyed.select("rank", F.concat_ws("|", "first", "s.s").alias("k"), "s.role")]
+    parts = [tiled_pairs(r, tile) if fresh is None else _new_pairs(r, fresh) for r in rows] + [_high_pairs(full, cut, fresh)]
     if bare:
         parts.append(_bare_pairs(x))
+        if fresh is not None:
+            parts[-1:] = [parts[-1].join(fresh.withColumnRenamed("rank", side), side, "left_semi").select("rank_a", "rank_b") for side in ("rank_a", "rank_b")]
     pairs = reduce(DataFrame.union, parts).distinct()
     # of names with two different surnames only those that sound alike are compared
     side = x.select("rank", "last", "last_norm", "last_p", "last_s", "norm")
@@ -276,6 +297,82 @@ def resolve(claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESH
     return names.join(clusters, "rank").select("name", "rank", "seed")
 
 
+@dataclass
+class Resolution:
+    """``names`` (``name``, ``rank``, ``seed``: the seed's name) and the matches between them, ``edges`` (``name_a``, ``name_b``)."""
+
+    names: DataFrame
+    edges: DataFrame
+
+
+def _no_resolution(spark: SparkSession) -> Resolution:
+    return Resolution(spark.createDataFrame([], "name string, rank bigint, seed string"), spark.createDataFrame([], "name_a string, name_b string"))
+
+
+def repair_seeds(names: DataFrame, edges: DataFrame, dirty: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``name``, ``rank``, ``is_seed`` of all names, from what held before a change and the names that it touches.
+
+    ``names``: ``name``, ``rank``, ``was_seed`` (null for new ones); ``edges``:
+    ``name_a``, ``name_b``; ``dirty``: names that are new, or whose neighbours or
+    order changed. Whether a name is a seed depends on its neighbours of lower
+    rank only. So the dirty ones are decided beside all others as they were;
+    those above a name that came out otherwise are decided next, until none does.
+    """
+    rank = names.select("name", "rank")
+    both = edges.union(edges.select("name_b", "name_a")).toDF("a", "b").distinct()
+    below = settle(both.join(rank.toDF("a", "rank_a"), "a").join(rank.toDF("b", "rank_b"), "b").filter("rank_a < rank_b").select(F.col("a").alias("low"), F.col("b").alias("high")))
+    state, dirty = settle(names.select("name", F.col("was_seed").alias("seed"))), settle(dirty.select("name").distinct())
+    for _ in range(max_rounds):
+        if dirty.isEmpty():
+            return names.select("name", "rank").join(state.select("name", F.col("seed").alias("is_seed")), "name")
+        others = state.join(dirty, "name", "left_anti")
+        seeds, left = others.filter("seed").select("name"), dirty
+        chosen = dirty.limit(0)
+        for _ in range(max_rounds):
+            covered = below.join(seeds.withColumnRenamed("name", "low"), "low", "left_semi").select(F.col("high").alias("name")).distinct()
+            left = settle(left.join(covered, "name", "left_anti"))
+            if left.isEmpty():
+                break
+            waiting = below.join(left.withColumnRenamed("name", "low"), "low", "left_semi").select(F.col("high").alias("name")).distinct()
+            seeds = settle(left.join(waiting, "name", "left_anti"))
+            chosen = settle(chosen.union(seeds))
+            left = left.join(seeds, "name", "left_anti")
+        else:
+            raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
+        decided = dirty.join(chosen.withColumn("seed", F.lit(True)), "name", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+        before = state.select("name", F.coalesce("seed", F.lit(False)).alias("was"))
+        otherwise = decided.join(before, "name").filter("seed <> was").select(F.col("name").alias("low"))
+        state = settle(others.unionByName(decided))
+        dirty = settle(below.join(otherwise, "low", "left_semi").select(F.col("high").alias("name")).distinct().join(dirty, "name", "left_anti"))
+    raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
+
+
+def resolve_more(before: Resolution | None, claims: DataFrame, threshold: float = THRESHOLD, cut: float = THRESHOLD, require_surname: bool = False) -> Resolution:
+    """What ``resolve`` would say of all claims so far, from what it said before and the new ones (``id``, ``subject_name``).
+
+    Only pairs with a new name are made and scored. Names are new, or move if a
+    new claim of theirs has a lower id; clusters are repaired from these. Claims
+    may come in any order and more than once.
+    """
+    before = before or _no_resolution(claims.sparkSession)
+    told = claims.filter(F.col("subject_name").isNotNull()).groupBy(F.col("subject_name").alias("name")).agg(F.min("id").alias("new_rank"))
+    old = before.names.select("name", F.col("rank").alias("old_rank"), (F.col("seed") == F.col("name")).alias("was_seed"))
+    names = settle(old.join(told, "name", "full").select("name", F.least("old_rank", "new_rank").alias("rank"), "old_rank", "was_seed"))
+    fresh, moved = names.filter("old_rank is null"), names.filter("old_rank is not null and rank < old_rank").select("name")
+    # ids of names for this run only; ranks move
+    numbered = settle(numbered_by(names.select("name"), [F.col("name")]).withColumnRenamed("id", "rank"))
+    features = settle(name_features(numbered))
+    made = matching_pairs(features, cut, bare=not require_surname, fresh=numbered.join(fresh.select("name"), "name", "left_semi"))
+    scored = score_pairs(made, features, features, threshold).filter((F.col("confidence") >= cut) & (F.col("confidence") > 0) & (F.col("rank_a") != F.col("rank_b")))
+    edges = settle(before.edges.union(scored.select("name_a", "name_b")))
+    near = edges.union(edges.select("name_b", "name_a")).toDF("name", "by").join(moved.withColumnRenamed("name", "by"), "by", "left_semi").select("name")
+    seeds = settle(repair_seeds(names, edges, fresh.select("name").union(moved).union(near)))
+    both = edges.union(edges.select("name_b", "name_a")).toDF("name", "by")
+    joined = both.join(seeds.filter("is_seed").select(F.col("name").alias("by"), F.col("rank").alias("by_rank")), "by").groupBy("name").agg(F.min_by("by", "by_rank").alias("by"))
+    out = seeds.join(joined, "name", "left").select("name", "rank", F.when(F.col("is_seed"), F.col("name")).otherwise(F.col("by")).alias("seed"))
+    return Resolution(settle(out), edges)
+
+
 def numbered_by(rows: DataFrame, order: list[Column], after: int = 0) -> DataFrame:
     """``rows`` with ``id``, their place in a total ``order`` counted on from ``after``: sorted in ranges, each numbered after the rows of those before it."""
     rows = settle(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))

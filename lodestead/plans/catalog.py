@@ -728,6 +728,9 @@ def extracted_mentions(spark, d):
     return L.read_notation(docs)
 
 
+from . import catalog_sources  # noqa: E402,F401  registers its queries with the decorator above
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

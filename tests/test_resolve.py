@@ -222,3 +222,47 @@ def test_tiles_make_each_pair_once(spark):
     want = {(a, b) for a, b in itertools.combinations(range(60), 2) if a % 5 or b % 5}
     few = {(a, b) for a, b in itertools.combinations(range(30), 2) if a % 7 == b % 7}
     assert len(got) == len(want) + len(few) and set(got) == want | few
+
+
+def _seed_flags(order, edges):
+    """Greedy, one name after the other in order of rank."""
+    near = {frozenset(e) for e in edges}
+    seeds = []
+    for n in sorted(order, key=order.get):
+        if not any(frozenset((n, s)) in near for s in seeds):
+            seeds.append(n)
+    return set(seeds)
+
+
+def test_repair_equals_a_full_run(spark):
+    rnd = random.Random(17)
+    order, edges, flags = {}, set(), {}
+    for batch in range(12):
+        old = dict(order)
+        for _ in range(rnd.randint(1, 6)):
+            n = f"n{len(order)}" if rnd.random() < 0.7 or not order else rnd.choice(list(order))
+            order[n] = min(order.get(n, 10**9), rnd.randrange(10**6))
+        fresh, moved = order.keys() - old.keys(), {n for n in old if order[n] < old[n]}
+        edges |= {(a, b) for a in fresh for b in order if a != b and (a < b or b not in fresh) and rnd.random() < 0.25}
+        dirty = fresh | moved | {b for e in edges for a, b in (e, e[::-1]) if a in moved}
+        names = spark.createDataFrame([(n, r, flags.get(n)) for n, r in order.items()], "name string, rank bigint, was_seed boolean")
+        frame = spark.createDataFrame(sorted(edges), "name_a string, name_b string")
+        got = {r.name: r.is_seed for r in C.repair_seeds(names, frame, spark.createDataFrame([(n,) for n in dirty], "name string")).collect()}
+        assert {n for n, s in got.items() if s} == _seed_flags(order, edges) and got.keys() == order.keys(), batch
+        flags = got
+
+
+def test_more_claims_equal_all_claims(spark):
+    rnd = random.Random(23)
+    names = _names_like(5, 40)
+    claims = [(i, rnd.choice(names)) for i in rnd.sample(range(1000), 90)] + [(5000, None)]
+    rnd.shuffle(claims)
+    state, so_far = None, []
+    for k in range(0, len(claims), 31):
+        batch = claims[k:k + 31]
+        so_far += batch
+        state = C.resolve_more(state, spark.createDataFrame(batch, "id bigint, subject_name string"))
+    want = {r.name: (r["rank"], r.seed) for r in C.resolve(spark.createDataFrame(so_far, "id bigint, subject_name string")).collect()}
+    got = state.names.collect()
+    rank = {r.name: r["rank"] for r in got}
+    assert {r.name: (r["rank"], rank[r.seed]) for r in got} == want and any(r.seed != r.name for r in got)
