@@ -695,7 +695,7 @@ def stored_generate(spark, d):
     return store.read("claims").join(names, "entity_id", "left").select("document_id", "fact_type", "subject_name", "entity_id", "canonical_name", "resolution_status")
 
 
-_ANSWERS = f"""{_NOTICES}, t AS (SELECT DISTINCT name, died, age, years, name || ' died on ' || died || ' at the age of ' || age || '. The two were married for ' || years || ' years.' AS text FROM notices),
+_ANSWERS = rf"""{_NOTICES}, t AS (SELECT DISTINCT name, died, age, years, name || ' died on ' || died || ' at the age of ' || age || '. The two were married for ' || years || ' years.' AS text FROM notices),
   asked AS (SELECT 'List the people that this text names, as JSON objects with full_name and role.' || chr(10) || chr(10) || text AS prompt,
       '[{{"full_name":"' || name || '","role":"deceased_primary"}}]' AS answer FROM t
     UNION ALL SELECT 'State what this text claims of these people, as JSON objects.' || chr(10) || chr(10) || '- ' || name || ' (deceased_primary)' || chr(10) || chr(10) || text,

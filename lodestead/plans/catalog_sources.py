@@ -130,7 +130,7 @@ def nickname_tests(spark, d):
 
 
 @query(f"""WITH {_GIVEN}, t AS (SELECT formal AS g, formal AS name FROM n UNION SELECT formal, alias FROM n),
-  nick AS (SELECT DISTINCT x.name AS a, y.name AS b FROM t x JOIN t y ON x.g = y.g AND x.name <> y.name),
+  nick AS (SELECT DISTINCT x.name AS a, y.name AS b FROM t x JOIN t y ON x.g = y.g),
   full_names AS (SELECT name || ' ' || surname AS name, name AS given, surname FROM who)
   SELECT least(x.name, y.name) AS name_a, greatest(x.name, y.name) AS name_b, CAST(95 AS INTEGER) AS score, 'known_nickname' AS method, 0.95::DOUBLE AS confidence
   FROM full_names x JOIN full_names y ON x.surname = y.surname AND x.name < y.name JOIN nick ON a = x.given AND b = y.given
