@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,24 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 LOOKALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝⅼ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυ" "․‐‑‒–−＿",
     "ABESIJKMHOPCTYXaesijopcyxhdqwl" "ABEZHIKMNOPTYXaiknopu" ".-----_", strict=True))
-CUES = ("mail", "contact", "write to", "address", "reach", "send", "schreib", "kontakt", "correo", "courriel", "contacto", "écri")
+CUES = ("e-mail", "email", "mail", "contact", "contacts", "write", "address", "reach", "send", "schreib", "schreibe", "schreiben", "kontakt", "correo", "courriel", "contacto", "contacter", "écrire", "écrivez", "escribe", "escriba")
+#: Between such a word and the address.
+CONNECTORS = ("me", "us", "him", "her", "them", "it", "this", "all", "is", "are", "to", "at", "via", "under", "on", "my", "our", "your", "their", "address", "e-mail", "email", "mail", "id",
+              "an", "unter", "ist", "mir", "uns", "mich", "es", "à", "a", "al", "est", "moi", "nous", "sur", "directly", "please", "now")
+#: Words before "at" in prose that aren't taken for the local part of an address; of verbs the regular forms are made.
+_VERBS = """look work live stay arrive order book shop read start end stop point aim laugh smile stare shout publish list post visit join call happen stand play
+    learn wait click gather register appear park walk talk listen""".split()
+PROSE = frozenset("""
+    i you he she it we they me us him her them this that these those who which what one ones others someone somebody anyone anybody everyone everybody
+    nobody nothing something anything everything people folks friends customers users clients visitors readers students
+    am is are was were be been being have has had do does did done not only even just still now then here there today tomorrow yesterday later soon again
+    once twice often noon midnight dawn dusk night morning evening lunch dinner home school all least last first best and or but as
+    met meeting meet find found see saw seen buy bought sell sold began held sat slept ate run ran made taught
+    available online free sale good angry right left based signed up down out off over in on for with page site website blog story article file version code docs
+    news product products prices jobs office hotel room tickets download""".split()) | frozenset(
+    form for v in _VERBS for form in (v, v + "s", v.removesuffix("e") + "ed", v.removesuffix("e") + "ing"))
+#: Last parts of file names.
+FILE_ENDS = frozenset("txt md pdf exe js py zip gz tar html htm json csv xml doc docx xls xlsx ppt png jpg jpeg gif svg mp3 mp4 java cpp yml yaml sh iso dll jar css".split())
 LAST_LABELS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv us uk de fr es it nl eu ca au in br jp ru pl se ch at be".split())
 DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 # End of fixed values.
@@ -48,6 +66,7 @@ _HINTS = ("dot", "@", " at ", "at)", "at]", "at}", "at>", "_at_", "-at-", "(a)",
 _MARKED = re.compile(r"&#(?:64|46|x40|x2e);|&commat;|&period;|[(\[{<]\s*(?:at|dot|a|d|@|\.)\s*[)\]}>]|[_-](?:at|dot)[_-]|\bat\b(?=\s+[A-Za-z0-9-]+(?:\.|\s+dot\b))|\bdot\b|\s@\s?\w|\w@\s", re.I)
 _MIXED = re.compile(r"[0-9][OolI](?=[0-9])")
 _AT = re.compile(r"&#(?:64|x40);|&commat;|\s*[(\[{<]\s*(?:at|a|@)\s*[)\]}>]\s*|[_-]at[_-]|\s+at\s+|\s*@\s*", re.I)
+_LATER_AT = re.compile(_AT.pattern.replace(r"\s+at\s+", r"\s+at\s+(?!\S+\s+at\s+[A-Za-z0-9-]+\.[A-Za-z0-9])"), re.I)
 _DOT = re.compile(r"&#(?:46|x2e);|&period;|\s+\.\s+|\s*[(\[{<]\s*(?:dot|d|\.)\s*[)\]}>]\s*|[_-]dot[_-]|\s+(?:dot|point)\s+", re.I)
 _DIGITS = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", re.I)
 _PLUS = re.compile(r"\bplus\s+(?=\d)", re.I)
@@ -109,11 +128,13 @@ def _latin(c: str) -> str:
 class _Tape:
     """Text with the source start and end of each of its characters."""
 
-    def __init__(self, text: str, start: list[int], end: list[int]):
+    def __init__(self, text: str, start: array, end: array):
         self.text, self.start, self.end = text, start, end
 
     def letters(self) -> _Tape:
-        text, start, end = [], [], []
+        if self.text.isascii():
+            return self
+        text, start, end = [], array("q"), array("q")
         for i, c in enumerate(self.text):
             for x in _latin(c):
                 text.append(x)
@@ -123,7 +144,7 @@ class _Tape:
 
     def rewrite(self, rule: re.Pattern, to) -> _Tape:
         """Each match of ``rule`` becomes ``to(match)`` (None: stays), which stands for the whole of it."""
-        text, start, end, at = [], [], [], 0
+        text, start, end, at = [], array("q"), array("q"), 0
         for m in rule.finditer(self.text):
             new = to(m)
             if new is None:
@@ -133,8 +154,8 @@ class _Tape:
             end += self.end[at:m.start()]
             text.append(new)
             if new:
-                start += [self.start[m.start()]] * len(new)
-                end += [self.end[m.end() - 1]] * len(new)
+                start += array("q", [self.start[m.start()]]) * len(new)
+                end += array("q", [self.end[m.end() - 1]]) * len(new)
             at = m.end()
         text.append(self.text[at:])
         return _Tape("".join(text), start + self.start[at:], end + self.end[at:])
@@ -146,7 +167,7 @@ _ADDRESS = re.compile(r"([A-Za-z0-9._%+-]+)(@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+
 
 def _normalised(text: str, at: int) -> Iterator[_Tape]:
     """What the transducers write for a stretch of source text that begins at ``at``."""
-    plain = _Tape(text, list(range(at, at + len(text))), list(range(at + 1, at + len(text) + 1))).letters()
+    plain = _Tape(text, array("q", range(at, at + len(text))), array("q", range(at + 1, at + len(text) + 1))).letters()
     yield plain
     if _MIXED.search(plain.text):
         yield plain.rewrite(re.compile(r"(?<=[0-9])[OolI](?=[0-9])"), lambda m: "0" if m.group() in "Oo" else "1")
@@ -158,6 +179,9 @@ def _normalised(text: str, at: int) -> Iterator[_Tape]:
     marked = dots.rewrite(_AT, lambda _: "@")
     if marked.text != plain.text:
         yield marked
+        later = dots.rewrite(_LATER_AT, lambda _: "@")  # of "reach me at ann.lee at mail.example", the second
+        if later.text != marked.text:
+            yield later
 
 
 def find_disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -225,32 +249,54 @@ def _found_in(text: str, a: int, z: int) -> set[tuple[int, int, int]]:
             written = tape.text[s:e]
             if text[start:end] == written:
                 continue
-            if kind == 0 and any(c.isspace() for c in text[start:end]) and not _address_like(text, start, end, written):
+            if kind == 0 and _spread(text[start:end]) and not _address_like(text, start, end, written):
                 continue
             found.add((start, end, kind))
     return found
 
 
+def _spread(source: str) -> bool:
+    return any(c.isspace() for c in source) or bool(_DASHED.search(source))
+
+
 _BRACKETED = re.compile(r"[(\[{<]\s*(?:at|a|@)\s*[)\]}>]", re.I)
+_DASHED = re.compile(r"[_-]at[_-]", re.I)
+_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)})(?:[\s:,;>-]+(?:{'|'.join(CONNECTORS)}))*[\s:,;>(\"'-]+$", re.I)
+_JOINED_NAMES = re.compile(r"[A-Za-z][A-Za-z0-9]*[._+%](?:[A-Za-z0-9]+[._+%])*[A-Za-z0-9]+")
+#: A cue and what connects it to an address are looked for in so many characters before it.
+_CUE_WITHIN = 60
 
 
 def _address_like(text: str, start: int, end: int, written: str) -> bool:
-    """Whether a spaced-out address is believed.
-
-    A bracketed "at" is enough. Otherwise the last label must be a usual one,
-    and a bare "at" also needs a second sign: a spelled or spaced dot, a mark or
-    digit in the local part, or a word that announces an address shortly before.
-    Prose ("he looked at example.org") has none of them.
+    """Whether an address with a spelled "at" or blanks in it is believed.
+
+    A bracketed "at" is enough. Otherwise the last label must be a usual one.
+    An "@" between blanks is then enough too. A bare "at" needs a local part
+    that isn't a word of prose before "at", and a second sign: a spelled or
+    spaced dot, names joined by a mark in the local part, or a word that
+    announces an address directly before, with none but connecting words
+    between. Prose ("we mail it at example.org", "version2 at example.org", "at
+    10 at example.org") has none of them.
     """
     source = text[start:end]
     if _BRACKETED.search(source):
         return True
-    if written.rpartition(".")[2].lower() not in LAST_LABELS:
+    local, _, domain = written.partition("@")
+    if domain.rpartition(".")[2].lower() not in LAST_LABELS:
+        return False
+    if "@" in source:
+        return True
+    name = local.lower().strip("-_%+")
+    if name in PROSE or local.endswith("."):
         return False
-    if "@" in source or _DOT.search(source):
+    if _DASHED.search(source):
+        return not name.startswith("www.") and text[max(0, start - 1):start] != "/"
+    if _DOT.search(source):
+        return True
+    if _JOINED_NAMES.fullmatch(local) and name.rpartition(".")[2] not in FILE_ENDS:
         return True
-    before = text[max(0, start - 40):start].lower()
-    return bool(re.search(r"[0-9._%+-]", written.partition("@")[0])) or any(c in before for c in CUES)
+    long_enough = not name.isdigit() or len(name) > 4
+    return long_enough and bool(_CUED.search(text[max(0, start - _CUE_WITHIN):start]))
 
 
 def find_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -272,6 +318,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The numbers and ``spans`` are of all spans, plain and disguised; the digest
     is of the plain ones, which all stay. A disguised span is added beside them
     unless a plain one of its kind covers it.
+    A text is read in stretches around the signs of a disguise, up to blanks on
+    both sides; of a text without blanks the whole is one stretch, for which a
+    task holds some 16 bytes a character in each of up to six tapes.
     Null and empty texts have none; null ids stay null; repeated rows are
     returned each; an empty table gives no rows.
     """
@@ -313,7 +362,10 @@ def redact_text(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) with personal data replaced in the text; ``n_chars``, where there is one, follows."""
+    """``docs`` (all columns) with personal data replaced in the text; ``n_chars``, where there is one, follows.
+
+    Null and empty texts stay; repeated rows stay repeated; memory is as for ``find_pii``.
+    """
     names = docs.columns
     where = names.index(text_col)
 
