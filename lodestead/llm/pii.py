@@ -40,11 +40,16 @@ CUES = ("e-mail", "email", "mail", "contact", "contacts", "write", "address", "r
 #: Between such a word and the address.
 CONNECTORS = ("me", "us", "him", "her", "them", "it", "this", "all", "is", "are", "to", "at", "via", "under", "on", "my", "our", "your", "their", "address", "e-mail", "email", "mail", "id",
               "an", "unter", "ist", "mir", "uns", "mich", "es", "à", "a", "al", "est", "moi", "nous", "sur", "directly", "please", "now")
+#: The last of these words, directly before the address.
+LEADING = ("at", "to", "is", "are", "via", "under", "an", "unter", "ist", "est", "es", "à", "a", "al", "sur", "address", "e-mail", "email", "id")
+#: Such words that an address may follow without a connecting word, and words before them that make them nouns ("her mail server").
+ASKING = ("e-mail", "email", "mail", "contact")
+OWNERS = ("the", "a", "an", "this", "that", "my", "our", "your", "his", "her", "their", "its", "no", "any", "some", "first", "new")
 #: Words before "at" in prose that aren't taken for the local part of an address; of verbs the regular forms are made.
 _VERBS = """look work live stay arrive order book shop read start end stop point aim laugh smile stare shout publish list post visit join call happen stand play
     learn wait click gather register appear park walk talk listen""".split()
 PROSE = frozenset("""
-    i you he she it we they me us him her them this that these those who which what one ones others someone somebody anyone anybody everyone everybody
+    i you he she it we they me us him her them this that these those who which what one ones others address addresses server person someone somebody anyone anybody everyone everybody
     nobody nothing something anything everything people folks friends customers users clients visitors readers students
     am is are was were be been being have has had do does did done not only even just still now then here there today tomorrow yesterday later soon again
     once twice often noon midnight dawn dusk night morning evening lunch dinner home school all least last first best and or but as
@@ -261,7 +266,8 @@ def _spread(source: str) -> bool:
 
 _BRACKETED = re.compile(r"[(\[{<]\s*(?:at|a|@)\s*[)\]}>]", re.I)
 _DASHED = re.compile(r"[_-]at[_-]", re.I)
-_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)})(?:[\s:,;>-]+(?:{'|'.join(CONNECTORS)}))*[\s:,;>(\"'-]+$", re.I)
+_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)})(?:[\s,;-]+(?:{'|'.join(CONNECTORS)}))*(?:\s*[:>(]|[\s,;-]+(?:{'|'.join(LEADING)})[\s:])[\s\"'(]*$", re.I)
+_ASKED = re.compile(rf"(?:(?<!\w)(?:{'|'.join(OWNERS)})\s+)?(?<!\w)(?:{'|'.join(ASKING)})\s+$", re.I)
 _JOINED_NAMES = re.compile(r"[A-Za-z][A-Za-z0-9]*[._+%](?:[A-Za-z0-9]+[._+%])*[A-Za-z0-9]+")
 #: A cue and what connects it to an address are looked for in so many characters before it.
 _CUE_WITHIN = 60
@@ -274,8 +280,8 @@ def _address_like(text: str, start: int, end: int, written: str) -> bool:
     An "@" between blanks is then enough too. A bare "at" needs a local part
     that isn't a word of prose before "at", and a second sign: a spelled or
     spaced dot, names joined by a mark in the local part, or a word that
-    announces an address directly before, with none but connecting words
-    between. Prose ("we mail it at example.org", "version2 at example.org", "at
+    announces an address before, with connecting words between ("write to", "my
+    address is"); "mail" and "contact" need none, unless they are nouns. Prose ("we mail it at example.org", "version2 at example.org", "at
     10 at example.org") has none of them.
     """
     source = text[start:end]
@@ -296,7 +302,9 @@ def _address_like(text: str, start: int, end: int, written: str) -> bool:
     if _JOINED_NAMES.fullmatch(local) and name.rpartition(".")[2] not in FILE_ENDS:
         return True
     long_enough = not name.isdigit() or len(name) > 4
-    return long_enough and bool(_CUED.search(text[max(0, start - _CUE_WITHIN):start]))
+    before = text[max(0, start - _CUE_WITHIN):start]
+    asked = _ASKED.search(before)
+    return long_enough and (bool(_CUED.search(before)) or bool(asked) and asked.group().lower().split()[0] in ASKING)
 
 
 def find_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
