@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import empty
+from ..sources import delivery
 from ..sources.store import Change, Store
 from . import cite, resolve
 from .analyze import generate_summary
@@ -130,3 +131,22 @@ def process_documents(store: Store, people: Reader = read_people, facts: Reader
 
     n = store.retrying(publish)
     return Run(asked, failed, n, store.manifest()["version"])
+
+
+def deliver_outbox(store: Store, folder: str, sources: DataFrame | None = None) -> dict[str, int]:
+    """Send the stored outbox to ``folder`` and note the handles of citations made, in one version; returns how many writes of each kind are delivered.
+
+    A run that breaks is simply run again: what was sent isn't sent again, and
+    the handles are noted then.
+    """
+    sent = delivery.deliver(store.read("outbox"), folder, sources)
+    handles = sent.filter("kind = 'citation'").select("registry_person_id", "document_id", F.col("handle").alias("_handle"))
+
+    def work(c: Change) -> None:
+        citations = c.read("citations")
+        key = ["registry_person_id", "document_id"]
+        if not citations.filter("registry_citation_id IS NULL").join(handles, key, "left_semi").isEmpty():
+            c.write("citations", citations.join(handles, key, "left").withColumn("registry_citation_id", F.coalesce("registry_citation_id", "_handle")).drop("_handle"))
+
+    store.retrying(work)
+    return {r["kind"]: r["count"] for r in sent.groupBy("kind").count().collect()}

@@ -355,11 +355,16 @@ def _wanted(spark, d):
         pairs("events", "event_type = 'purchase'", "user_id", F.col("event_id") * 7)).distinct()
 
 
+def _registry_sources(spark, d):
+    """Every other page is a source of the registry."""
+    page = F.col("page_id").cast("string")
+    return T.table(spark, d, "pages").filter("page_id % 2 = 0").select(
+        F.concat(F.lit("S"), page).alias("registry_id"), page.alias("handle"), F.array(F.struct(F.lit("URL").alias("type"), F.col("url").alias("value"))).alias("attributes"))
+
+
 def _planned(spark, d):
     urls = T.table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
-    sources = urls.filter("id % 2 = 0").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("registry_id"), F.col("id").cast("string").alias("handle"),
-                                               F.array(F.struct(F.lit("URL").alias("type"), F.col("url").alias("value"))).alias("attributes"))
-    return K.plan_citations(_wanted(spark, d), T.citations(spark, d), T.mentions(spark, d), urls, sources)
+    return K.plan_citations(_wanted(spark, d), T.citations(spark, d), T.mentions(spark, d), urls, _registry_sources(spark, d))
 
 
 @query(f"""WITH {_WANTED}, {ME}, n AS (SELECT document_id, arg_min(fact_value, id) AS name FROM mentions WHERE fact_type = 'person_name' AND subject_role = 'deceased_primary' GROUP BY 1)

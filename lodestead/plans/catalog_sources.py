@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from ..checkpoints import ensure_checkpoint_dir
 from ..functions import names as N
 from ..operators import analyze as A
+from ..operators import cite as K
 from ..operators import extract as L
 from ..operators import link as R
 from ..operators import resolve as C
 from ..sources import adapters as T
+from ..sources import delivery as Y
 from ..sources import registry as J
 from ..sources import store as S
-from .catalog import CI, CL, DO, ME, _FEATURES, _LADDER, _PEOPLE, _nickname_values, _own_entities, _store, query
+from .catalog import CI, CL, DO, ME, _FEATURES, _LADDER, _PEOPLE, _WANTED, _nickname_values, _own_entities, _planned, _registry_sources, _store, query
 
 
 def _folder(spark, name):
@@ -243,3 +245,20 @@ def registry_searches(spark, d):
         F.when(k % 5 != 0, F.upper(F.expr("substring(element_at(primary_name.surnames, 1), 1 + cast(handle as int) % 2, 2 + cast(handle as int) % 3 - cast(handle as int) % 2)"))).alias("surname"),
         F.when(k % 4 == 0, F.expr("substring(primary_name.given, 1, 1 + cast(handle as int) % 2)")).when(k % 4 == 1, "").alias("given"))
     return R.search_many(people, asked, 4)
+
+
+@query(f"""WITH {_WANTED}, known AS (SELECT url, arg_min(CAST(page_id AS VARCHAR), 'S' || CAST(page_id AS VARCHAR)) AS handle FROM pages WHERE page_id % 2 = 0 GROUP BY url),
+  n AS (SELECT DISTINCT registry_person_id, document_id, url FROM w ANTI JOIN c USING (registry_person_id, document_id) LEFT JOIN pages ON document_id = page_id),
+  made AS (SELECT DISTINCT n.url, 'source-' || sha256('source|' || coalesce(n.url, ''))[:24] AS handle FROM n LEFT JOIN known ON n.url = known.url WHERE known.url IS NULL),
+  cited AS (SELECT n.*, 'citation-' || sha256('citation|' || registry_person_id || '|' || CAST(document_id AS VARCHAR))[:24] AS handle, coalesce(known.handle, made.handle) AS refers_to
+    FROM n LEFT JOIN known ON n.url = known.url LEFT JOIN made ON n.url IS NOT DISTINCT FROM made.url)
+  SELECT 'source' AS kind, url, NULL AS registry_person_id, NULL AS document_id, handle, NULL AS refers_to FROM made
+  UNION ALL SELECT 'citation', url, registry_person_id, document_id, handle, refers_to FROM cited
+  UNION ALL SELECT 'attach', url, registry_person_id, document_id, 'attach-' || sha256('attach|' || registry_person_id || '|' || CAST(document_id AS VARCHAR))[:24], handle FROM cited""")
+def delivered_writes(spark, d):
+    """The outbox of all wanted citations, sent by a run that knows half of it and again by one that knows the whole."""
+    folder, sources = _folder(spark, "sent"), _registry_sources(spark, d)
+    outbox = _planned(spark, d)[2].withColumn("key", K.write_key())
+    Y.deliver(outbox.filter("document_id % 3 = 0"), folder, sources)
+    sent = Y.deliver(outbox, folder, sources)
+    return sent.select("kind", "url", "registry_person_id", F.when(F.col("kind") != "source", F.col("document_id")).alias("document_id"), "handle", "refers_to")
