@@ -197,25 +197,22 @@ def long_ranges(docs: DataFrame, range_bytes: int = RANGE_BYTES, parts: int = 1)
 
     Of a small table a range holds half of what each of ``parts`` tasks would.
     ``h`` is a hash of the prefix, as it only tells where a text goes;
-    ``deeper`` is false where all texts behind it are one.
+    ``deeper`` is false where all texts behind it are one. All lengths are summed
+    in one pass: a text has a prefix of each length until one holds it whole.
     """
-    def groups(texts: DataFrame) -> DataFrame:
-        return settle(texts.groupBy("h").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"), (F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("deeper")))
-
-    def cut(texts: DataFrame, size: int) -> DataFrame:
-        return texts.withColumn("h", F.xxhash64(F.substring("text", 1, size)))
-
-    texts, size = cut(docs.select("text"), FIRST_PREFIX), FIRST_PREFIX
-    found = groups(texts)
-    total = found.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("s")).first()["s"]
-    most, out = max(min(range_bytes, total // (2 * parts)), total // LONG_RANGES, 1), []
-    while True:
-        hot = settle(found.filter(F.col("bytes") > most).select("h", "deeper"))
-        if hot.isEmpty():
-            return out, total
-        out.append((size, hot))
-        texts = cut(texts.join(F.broadcast(hot.filter("deeper").select("h")), "h", "left_semi").select("text"), size * GROWTH)
-        found, size = groups(texts), size * GROWTH
+    texts = docs.select("text", F.octet_length("text").cast("long").alias("bytes"))
+    total = texts.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("s")).first()["s"]
+    most = max(min(range_bytes, total // (2 * parts)), total // LONG_RANGES, 1)
+    # the longest text there can be has 2^31 characters
+    sizes = [FIRST_PREFIX * GROWTH ** k for k in range(15)]
+    prefixes = F.array(*[F.when((F.length("text") >= size // GROWTH) | F.lit(size == FIRST_PREFIX), F.struct(F.lit(size).alias("size"), F.xxhash64(F.substring("text", 1, size)).alias("h"))) for size in sizes])
+    held = texts.select("bytes", F.xxhash64("text").alias("whole"), F.explode(F.array_compact(prefixes)).alias("p")).groupBy("p.size", "p.h").agg(
+        F.sum("bytes").alias("bytes"), (F.min("whole") != F.max("whole")).alias("deeper"))
+    hot = settle(held.filter(F.col("bytes") > most).select("size", "h", "deeper"))
+    levels = sorted((r["size"], r["deeper"]) for r in hot.groupBy("size").agg(F.max("deeper").alias("deeper")).collect())
+    # behind a length at which every range is one text there is nothing to part
+    last = next((k for k, (_, deeper) in enumerate(levels) if not deeper), len(levels))
+    return [(size, hot.filter(F.col("size") == size).select("h", "deeper")) for size, _ in levels[:last + 1]], total
 
 
 def filter_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source",
