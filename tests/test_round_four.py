@@ -46,3 +46,15 @@ def test_source_lookup_of_shared_addresses(spark, tmp_path):
     want = db.execute(catalog.oracle_sql()["source_lookup"]).fetchall()
     got = [tuple(r) for r in catalog.queries()["source_lookup"](spark, str(tmp_path)).select("url", "registry_id").collect()]
     assert len(got) == 8 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_text_files_fill_few_folders(spark, tmp_path):
+    pages = [(k, f"page {k}\r\nof two lines") for k in range(60)] + [(60, ""), (61, None), (62, "\n")]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    frame = catalog.queries()["text_files"](spark, str(tmp_path))
+    assert sorted(map(str, frame.select("page_id", "digest").toPandas().values.tolist())) == sorted(map(str, db.execute(catalog.oracle_sql()["text_files"]).df().values.tolist()))
+    files = frame.inputFiles()
+    # a file a page, but not a folder a page
+    assert len(files) == 63 and len({f.rsplit("/", 1)[0] for f in files}) <= 4 * spark.sparkContext.defaultParallelism
