@@ -58,3 +58,13 @@ def test_text_files_fill_few_folders(spark, tmp_path):
     files = frame.inputFiles()
     # a file a page, but not a folder a page
     assert len(files) == 63 and len({f.rsplit("/", 1)[0] for f in files}) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_matches_of_many_people_of_one_name(spark):
+    registry = people(spark, [("Ann", "Cole")] * 3000)
+    variants = [f"{g} {s}" for g in ("A", "An", "Ann", "N", "Nn") for s in ("C", "Co", "Col", "Cole", "O", "Ol", "Ole", "L", "Le", "E")]
+    entities = spark.createDataFrame([(1, variants)], "id bigint, name_variants array<string>")
+    none = [spark.createDataFrame([], SCHEMAS[t]) for t in ("claims", "registry_events")]
+    rows, most = most_rows(spark, lambda: R.find_matches(entities, none[0], registry, none[1], keep=0.0))
+    assert [r.registry_id for r in rows] == [f"I{k:06}" for k in range(5)]
+    assert most < 20_000
