@@ -99,9 +99,9 @@ def read_notation(documents: DataFrame) -> DataFrame:
     text = F.col("extracted_text")
 
     def found(pattern: str, kind: str, name: int, value: int) -> Column:
-        names, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(name)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
-        return F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(
-            x["n"].alias("full_name"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+        # a text is searched once; what matched is short, and matches again by itself
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
+            F.regexp_extract(m, pattern, name).alias("full_name"), F.lit(kind).alias("kind"), F.regexp_extract(m, pattern, value).alias("value")))
 
     one = r"[A-Z][\p{L}'-]+"
     parts = [

@@ -196,7 +196,8 @@ def notation_kinds(spark, d):
     age = (5 + k % 90).cast("string")
     text = F.concat(g, F.lit(" ("), s, F.lit(") Mills met "), g, F.lit(' "Bee" and Lena (nee '), s, F.lit(") with the late "), g, F.lit(" "), s, F.lit("; Kit ("), age, F.lit(") said "), g, F.lit(" and Ann "), s,
                     F.lit(" were wed for "), (1 + k % 60).cast("string"), F.lit(" years; at the age of "), age, F.lit(" one died on May "), (1 + k % 28).cast("string"), F.lit(", "), (1950 + k % 50).cast("string"), F.lit("."))
-    return L.read_notation(T.table(spark, d, "part").select(k.alias("id"), text.alias("extracted_text"))).select("document_id", "full_name", "kind", "value")
+    parts = T.dealt(T.table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    return L.read_notation(parts.select(k.alias("id"), text.alias("extracted_text"))).select("document_id", "full_name", "kind", "value")
 
 
 def _pages(spark, d):
