@@ -3,9 +3,28 @@
 from pyspark.sql import functions as F
 
 from lodestead.operators import extract as L
+from lodestead.operators import resolve as C
 from lodestead.plans import catalog
 
 
+def most_moved(spark, work):
+    """The rows of the frames that ``work`` makes, and the most that any exchange of the runs behind them wrote."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    rows = [frame.collect() for frame in work()]
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    runs, most = store.executionsList(), 0
+    for k in range(before, runs.size()):
+        run = runs.apply(k)
+        values = store.executionMetrics(run.executionId())
+        for i in range(run.metrics().size()):
+            m = run.metrics().apply(i)
+            told = values.get(m.accumulatorId())
+            if m.name() == "shuffle records written" and told.isDefined():
+                most = max(most, int(told.get().replace(",", "")))
+    return rows, most
+
+
 def test_notation_of_one_file_is_read_by_all_cores(spark, tmp_path):
     spark.range(400).select(F.col("id").alias("p_partkey"), F.concat(F.lit("hot bolt"), F.lit("")).alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     frame = catalog.queries()["notation_kinds"](spark, str(tmp_path))
@@ -26,3 +45,24 @@ def test_notation_searches_a_text_once(spark):
                     (4, None, "marriage_years", "1"), (4, None, "marriage_years", "22"), (4, None, "death_date", "June 3 2004"), (4, "Fay", "shared_surname", "Hoy")}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 10
+
+
+def test_claims_go_to_their_entities_where_they_lie(spark):
+    n = 6000
+    claims = spark.range(n).select(
+        "id", (F.col("id") % 3).alias("document_id"), F.when(F.col("id") % 100 == 99, F.lit(None)).when(F.col("id") % 2 == 0, "Ann Cole").otherwise("Anne Cole").alias("subject_name"),
+        F.when(F.col("id") == 4, "person_nickname").otherwise("relationship").alias("fact_type"), F.lit("Nan").alias("fact_value"), F.lit("0.50").cast("decimal(3,2)").alias("confidence_score"),
+        F.lit(7).cast("bigint").alias("entity_id"), F.lit("old").alias("resolution_status"))
+    clusters = spark.createDataFrame([("Ann Cole", 0, 0), ("Anne Cole", 1, 0)], "name string, rank bigint, seed bigint")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (new, entities), most = most_moved(spark, lambda: C.materialise(claims, clusters))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(new) == n and {(r.subject_name, r.entity_id, r.resolution_status) for r in new} == {("Ann Cole", 1, "clustered"), ("Anne Cole", 1, "clustered"), (None, None, "unresolved")}
+    e = entities[0]
+    assert len(entities) == 1 and (e.canonical_name, e.name_variants, e.nicknames, e.maiden_names) == ("Anne Cole", ["Ann Cole", "Anne Cole"], ["Nan"], None)
+    assert (e.fact_count, e.source_count, str(e.confidence_score)) == (n - n // 100, 3, "0.50")
+    # names and sums of each task, but no claim by itself
+    assert most < 200
