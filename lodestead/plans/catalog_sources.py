@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..checkpoints import ensure_checkpoint_dir
+from ..checkpoints import ensure_checkpoint_dir, settle
 from ..functions import names as N
 from ..operators import analyze as A
 from ..operators import cite as K
@@ -267,7 +267,8 @@ def registry_searches(spark, d):
 def delivered_writes(spark, d):
     """The outbox of all wanted citations, sent by a run that knows half of it and again by one that knows the whole."""
     folder, sources = _folder(spark, "sent"), _registry_sources(spark, d)
-    outbox = _planned(spark, d)[2].withColumn("key", K.write_key())
+    # planned once: both runs read it for each kind
+    outbox = settle(_planned(spark, d)[2].withColumn("key", K.write_key()))
     Y.deliver(outbox.filter("document_id % 3 = 0"), folder, sources)
     sent = Y.deliver(outbox, folder, sources)
     return sent.select("kind", "url", "registry_person_id", F.when(F.col("kind") != "source", F.col("document_id")).alias("document_id"), "handle", "refers_to")

@@ -134,13 +134,14 @@ def deliver(outbox: DataFrame, folder: str, sources: DataFrame | None = None) ->
     write whose reference isn't there yet waits for a later run. Repeated rows
     and null addresses, people and documents are fine: a key is sent once.
     """
+    from ..checkpoints import settle
     from ..operators.cite import source_by_url
 
     spark = outbox.sparkSession
     spark.dataSource.register(RegistryWrites)
     known = None
     if sources is not None:
-        known = source_by_url(sources, outbox.filter("kind = 'source' OR kind = 'citation'")).filter("handle IS NOT NULL").select(F.col("url").alias("_url"), F.col("handle").alias("_known"))
+        known = settle(source_by_url(sources, outbox.filter("kind = 'source' OR kind = 'citation'")).filter("handle IS NOT NULL").select(F.col("url").alias("_url"), F.col("handle").alias("_known")))
     for kind in KINDS:
         done = delivered(spark, folder)
         planned = outbox.filter(F.col("kind") == kind).select("key", "kind", "url", "title", "document_id", "registry_person_id", "confidence")

@@ -66,3 +66,15 @@ def test_claims_go_to_their_entities_where_they_lie(spark):
     assert (e.fact_count, e.source_count, str(e.confidence_score)) == (n - n // 100, 3, "0.50")
     # names and sums of each task, but no claim by itself
     assert most < 200
+
+
+def test_an_outbox_is_planned_once(spark, small):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    sent = catalog.queries()["delivered_writes"](spark, small)
+    assert sent.count() == sent.select("handle").distinct().count() > 0
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    plans = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())]
+    # not anew for every kind and run
+    assert sum("orders.parquet" in p for p in plans) == 1
