@@ -36,7 +36,8 @@ def memo_lookup(prompts: DataFrame, memo: DataFrame) -> DataFrame:
     """
     usable = memo.filter(F.coalesce(F.col("parsed_json") != "", F.lit(False)))
     first = usable.groupBy("prompt_hash", "provider").agg(F.min(F.struct("id", "parsed_json")).alias("m"))
-    return prompts.join(first, ["prompt_hash", "provider"], "left").select(*prompts.columns, F.col("m.id").alias("memo_id"), F.col("m.parsed_json").alias("parsed_json"))
+    # rendered prompts are far larger than the files that they come of, so neither side goes through the driver
+    return prompts.join(first.hint("merge"), ["prompt_hash", "provider"], "left").select(*prompts.columns, F.col("m.id").alias("memo_id"), F.col("m.parsed_json").alias("parsed_json"))
 
 
 def call_cost(prompt_tokens: Column, completion_tokens: Column) -> Column:

@@ -78,3 +78,11 @@ def test_an_outbox_is_planned_once(spark, small):
     plans = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())]
     # not anew for every kind and run
     assert sum("orders.parquet" in p for p in plans) == 1
+
+
+def test_prompts_do_not_go_through_the_driver(spark, tmp_path):
+    memo = spark.createDataFrame([(1, "h1", "reader", "[]")], "id bigint, prompt_hash string, provider string, parsed_json string")
+    spark.range(50).select(F.concat(F.lit("h"), "id").alias("prompt_hash"), F.lit("reader").alias("provider")).write.parquet(f"{tmp_path}/prompts")
+    found = L.memo_lookup(spark.read.parquet(f"{tmp_path}/prompts"), memo).filter("parsed_json is not null")
+    assert [(r.prompt_hash, r.memo_id) for r in found.collect()] == [("h1", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
